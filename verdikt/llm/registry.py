@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op4_mixing
+from .simhash import op5_simhash_near_dedup
+from .token_output import op6_token_output
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_token_output": op6_token_output,
 }
 
 ORACLES = {
