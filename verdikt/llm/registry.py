@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontamination
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op4_mixing
 from .simhash import op5_simhash_near_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_output": op6_token_output,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
