@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op10_decontamination
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op4_mixing
+from .order_minhash import op7_order_minhash
 from .simhash import op5_simhash_near_dedup
 from .token_output import op6_token_output
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_output": op6_token_output,
+    "op7_order_minhash": op7_order_minhash,
     "op10_decontamination": op10_decontamination,
 }
 
