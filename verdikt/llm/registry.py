@@ -9,9 +9,11 @@ from .mixing import op4_mixing
 from .order_minhash import op7_order_minhash
 from .simhash import op5_simhash_near_dedup
 from .token_output import op6_token_output
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_output": op6_token_output,
