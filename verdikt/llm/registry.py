@@ -8,10 +8,12 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op4_mixing
 from .order_minhash import op7_order_minhash
 from .simhash import op5_simhash_near_dedup
+from .suffix_dedup import op1_suffix_dedup
 from .token_output import op6_token_output
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
