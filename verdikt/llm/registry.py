@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op10_decontamination
 from .language_id import op9_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .lm_scoring import op8_lm_scoring
 from .mixing import op4_mixing
 from .order_minhash import op7_order_minhash
 from .simhash import op5_simhash_near_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_output": op6_token_output,
     "op7_order_minhash": op7_order_minhash,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
