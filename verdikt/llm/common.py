@@ -8,15 +8,14 @@ whatever their names, never clash.
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship as ship
+
 #: White space of the contracts: blank, tab, newline, vertical tab, form feed, return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -71,24 +70,3 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Marks a table for broadcast if it has at most max_rows rows, counted; else Spark shuffles it."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package, once an application: their Python workers import it by name."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as folder:
-        archive = Path(folder) / f"{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        kept = Path(tempfile.mkdtemp(prefix="verdikt-")) / archive.name
-        kept.write_bytes(archive.read_bytes())
-    atexit.register(shutil.rmtree, kept.parent, True)
-    context.addPyFile(str(kept))
-    _shipped.add(context.applicationId)
