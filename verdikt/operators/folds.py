@@ -59,7 +59,7 @@ class Canary:
             st["tail"] = 1 - p
         term = math.exp(st["lf_n"] - st["lf_s"] - st["lf_f"] + st["s"] * math.log(p) + f * math.log(1 - p))
         st["tail"] = max(0.0, st["tail"] + ((1 - p) * term if win else -p * term))
-        if st["tail"] <= 0:
+        if st["tail"] <= 0 or st["s"] <= p * st["n"]:  # below p the ratio is under 1, and the tail has no digits left
             return None
         mix = st["lf_s"] + st["lf_f"] - st["lf_n"] - math.log(st["n"] + 1) + math.log(st["tail"]) - math.log(1 - p) - st["s"] * math.log(p) - f * math.log(1 - p)
         if mix < math.log(len(STAGES) / self.alpha):

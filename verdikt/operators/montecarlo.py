@@ -59,7 +59,7 @@ def mixture_rejections(wins: np.ndarray, p0: float, alpha: float) -> np.ndarray:
     tail = (1 - p0) + np.cumsum(np.where(wins, (1 - p0) * term, -p0 * term), axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):
         log_mix = lf[s] + lf[n - s] - lf[n] - np.log(n + 1.0) + np.log(np.maximum(tail, 0)) - math.log(1 - p0) - s * math.log(p0) - (n - s) * math.log(1 - p0)
-    return _first(log_mix >= math.log(1 / alpha))
+    return _first((log_mix >= math.log(1 / alpha)) & (s > p0 * n))
 
 
 def stitched_rejections(wins: np.ndarray, p0: float, alpha: float) -> np.ndarray:

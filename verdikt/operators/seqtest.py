@@ -60,7 +60,8 @@ def mixture_sprt_path(stream: DataFrame, key: list[str], order: str, p0: float)
     """Adds log_mix: ln of the Beta(1, 1)-mixture ratio over rates above p0.
 
     The Beta tail follows by adding or taking a binomial term per verdict, so it is a
-    running sum. Where the tail underflows log_mix is null; that is far below any bound.
+    running sum. While wins are no more frequent than p0 the ratio is below 1, and the
+    sum may have lost all its digits: log_mix is null there.
     """
     w = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     lf = lambda c: F.sum(F.when(c > 0, F.log(c.cast("double"))).otherwise(0.0)).over(w)
@@ -71,7 +72,7 @@ def mixture_sprt_path(stream: DataFrame, key: list[str], order: str, p0: float)
     df = df.withColumn("term", F.when(won, (1 - p0) * term).otherwise(-p0 * term))
     df = df.withColumn("tail", (1 - p0) + F.sum("term").over(w))
     mix = F.col("ln_s") + F.col("ln_f") - F.col("ln_n") - F.log(F.col("n") + 1.0) + F.log("tail") - math.log(1 - p0) - F.col("s") * math.log(p0) - F.col("f") * math.log(1 - p0)
-    return df.withColumn("log_mix", F.when(F.col("tail") > 0, mix))
+    return df.withColumn("log_mix", F.when((F.col("tail") > 0) & (F.col("s") > p0 * F.col("n")), mix))
 
 
 def mixture_sprt(stream: DataFrame, key: list[str], order: str, p0: float, alpha: float) -> DataFrame:

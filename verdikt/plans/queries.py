@@ -337,7 +337,7 @@ MIX_SQL = """logs AS (SELECT *, n - s AS f, sum(ln(n)) OVER w AS ln_n, sum(CASE
   sum(CASE WHEN win = 0 THEN ln(n - s) ELSE 0.0 END) OVER w AS ln_f FROM counted WINDOW w AS (PARTITION BY topic ORDER BY request_index)),
 terms AS (SELECT *, CASE WHEN win = 1 THEN 0.56 ELSE -0.44 END * exp(ln_n - ln_s - ln_f + s * ln(0.44) + f * ln(0.56)) AS term FROM logs),
 tails AS (SELECT *, 0.56 + sum(term) OVER (PARTITION BY topic ORDER BY request_index) AS tail FROM terms),
-mixed AS (SELECT *, CASE WHEN tail > 0 THEN ln_s + ln_f - ln_n - ln(n + 1.0) + ln(CASE WHEN tail > 0 THEN tail END) - ln(0.56) - s * ln(0.44) - f * ln(0.56) END AS log_mix FROM tails)"""
+mixed AS (SELECT *, CASE WHEN tail > 0 AND s > 0.44 * n THEN ln_s + ln_f - ln_n - ln(n + 1.0) + ln(CASE WHEN tail > 0 THEN tail END) - ln(0.56) - s * ln(0.44) - f * ln(0.56) END AS log_mix FROM tails)"""
 
 
 @query(oracle("").rstrip() + f", {MIX_SQL} SELECT topic, min(n) FILTER (WHERE log_mix >= ln(80.0)) AS reject_n, min(request_index) FILTER (WHERE log_mix >= ln(80.0)) AS reject_at FROM mixed GROUP BY topic")
