@@ -106,9 +106,11 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **parameters: int) -> DataFr
     plan = mix(docs, seed=seed, **parameters)
     ratio = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
     u = F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id", "th"), F.lit(1 << 30)) / float(1 << 30)
-    copies = plan.select(F.col("doc_id").alias("_d"), "th", F.floor(ratio + u).cast("int").alias("_c")).filter("_c > 0").dropDuplicates(["_d", "th"])
+    copies = plan.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.floor(ratio + u).cast("int").alias("_c")).filter("_c > 0")
+    # equal rows may fall on either side of a cut; each takes the most that one of them has
+    copies = copies.groupBy("_d", "_t").agg(F.max("_c").alias("_c"))
     rows = docs.withColumn("_th", F.xxhash64(text_of(docs)))
-    rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("th")))
+    rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
     return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*[docs[c] for c in docs.columns])
 
 
