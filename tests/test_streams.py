@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from verdikt.functions import mathx
 from verdikt.functions.mathx import SprtDesign
 from verdikt.operators import folds, judging, metrics, seqtest, traffic
 from verdikt.sources import log
@@ -130,3 +131,44 @@ def test_rebaseline_learns_a_new_level(spark):
     gated = folds.rebaselined_alarms(df, "k", folds.Rebaseline(h=7.0, gate=500)).toPandas()
     assert ungated["request_index"].iloc[0] > 500 and (gated.empty or gated["p0"].iloc[0] == pytest.approx(0.3, abs=0.06))
     assert isinstance(ungated, pd.DataFrame)
+
+
+def test_general_prior_equals_window_form_and_hand_value(stream):
+    assert mathx.log_mixture_ratio([1], [0], 0.5)[0] == pytest.approx(math.log(1.5))
+    a = {r["k"]: r["reject_n"] for r in seqtest.mixture_sprt(stream, ["k"], "request_index", 0.5, 0.05).collect()}
+    b = {r["k"]: r["reject_n"] for r in seqtest.mixture_sprt_prior(stream, ["k"], "request_index", 0.5, 0.05, 1.0, 1.0).collect()}
+    assert a == b
+
+
+def test_drift_fold_equals_window_form(spark):
+    rng = random.Random(3)
+    rows = [("x", i, rng.choices("abc", (6, 3, 1) if i < 600 else (1, 3, 6))[0]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k string, request_index long, topic string")
+    want = {r["n"]: r["psi"] for r in seqtest.psi_path(df, ["k"], "request_index", "topic", list("abc"), 200, 50).collect()}
+    monitor = folds.Drift(tuple("abc"), 200, 50, 0.3)
+    st, got, alarms = monitor.start(), {}, []
+    for _, _, c in rows:
+        seen = monitor.step(st, c)
+        if seen:
+            got[seen[0]] = seen[1]
+            alarms += [seen[0]] if seen[2] else []
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n]) for n in got) and len(alarms) == 1 and alarms[0] > 600
+
+
+def test_decisions_reset_on_drift(spark):
+    rows = [("x", i, int(i % 5 < 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, request_index long, win int")
+    rule = folds.Decision(h=2.0)
+    first = folds.decisions(df, "k", rule).collect()
+    assert [r["kind"] for r in first] == ["quality_alarm"]
+    at = first[0]["request_index"]
+    later = folds.decisions(df, "k", rule, spark.createDataFrame([("x", at)], "k string, request_index long")).collect()
+    assert later[0]["request_index"] > at
+    up = folds.decisions(df.withColumn("win", F.lit(1)), "k", rule).collect()
+    assert [r["kind"] for r in up] == ["promotion"]
+
+
+def test_anchors_and_reward(spark):
+    items = spark.range(400).withColumnRenamed("id", "request_index")
+    judged = judging.compare_randomised(judging.anchors(items, 3), 3, "j", judging.NoisyOracle(1.0))
+    assert judged.filter("winner <> label").count() == 0 and 150 < judged.filter("label = 'a'").count() < 250

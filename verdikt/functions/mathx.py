@@ -44,6 +44,14 @@ def log_upper_mass(a, b, x: float) -> np.ndarray:
         return np.log(betainc(np.asarray(b, float), np.asarray(a, float), 1 - x))
 
 
+def log_mixture_ratio(s, f, p0: float, a: float = 1.0, b: float = 1.0) -> np.ndarray:
+    """ln of the mixture ratio after s wins and f losses, the prior Beta(a, b) cut to rates above p0."""
+    s, f = np.asarray(s, float), np.asarray(f, float)
+    norm = np.array([betaln(a + x, b + y) for x, y in zip(s.ravel(), f.ravel())]).reshape(s.shape)
+    own = norm + log_upper_mass(a + s, b + f, p0)
+    return own - betaln(a, b) - log_upper_mass(a, b, p0) - s * math.log(p0) - f * math.log1p(-p0)
+
+
 def bisect(f: Callable[[float], float], lo: float, hi: float, steps: int = 200) -> float:
     below = f(lo) < 0
     for _ in range(steps):

@@ -10,10 +10,13 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..cluster import ship
+from ..functions.mathx import psi
 
 #: Traffic shares of the stages of a canary, first to last.
 STAGES = (("canary-1", 0.01), ("canary-5", 0.05), ("canary-25", 0.25), ("full", 1.0))
@@ -153,3 +156,89 @@ def fold_rows(canary: Canary, rows: Iterator[tuple[int, int]]) -> list[tuple]:
     """All transitions of one stream of (request_index, win), for use without Spark."""
     st = canary.start()
     return [(i, *t) for i, w in rows if (t := canary.step(st, w))]
+
+
+@dataclass(frozen=True)
+class Decision:
+    """A drop alarm and a promotion gate on one stream; a reset starts both anew. Each is told once."""
+
+    p0: float = 0.5
+    p1: float = 0.45
+    h: float = 6.0
+    alpha: float = 0.05
+
+    @staticmethod
+    def start() -> dict:
+        return {"alarmed": 0, "promoted": 0, "alarm": Rebaseline.start(), "gate": Canary.start()}
+
+    def reset(self, st: dict) -> None:
+        st.update(alarm=Rebaseline.start(), gate=Canary.start())
+
+    def step(self, st: dict, win: int, index: int) -> list[str]:
+        out = []
+        alarm = Rebaseline(self.p0, self.p0 - self.p1, self.h)
+        if not st["alarmed"] and alarm.step(st["alarm"], win, index):
+            st["alarmed"] = 1
+            out.append("quality_alarm")
+        # the gate of a canary's first stage, with the whole alpha and no margin
+        gate = Canary(self.p0, self.p1, math.inf, 1e-12, min(0.999999, self.alpha * len(STAGES)))
+        if not st["promoted"] and gate.step(st["gate"], win):
+            st["promoted"] = 1
+            out.append("promotion")
+        return out
+
+
+@dataclass(frozen=True)
+class Drift:
+    """Population stability of the last ``window`` categories against the first; one alarm."""
+
+    categories: tuple[str, ...]
+    window: int = 1000
+    stride: int = 100
+    threshold: float = 0.1
+
+    @staticmethod
+    def start() -> dict:
+        return {"n": 0, "reference": [], "last": [], "over": 0}
+
+    def step(self, st: dict, category: str) -> tuple[int, float, bool] | None:
+        """(n, psi, whether this raises the alarm) at a check, else None."""
+        k = self.categories.index(category) if category in self.categories else -1
+        st["n"] += 1
+        if st["n"] <= self.window:
+            st["reference"].append(k)
+            return None
+        st["last"].append(k)
+        if len(st["last"]) > self.window:
+            st["last"].pop(0)
+        if len(st["last"]) < self.window or st["n"] % self.stride:
+            return None
+        shares = [np.bincount([c for c in rows if c >= 0], minlength=len(self.categories)) / self.window for rows in (st["reference"], st["last"])]
+        value = psi(*shares)
+        alarm = value >= self.threshold and not st["over"]
+        st["over"] = int(st["over"] or alarm)
+        return st["n"], value, alarm
+
+
+def decisions(stream: DataFrame, key: str, rule: Decision, resets: DataFrame | None = None) -> DataFrame:
+    """(key, request_index, kind) of each stream's first alarm and promotion.
+
+    resets: (key, request_index) of drift alarms; verdicts from there on start anew.
+    """
+    ship(stream.sparkSession)
+    rows = stream.select(key, "request_index", F.col("win").cast("int").alias("win"))
+    if resets is not None:
+        rows = rows.unionByName(resets.select(key, "request_index", F.lit(-1).alias("win")))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["request_index", "win"])  # a reset comes before the verdict of its index
+        st, out = rule.start(), []
+        for i, w in zip(p["request_index"].tolist(), p["win"].tolist()):
+            if w < 0:
+                rule.reset(st)
+            else:
+                out.extend((p[key].iloc[0], i, kind) for kind in rule.step(st, w, i))
+        return pd.DataFrame(out, columns=[key, "request_index", "kind"])
+
+    kind = stream.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, request_index long, kind string")

@@ -85,6 +85,13 @@ def ensemble(df: DataFrame, seed: int, judge_id: str, judges: list[NoisyOracle])
     return df.withColumn("winner", winner).withColumn("disagreed", (F.size(F.array_distinct("votes")) > 1).cast("int"))
 
 
+def anchors(items: DataFrame, seed: int) -> DataFrame:
+    """request_index, label, a_pool, b_pool of items with a known better response, which a keyed coin puts first or second."""
+    label = F.when(uniform(seed, "request_index", "__anchor__") < 0.5, "a").otherwise("b")
+    df = items.withColumn("label", label)
+    return df.withColumn("a_pool", F.when(F.col("label") == "a", "good").otherwise("bad")).withColumn("b_pool", F.when(F.col("label") == "b", "good").otherwise("bad"))
+
+
 def reward_verdict(score_a: Column, score_b: Column, margin: float = 0.0) -> Column:
     """The higher of two scores wins; within the margin it is a tie."""
     return F.when(F.abs(score_a - score_b) <= margin, "tie").when(score_a > score_b, "a").otherwise("b")

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.mathx import SprtDesign, normal_quantile
+from ..cluster import ship
+from ..functions.mathx import SprtDesign, log_mixture_ratio, normal_quantile
 
 
 def running(stream: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -81,6 +83,19 @@ def mixture_sprt(stream: DataFrame, key: list[str], order: str, p0: float, alpha
     return mixture_sprt_path(stream, key, order, p0).groupBy(*key).agg(F.min(F.when(hit, F.col("n"))).alias("reject_n"), F.min(F.when(hit, F.col(order))).alias("reject_at"))
 
 
+def mixture_sprt_prior(stream: DataFrame, key: list[str], order: str, p0: float, alpha: float, a: float, b: float) -> DataFrame:
+    """The same test under a Beta(a, b) prior: counts by window, the incomplete beta function in Arrow batches."""
+    ship(stream.sparkSession)
+
+    @F.pandas_udf("double")
+    def ratio(s: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(log_mixture_ratio(s.to_numpy(), (n - s).to_numpy(), p0, a, b))
+
+    df = running(stream, key, order).withColumn("log_mix", ratio("s", "n"))
+    hit = F.col("log_mix") >= math.log(1 / alpha)
+    return df.groupBy(*key).agg(F.min(F.when(hit, F.col("n"))).alias("reject_n"), F.max("log_mix").alias("max_log_mix"))
+
+
 def stitched_radius(n: Column, alpha: float) -> Column:
     n = n.cast("double")
     return 1.7 * 0.5 * F.sqrt((F.log(F.log(2 * n)) + 0.72 * math.log(5.2 / alpha)) / n)

@@ -295,6 +295,18 @@ def judge_calibration(spark, sf):
     return metrics.accuracy(verdicts(spark, sf).join(labelled, "request_index"), ["topic"]).select("topic", "right", "n", r6("accuracy"), r6("low"), r6("high"))
 
 
+ANCHORS = f"""anchors AS (SELECT doc_id AS request_index, lang, CASE WHEN {U('__anchor__', index='doc_id')} < 0.5 THEN 'a' ELSE 'b' END AS label FROM documents),
+shown_a AS (SELECT *, CASE WHEN {U('__judge__sensor:swap')} < 0.5 THEN 'b' ELSE 'a' END AS first_shown FROM anchors),
+judged AS (SELECT *, CASE WHEN {U('__judge__sensor:acc')} < 0.85 THEN label WHEN label = 'a' THEN 'b' ELSE 'a' END AS winner FROM shown_a)"""
+
+
+@query(f"""WITH {ANCHORS} SELECT lang, count_if(winner = label)::BIGINT AS "right", count(*) AS n, round(count_if(winner = label) / count(*), 6) AS accuracy FROM judged GROUP BY lang""")
+def anchor_calibration(spark, sf):
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("request_index"), "lang")
+    judged = judging.compare_randomised(judging.anchors(items, SEED), SEED, "sensor", NoisyOracle(0.85))
+    return metrics.accuracy(judged, ["lang"]).select("lang", "right", "n", r6("accuracy"))
+
+
 @query(oracle("SELECT (SELECT count(*) FROM verdicts) AS verdicts_seen, round(avg(win), 6) AS recent_win_rate FROM (SELECT win FROM wins ORDER BY request_index DESC LIMIT 500)"))
 def live_state(spark, sf):
     return metrics.state(verdicts(spark, sf)).select("verdicts_seen", r6("recent_win_rate"))
@@ -475,3 +487,15 @@ def canary_lifecycle(spark, sf):
 @query()
 def drift_rebaseline(spark, sf):
     return folds.rebaselined_alarms(win_stream(spark, sf), "topic", folds.Rebaseline(h=3.0, learn=100, gate=midpoint(requests(spark, sf))))
+
+
+@query()
+def decision_service(spark, sf):
+    r = requests(spark, sf)
+    resets = r.select("topic").distinct().withColumn("request_index", F.lit(midpoint(r)))
+    return folds.decisions(win_stream(spark, sf), "topic", folds.Decision(h=3.0), resets)
+
+
+@query()
+def mixture_sprt_general_prior(spark, sf):
+    return seqtest.mixture_sprt_prior(win_stream(spark, sf), ["topic"], "request_index", 0.44, 0.0125, 2.0, 3.0)

@@ -8,7 +8,8 @@ the fold in order of request_index.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,24 +17,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..cluster import ship
-from ..operators.folds import Canary
+from ..operators.folds import Canary, Decision, Drift
 from ..sources.log import EventLog
 
-STATE = "stage int, over int, stat double, n long, s long, lf_n double, lf_s double, lf_f double, tail double, total long"
-OUT = "run_id string, request_index long, kind string, stage string, share double, verdicts_in_stage long"
+OUT = "run_id string, request_index long, kind string, detail string"
 
 
-class CanaryProcessor(StatefulProcessor):
-    """Buffers verdicts of a run until the watermark passes, then folds them in order."""
+class OrderedFold(StatefulProcessor):
+    """Buffers a run's rows until the watermark passes, then folds them in order.
 
-    def __init__(self, canary: Canary):
-        self.canary = canary
+    The fold's state is a JSON value; ``take(state, index, value)`` gives (kind, detail) pairs.
+    """
+
+    def __init__(self, start: Callable[[], dict], take: Callable[[dict, int, str], list[tuple[str, str]]]):
+        self.start, self.take = start, take
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fold = handle.getValueState("fold", STATE)
-        self.buffer = handle.getListState("buffer", "at long, request_index long, win int")
-        self.names = [c.split(" ")[0] for c in STATE.split(", ")]
+        self.fold = handle.getValueState("fold", "state string")
+        self.buffer = handle.getListState("buffer", "at long, request_index long, value string")
 
     def _arm(self, now: int) -> None:
         for t in list(self.handle.listTimers()):
@@ -41,7 +43,7 @@ class CanaryProcessor(StatefulProcessor):
         self.handle.registerTimer(now + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t.timestamp() * 1000), int(i), int(w)) for p in rows for t, i, w in zip(p["ts"], p["request_index"], p["win"])]
+        new = [(int(t.timestamp() * 1000), int(i), v) for p in rows for t, i, v in zip(p["ts"], p["request_index"], p["value"])]
         if new:
             self.buffer.appendList(new)
             self._arm(max(0, timerValues.getCurrentWatermarkInMs()))
@@ -51,16 +53,12 @@ class CanaryProcessor(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(((r[1], r[0], r[2]) for r in self.buffer.get()), key=lambda r: r[0])
         ready, later = [r for r in waiting if r[1] <= now], [r for r in waiting if r[1] > now]
-        st = dict(zip(self.names, self.fold.get())) if self.fold.exists() else Canary.start()
-        out = []
-        for i, _, w in ready:
-            t = self.canary.step(st, w)
-            if t:
-                out.append((key[0], i, *t))
-        self.fold.update(tuple(st[n] for n in self.names))
+        st = json.loads(self.fold.get()[0]) if self.fold.exists() else self.start()
+        out = [(key[0], i, *event) for i, _, value in ready for event in self.take(st, i, value)]
+        self.fold.update((json.dumps(st),))
         self.buffer.clear()
         if later:
-            self.buffer.put([(t, i, w) for i, t, w in later])
+            self.buffer.put([(t, i, v) for i, t, v in later])
             self._arm(now)
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
 
@@ -68,6 +66,12 @@ class CanaryProcessor(StatefulProcessor):
         pass
 
 
+def _folded(rows: DataFrame, value: str, start: Callable[[], dict], take: Callable[[dict, int, str], list[tuple[str, str]]]) -> DataFrame:
+    ship(rows.sparkSession)
+    rows = rows.select("run_id", "ts", "request_index", F.col(value).cast("string").alias("value"))
+    return rows.groupBy("run_id").transformWithStateInPandas(OrderedFold(start, take), OUT, "append", "eventTime")
+
+
 def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """(run_id, seq, ts, ...) once each, within the watermark."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "seq"])
@@ -75,9 +79,34 @@ def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def canary_stream(verdicts: DataFrame, canary: Canary) -> DataFrame:
     """Transitions of a stream of run_id, ts, request_index, win that has a watermark on ts."""
-    ship(verdicts.sparkSession)
-    rows = verdicts.select("run_id", "ts", "request_index", F.col("win").cast("int").alias("win"))
-    return rows.groupBy("run_id").transformWithStateInPandas(CanaryProcessor(canary), OUT, "append", "eventTime")
+
+    def take(st: dict, index: int, win: str) -> list[tuple[str, str]]:
+        t = canary.step(st, int(win))
+        return [(t[0], json.dumps({"stage": t[1], "share": t[2], "verdicts_in_stage": t[3]}))] if t else []
+
+    return _folded(verdicts, "win", canary.start, take)
+
+
+def decision_stream(verdicts: DataFrame, rule: Decision) -> DataFrame:
+    """First alarm and first promotion of each run; a row whose win is -1 is a drift alarm's reset."""
+
+    def take(st: dict, index: int, win: str) -> list[tuple[str, str]]:
+        if int(win) < 0:
+            rule.reset(st)
+            return [("test_reset", "")]
+        return [(kind, "") for kind in rule.step(st, int(win), index)]
+
+    return _folded(verdicts, "win", rule.start, take)
+
+
+def drift_stream(requests: DataFrame, monitor: Drift) -> DataFrame:
+    """The drift alarm of each run of run_id, ts, request_index, topic."""
+
+    def take(st: dict, index: int, topic: str) -> list[tuple[str, str]]:
+        seen = monitor.step(st, topic)
+        return [("drift_alarm", json.dumps({"psi": seen[1], "threshold": monitor.threshold}))] if seen and seen[2] else []
+
+    return _folded(requests, "topic", monitor.start, take)
 
 
 def to_log(stream: DataFrame, log_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
