@@ -53,14 +53,14 @@ def test_sprt_and_mixture_equal_folds(stream):
                 break
         assert (got[k]["decision"], got[k]["stop"]) == (decision, stop)
         first = next(iter(folds.fold_rows(canary, zip(range(len(g)), g["win"].tolist()))), None)
-        assert mixed[k] == (first and first[-1])
+        assert mixed[k] == (first and first[0] + 1)
 
 
 def test_canary_batch_equals_fold(stream):
     canary = folds.Canary(h=5.0, margin=0.1, alpha=0.2)
     got = sorted(tuple(r) for r in folds.canary_transitions(stream, "k", canary).collect())
     want = sorted((k, *t) for k, g in groups(stream) for t in folds.fold_rows(canary, zip(g["request_index"].tolist(), g["win"].tolist())))
-    assert got == want and any(t[2] == "rollback" for t in got) and any(t[2] == "advanced" for t in got)
+    assert got == want and any(t[2] == "canary_rolled_back" for t in got) and any(t[2] == "canary_advanced" for t in got)
     with pytest.raises(ValueError):
         folds.Canary(p0=0.4, p1=0.5)
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from ..functions.mathx import psi
 
-#: Traffic shares of the stages of a canary, first to last.
-STAGES = (("canary-1", 0.01), ("canary-5", 0.05), ("canary-25", 0.25), ("full", 1.0))
+#: Stages of a canary and their traffic shares, first to last, and what follows.
+STAGES = (("shadow", 0.0), ("canary-1", 0.01), ("canary-5", 0.05), ("canary-25", 0.25))
+FULL, ROLLED_BACK = ("full", 1.0), ("rolled-back", 0.0)
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ class Canary:
         st["total"] += 1
         if st["stat"] >= self.h:
             st["over"] = 1
-            return "rollback", STAGES[st["stage"]][0], 0.0, st["n"] + 1
+            return "canary_rolled_back", *ROLLED_BACK, st["n"] + 1
         p = self.p0 - self.margin
         st["n"] += 1
         st["s"] += win
@@ -67,13 +68,12 @@ class Canary:
         mix = st["lf_s"] + st["lf_f"] - st["lf_n"] - math.log(st["n"] + 1) + math.log(st["tail"]) - math.log(1 - p) - st["s"] * math.log(p) - f * math.log(1 - p)
         if mix < math.log(len(STAGES) / self.alpha):
             return None
-        n, last = st["n"], st["stage"] == len(STAGES) - 1
+        st["stage"] += 1
         st.update(n=0, s=0, lf_n=0.0, lf_s=0.0, lf_f=0.0, tail=-1.0)
-        if last:
+        if st["stage"] == len(STAGES):
             st["over"] = 1
-            return "promoted", STAGES[-1][0], 1.0, n
-        st["stage"] += 1
-        return "advanced", *STAGES[st["stage"]], n
+            return "canary_promoted", *FULL, 0
+        return "canary_advanced", *STAGES[st["stage"]], 0
 
 
 @dataclass(frozen=True)
