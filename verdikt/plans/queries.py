@@ -437,6 +437,13 @@ def idempotent_append(spark, sf):
     return twice.unionByName(again).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq"))
 
 
+@query(oracle("").rstrip() + f", {LOGGED} SELECT 'run-1' AS run_id, max(seq) AS max_seq FROM logged UNION ALL SELECT 'run-2', max(seq) FROM logged WHERE type = 'verdict_recorded'")
+def run_index(spark, sf):
+    e = _events(spark, sf)
+    second = e.filter("type = 'verdict_recorded'").withColumn("run_id", F.lit("run-2"))
+    return e.unionByName(second).groupBy("run_id").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("max_seq"))
+
+
 @query(oracle("").rstrip() + f", {LOGGED} SELECT seq, type FROM logged WHERE seq > 1000 ORDER BY seq LIMIT 500")
 def log_tail(spark, sf):
     return _events(spark, sf).filter("seq > 1000").orderBy("seq").limit(500).select("seq", "type")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..functions.mathx import JudgeChannel, SprtDesign, plan
 from ..operators import metrics
 from ..operators import montecarlo as mc
@@ -76,3 +78,16 @@ def sprt_validation(spark, sf):
 def planning_calculator(spark, sf):
     p = plan(0.5, 0.55, JudgeChannel(0.85, 0.25))
     return spark.createDataFrame([tuple(p.values())], ", ".join(f"{k} double" for k in p))
+
+
+@query()
+def wald_curve(spark, sf):
+    """Promotion probability and mean length over true rates, root found in Arrow batches."""
+    ship(spark)
+    d = SprtDesign(0.5, 0.55)
+
+    @F.pandas_udf("accept double, n double")
+    def curve(p: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"accept": [d.accept_h1(x) for x in p], "n": [d.expected_n(x) for x in p]})
+
+    return spark.range(40, 65).select((F.col("id") / 100.0).alias("p")).withColumn("c", curve("p")).select("p", "c.accept", "c.n")
