@@ -44,6 +44,8 @@ BEGINNINGS = range(3, 9)
 REACH = 6
 #: Tokens remembered as looked up; beyond it the memory starts anew. It changes no result.
 SEEN = 400_000
+#: Characters of texts whose tokens are looked up together.
+GROUP = 1 << 22
 
 
 def tolerance(term: str) -> int:
@@ -136,11 +138,17 @@ class Matcher:
 
     def matches(self, texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
         """For each text its words, lower-cased, and the places of matches."""
-        for text in texts:
-            words = text.lower().split()
-            self.learn(set(words))
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < GROUP:
+                group.append(texts[at].lower().split())
+                size += len(texts[at])
+                at += 1
+            self.learn(set().union(*group))  # one walk of the trie for all their new tokens
             known = self.known
-            yield words, [i for i, w in enumerate(words) if w in known]
+            for words in group:
+                yield words, [i for i, w in enumerate(words) if w in known]
 
 
 def quotation(words: list[str], at: int) -> float:
