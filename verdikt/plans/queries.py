@@ -79,7 +79,7 @@ requests AS (
 ), mid AS (
   SELECT CAST(floor((min(request_index) + max(request_index)) / 2.0) AS BIGINT) AS cp FROM requests
 ), shadow AS (
-  SELECT r.*, CASE WHEN r.request_index >= cp THEN 0.3 ELSE 0.0 END AS epsilon_active,
+  SELECT r.*, CAST(CASE WHEN r.request_index >= cp THEN 0.3 ELSE 0.0 END AS DOUBLE) AS epsilon_active,
          CASE WHEN {U('challenger#mixture')} < CASE WHEN r.request_index >= cp THEN 0.3 ELSE 0.0 END THEN 'bad' ELSE 'good' END AS source_pool
   FROM requests r, mid WHERE {U('__router__')} < 0.8
 ), paired AS (
@@ -132,7 +132,7 @@ def canary_share_filter(spark, sf):
     return traffic.sampled(requests(spark, sf), SEED, "__canary__", 0.25).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(oracle("SELECT request_index, CASE WHEN request_index >= cp AND topic = 'click' THEN 0.5 ELSE 0.0 END AS epsilon FROM requests, mid"))
+@query(oracle("SELECT request_index, CAST(CASE WHEN request_index >= cp AND topic = 'click' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS epsilon FROM requests, mid"))
 def topic_step_schedule(spark, sf):
     r = requests(spark, sf)
     return r.select("request_index", traffic.step_schedule(midpoint(r), 0.5, "click").alias("epsilon"))
