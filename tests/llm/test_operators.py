@@ -268,9 +268,9 @@ def test_ctw_probabilities_sum_to_one_and_score(docs, rows, empty):
     learned = [t for i, t in texts(rows) if i is None or i % 5 != 1]
     counts = Counter(w for t in learned for w in lm_scoring.tokens_of(t.encode()))
     total, distinct = sum(counts.values()), len(counts)
-    for limit in (lm_scoring.RESIDENT, 40):
+    for limit, share in ((lm_scoring.RESIDENT, lm_scoring.SHARE), (40, 200)):
         got = {}
-        for r in lm_scoring.score_texts(docs, train, limit).collect():
+        for r in lm_scoring.score_texts(docs, train, limit, share).collect():
             got.setdefault(r["doc_id"], r)
         for i, t in texts(rows):
             own = lm_scoring.tokens_of(t.encode())

@@ -13,8 +13,10 @@ byte follows.
 added up in each task and then by key. The trees are built where the grams with the
 same two last context bytes meet; the two upper levels have at most 256 * 256 nodes.
 Probabilities are made once for each distinct gram. Scoring streams through the texts
-with the most frequent grams and words in memory, at most ``resident`` of each; what a
-text has of others is summed by a join with the full tables.
+with frequent grams and words in memory; what a text has of others is summed by a join
+with the full tables. Frequent words are those of at least one in ``share`` of all tokens:
+there are at most ``share`` of them, and the part of the tokens they leave to the join is
+alike at every size. Grams, whose number levels off, are the most frequent ``limit``.
 
 Defined cases: null and empty texts are the end alone; a null doc_id is scored (and
 learned from) as any other; rows of equal doc_id are rows of their own; an empty
@@ -42,6 +44,7 @@ END = b"\n"
 #: Bytes counted or looked up at once.
 CHUNK = 1 << 22
 RESIDENT = 2_000_000
+SHARE = 1 << 21
 _U = np.uint64
 
 
@@ -256,7 +259,7 @@ def resident(table: DataFrame, value: str, limit: int) -> tuple[Table, bool]:
             break
         kept, least = kept + count, s
     got = table.filter(size >= (1 << 20 if least is None else least)).select("key", value).toArrow()
-    return Table(got.column("key").to_numpy().view(np.uint64), got.column(value).to_numpy().astype(np.float32 if value == "lp" else np.int64)), kept == sum(c for _, c in steps)
+    return Table(got.column("key").to_numpy().view(np.uint64), got.column(value).to_numpy().astype(np.float32)), kept == sum(c for _, c in steps)
 
 
 OUT = "doc_id long, dk long, th long, n_bytes long, n_tokens long, n_known long, base double, score double, words array<long>, grams array<long>"
@@ -288,7 +291,7 @@ def _missing(rows: DataFrame, column: str) -> DataFrame:
     return items.groupBy("dk", "th", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def score_texts(docs: DataFrame, train: Column, limit: int = RESIDENT) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, limit: int = RESIDENT, share: int = SHARE) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of docs.
 
     ``train`` says which rows are learned from.
@@ -320,7 +323,8 @@ def score_texts(docs: DataFrame, train: Column, limit: int = RESIDENT) -> DataFr
             yield from pa.table({"key": t.column("key"), "n": t.column("n"), "lp": lp}).to_batches()
 
     made = written(dealt.mapInArrow(scores, "key long, n long, lp double"))
-    words_table, all_words = resident(vocabulary, "n", limit)
+    frequent = vocabulary.filter(F.col("n") >= total / share).select("key", "n").toArrow()
+    words_table = Table(frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_numpy())
     grams_table, all_grams = resident(made, "lp", limit)
     words_in, grams_in = spark.sparkContext.broadcast(words_table), spark.sparkContext.broadcast(grams_table)
     del words_table, grams_table
