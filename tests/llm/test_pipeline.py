@@ -44,3 +44,25 @@ def test_pipeline(spark, tmp_path):
         at += len(b) // 4
     got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf).collect()]
     assert sorted(got) == want
+
+
+def test_near_dedup_takes_five_words_and_similarity(spark):
+    """Texts with a replaced word: against all pairs, which two bits of a fingerprint do not reach."""
+    rng = random.Random(3)
+    texts = []
+    for g in range(12):
+        base = words(rng, 60 + 40 * g).split(" ")
+        texts += [" ".join(base)] * 2
+        for k in range(1, 4):
+            near = list(base)
+            for at in rng.sample(range(len(base)), k * (1 + g // 4)):
+                near[at] = f"new{at}"
+            texts.append(" ".join(near))
+    texts += [words(rng, 40) for _ in range(20)] + ["four words of text", "Four words of TEXT", "", None]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    root = least_of_components(len(texts), near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == sorted(set(root))
+    prints = [brute_print(t or "") for t in texts]
+    assert len(set(root)) < len(set(least_of_components(len(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)))
