@@ -420,3 +420,23 @@ def test_decontamination(spark, docs, empty):
 def test_written_tables_outlive_their_source(spark, docs):
     t = common.written(docs.select("doc_id", "lang"), "lang")
     assert t.count() == docs.count() and json.loads(t.schema.json()) == json.loads(docs.select("doc_id", "lang").schema.json())
+
+
+def matches(spark, texts, items):
+    docs = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontaminate.contaminated(docs, items).collect()}
+
+
+def test_decontamination_by_occurrence(spark):
+    rng = random.Random(8)
+    twice = "yesterday our friend bought 3 apples at the store and later someone bought 5 apples at the store"
+    ask = "a train leaves the old station at 12 and goes 340 km to Dover where it meets 17 others"
+    form = ask.replace("340", "77").replace("17", "9")
+    third = form.replace("77", "55").replace("at 12", "at 8")
+    swapped = twice.replace("3", "7").replace("5 ", "4 ")
+    texts = [words(rng, 9) + " " + twice, ask + " " + words(rng, 40) + " " + form, form + " " + third, ask + " " + words(rng, 60) + " and goes 99 km to Dover " + words(rng, 9)]
+    texts += [swapped, ask.replace("and goes", "and then it goes"), twice.replace("bought 3", "bought 4").replace("bought 5", "bought 4")]
+    texts += [" ".join(ask.split()[9:]) + " " + words(rng, 99) + " " + " ".join(ask.split()[:9])]
+    got = matches(spark, texts, [twice, ask])
+    assert got == {(0, 0): False, (1, 1): False, (2, 1): True, (3, 1): False, (4, 0): True, (5, 1): False, (7, 1): False}, got

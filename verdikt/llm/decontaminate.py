@@ -4,8 +4,9 @@ A text becomes a template: numbers, names and units turn into typed placeholders
 the rest is lower-cased and stripped of punctuation. Windows of ``window`` template
 tokens are hashed and hash-joined with those of the benchmark, which catches questions
 asked again with other numbers or names. The placeholders' own values travel with a
-window; a document and item match where one value of the item always stands for one
-value of the document, and the other way round (slot consistency).
+window; an occurrence of an item in a document counts where one value of the item always
+stands for one value of the document, and the other way round (slot consistency). Two
+occurrences, as windows that an item repeats, may differ in their values.
 
 Reported are pairs whose matching windows cover at least ``coverage`` of the item's
 tokens. Windows of placeholders alone say nothing, so a window needs ``min_words``
@@ -15,8 +16,8 @@ texts of as many tokens.
 Scale: documents stream through one generator and the join; no text is shuffled. The
 windows of the benchmark are broadcast when counted at ``max_broadcast`` rows at
 most, else both sides are shuffled by window hash, where Spark splits skewed
-partitions; window hashes of documents are distinct within a document then. What
-is grouped are hits, a set of positions bounded by an item's length.
+partitions. Hits are written and grouped by document, item and offset; what is
+grouped is bounded by an item's length.
 
 Defined cases: null and empty texts and items match nothing; rows of equal doc_id are
 one document; items of equal text are each reported; a null doc_id or item_id is
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded_broadcast, documents
+from .common import SPACE, bounded_broadcast, documents, written
 
 #: Between a placeholder and the value it stands for; a control character that texts' tokens lose.
 MARK = "\u0001"
@@ -82,6 +83,63 @@ def windows(rows: DataFrame, ids: list[str], window: int, min_words: int) -> Dat
     return made.filter("h IS NOT NULL")
 
 
+def _consistent(slots: Column) -> Column:
+    """One value of the item stands for one value of the document, and the other way round."""
+    a, b = F.array_distinct(F.transform(slots, lambda s: s["a"])), F.array_distinct(F.transform(slots, lambda s: s["b"]))
+    return (F.size(slots) == F.size(a)) & (F.size(slots) == F.size(b))
+
+
+def _changed(slots: Column) -> Column:
+    return F.exists(slots, lambda s: ~s["a"].eqNullSafe(s["b"]))
+
+
+def _covered(at: Column, window: int) -> Column:
+    return F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, F.least(p + window, F.col("item_n")) - 1))))
+
+
+def _slots(pairs: Column) -> Column:
+    """Distinct value pairs of all slots."""
+    return F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.arrays_zip(p["item_slots"].alias("a"), p["slots"].alias("b")))))
+
+
+def _aligned(hits: DataFrame, window: int, coverage: float) -> DataFrame:
+    """(doc_id, item_id, item_n, covered, changed): the best occurrence of each pair.
+
+    Hits of one offset of the item in the document are a run. A run takes in others
+    within an item's length or two that agree with its values, longest first, as text put
+    in or left out shifts the rest; what disagrees belongs to another occurrence.
+    """
+    ids = ["doc_id", "item_id", "item_n"]
+    runs = hits.groupBy(*ids, (F.col("pos") - F.col("item_pos")).alias("offset")).agg(F.collect_set("item_pos").alias("at"), F.collect_set("pair").alias("pairs"))
+    runs = runs.select(*ids, "offset", F.struct(_covered(F.col("at"), window).alias("c"), _slots(F.col("pairs")).alias("s")).alias("run"))
+    # overlapping blocks of offsets, each two item's lengths: what belongs together meets in one
+    block = F.floor(F.col("offset") / F.col("item_n"))
+    near = runs.filter(_consistent(F.col("run.s"))).withColumn("block", F.explode(F.array(block, block - 1)))
+    near = near.groupBy(*ids, "block").agg(F.collect_list("run").alias("runs"))
+    near = near.filter(F.size(F.array_distinct(F.flatten("runs.c"))) >= coverage * F.col("item_n"))
+    near = near.withColumn("runs", F.reverse(F.array_sort(F.transform("runs", lambda r: F.struct(F.size(r["c"]).alias("n"), r["c"].alias("c"), r["s"].alias("s"))))))
+
+    def taken(seed: Column) -> Column:
+        def add(own: Column, r: Column) -> Column:
+            s = F.array_union(own["s"], r["s"])
+            return F.when(_consistent(s), F.struct(F.array_union(own["c"], r["c"]).alias("c"), s.alias("s"))).otherwise(own)
+
+        return F.aggregate("runs", F.struct(seed["c"].alias("c"), seed["s"].alias("s")), add)
+
+    made = F.transform(F.transform("runs", taken), lambda r: F.struct(_changed(r["s"]).alias("changed"), (-F.size(r["c"])).alias("less")))
+    found = near.select(*ids, F.inline(made)).filter(-F.col("less") >= coverage * F.col("item_n"))
+    return found.groupBy(*ids).agg(F.min(F.struct("changed", "less")).alias("k")).select(*ids, (-F.col("k.less")).alias("covered"), F.col("k.changed").alias("changed"))
+
+
+def _scattered(hits: DataFrame, window: int, coverage: float) -> DataFrame:
+    """The same for an item whose parts lie anywhere in the document, if all hits agree."""
+    ids = ["doc_id", "item_id", "item_n"]
+    found = hits.groupBy(*ids).agg(F.collect_set("item_pos").alias("at"), F.collect_set("pair").alias("pairs"))
+    found = found.select(*ids, F.size(_covered(F.col("at"), window)).alias("covered"), _slots(F.col("pairs")).alias("slots"))
+    found = found.filter((F.col("covered") >= coverage * F.col("item_n")) & _consistent(F.col("slots")))
+    return found.select(*ids, "covered", _changed(F.col("slots")).alias("changed"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, min_words: int = 3, max_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, n_tokens, covered, coverage, reparameterised) of each document and benchmark item that match."""
     items = windows(benchmark.select(benchmark["item_id"], benchmark["text"]), ["item_id"], window, min_words)
@@ -91,21 +149,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverag
     # a short item is a window of its own length: it matches whole texts only
     hits = hits.filter((F.col("item_n") >= window) | (F.col("item_n") == F.col("doc_n")))
     pair = F.when(F.size("slots") > 0, F.struct("item_slots", "slots"))
-    found = hits.groupBy("doc_id", "item_id").agg(
-        F.first("item_n").alias("n_tokens"), F.collect_set("item_pos").alias("at"), F.collect_set(pair).alias("pairs")
-    )
-    spread = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, F.least(p + window, F.col("n_tokens")) - 1))))
-    found = found.withColumn("covered", F.size(spread)).withColumn("coverage", F.col("covered") / F.col("n_tokens"))
-    found = found.filter(F.col("coverage") >= coverage)
-    # value pairs of all slots; a window whose slot counts differ is inconsistent
-    zipped = F.flatten(F.transform("pairs", lambda p: F.arrays_zip(p["item_slots"].alias("a"), p["slots"].alias("b"))))
-    found = found.withColumn("slots", F.array_distinct(zipped))
-    a, b = F.array_distinct(F.transform("slots", lambda s: s["a"])), F.array_distinct(F.transform("slots", lambda s: s["b"]))
-    consistent = (F.size("slots") == F.size(a)) & (F.size("slots") == F.size(b))
-    changed = F.exists("slots", lambda s: ~s["a"].eqNullSafe(s["b"]))
-    return found.filter(consistent).select(
-        "doc_id", "item_id", F.col("n_tokens").cast("long"), F.col("covered").cast("long"), "coverage", F.coalesce(changed, F.lit(False)).alias("reparameterised")
-    )
+    hits = written(hits.select("doc_id", "item_id", "item_n", "pos", "item_pos", pair.alias("pair")))
+    found = _aligned(hits, window, coverage).unionByName(_scattered(hits, window, coverage))
+    found = found.groupBy("doc_id", "item_id", "item_n").agg(F.min(F.struct("changed", (-F.col("covered")).alias("less"))).alias("k"))
+    n, covered = F.col("item_n").cast("long"), (-F.col("k.less")).cast("long")
+    return found.select("doc_id", "item_id", n.alias("n_tokens"), covered.alias("covered"), (covered / n).alias("coverage"), F.coalesce("k.changed", F.lit(False)).alias("reparameterised"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
