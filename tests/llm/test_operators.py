@@ -440,3 +440,13 @@ def test_decontamination_by_occurrence(spark):
     texts += [" ".join(ask.split()[9:]) + " " + words(rng, 99) + " " + " ".join(ask.split()[:9])]
     got = matches(spark, texts, [twice, ask])
     assert got == {(0, 0): False, (1, 1): False, (2, 1): True, (3, 1): False, (4, 0): True, (5, 1): False, (7, 1): False}, got
+
+
+def test_decontamination_of_items_dense_in_values(spark):
+    rng = random.Random(9)
+    dense = ["A train travels 60 km in 2 hours and 90 km in 3 hours. Find its average speed.", "What is 15 percent of 240 dollars?", "If 3 kg cost 12 dollars, how much do 7 kg cost?"]
+    dense += ["Compute 12 + 37 x 4 - 9 + 81 - 5", "Convert 5 km 300 m 20 cm to meters.", "1 2 3 4 5 6 7"]
+    other = [dense[0].replace("60", "50").replace("90", "70"), dense[1].replace("15", "25").replace("240", "80"), dense[2].replace("12", "20").replace("7", "9")]
+    other += [dense[4].replace("300", "800").replace("20", "70"), "9 8 7 6 5 4 3", "Compute 21 + 73 x 6 - 8 + 18 - 7"]
+    got = matches(spark, [words(rng, 9) + " . " + t + " . " + words(rng, 9) for t in dense + other], dense)
+    assert got == {(i, i): False for i in range(6)} | {(6, 0): True, (7, 1): True, (8, 2): True, (9, 4): True}, got

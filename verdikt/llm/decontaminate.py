@@ -9,8 +9,9 @@ stands for one value of the document, and the other way round (slot consistency)
 occurrences, as windows that an item repeats, may differ in their values.
 
 Reported are pairs whose matching windows cover at least ``coverage`` of the item's
-tokens. Windows of placeholders alone say nothing, so a window needs ``min_words``
-plain words. A text of fewer tokens than a window is one window; it matches whole
+tokens. A window with placeholders is also matched by its own words, so a plain copy
+matches whatever it holds. Placeholders alone say nothing: as a template a window needs
+a plain word, and the run of windows it stands in ``min_words`` of them. A text of fewer tokens than a window is one window; it matches whole
 texts of as many tokens.
 
 Scale: documents stream through one generator and the join; no text is shuffled. The
@@ -33,6 +34,7 @@ from .common import SPACE, bounded_broadcast, documents, written
 
 #: Between a placeholder and the value it stands for; a control character that texts' tokens lose.
 MARK = "\u0001"
+PLACEHOLDER = f"<(?:name|num|unit)>{MARK}"
 UNITS = (
     "km|m|cm|mm|mi|miles?|feet|foot|ft|inch(?:es)?|yards?|kilomet(?:er|re)s?|met(?:er|re)s?|centimet(?:er|re)s?|"
     "kg|g|mg|kilograms?|grams?|lbs?|pounds?|ounces?|oz|tons?|tonnes?|l|ml|lit(?:er|re)s?|gallons?|"
@@ -58,8 +60,13 @@ def template(text: Column) -> Column:
     return F.lower(F.btrim(t, F.lit(" \t\n\x0b\f\r")))
 
 
-def windows(rows: DataFrame, ids: list[str], window: int, min_words: int) -> DataFrame:
-    """(ids, n, pos, h, slots): the hashed windows; slots are the placeholders' values, null if there are none.
+def windows(rows: DataFrame, ids: list[str], window: int, min_words: int, places: bool = False) -> DataFrame:
+    """(ids, n, pos, h, plain, strong, slots, words): the hashed windows.
+
+    Every window comes with its own words (plain), and one with placeholders comes as a
+    template too if it has a plain word; slots are the placeholders' values, null if
+    there are none, words the places of plain words (if asked for), and strong says if a
+    window counts by itself.
 
     Tokens are taken by index, as slicing an array costs its whole length each time.
     """
@@ -68,19 +75,30 @@ def windows(rows: DataFrame, ids: list[str], window: int, min_words: int) -> Dat
     both = tokens.select(
         *ids, "tokens", marked.alias("marked"), F.size("tokens").alias("n"),
         F.when(marked, F.transform("tokens", lambda t: F.substring_index(t, MARK, 1))).otherwise(F.col("tokens")).alias("kinds"),
+        F.when(marked, F.transform("tokens", lambda t: F.regexp_replace(t, PLACEHOLDER, ""))).otherwise(F.col("tokens")).alias("values"),
     )
+    length = F.least(F.lit(window), F.col("n"))
+
+    def held(i: Column) -> Column:
+        slots = F.filter(F.array(*[F.get("tokens", i + k) for k in range(window)]), lambda t: t.contains(MARK))
+        return F.struct(i.alias("pos"), F.when(F.col("marked"), slots).alias("slots"))
+
+    def forms(w: Column) -> Column:
+        pos, slots = w["pos"], w["slots"]
+        free = slots.isNull() | (F.size(slots) == 0)
 
-    def at(i: Column) -> Column:
-        h = F.xxhash64(*[F.get("kinds", i + k) for k in range(window)])
-        own = [F.get("tokens", i + k) for k in range(window)]
-        slots = F.filter(F.array(*own), lambda t: t.contains(MARK))
-        plain = F.least(F.lit(window), F.col("n")) - F.size(slots)
-        enough = ~F.col("marked") | (plain >= F.least(F.lit(min_words), F.col("n")))
-        return F.struct(i.alias("pos"), F.when(enough, h).alias("h"), F.when(F.col("marked"), slots).alias("slots"))
+        def form(tokens: str, plain: bool, strong: Column) -> Column:
+            h = F.xxhash64(*[F.get(tokens, pos + k) for k in range(window)])
+            made = [pos.alias("pos"), h.alias("h"), F.lit(plain).alias("plain"), strong.alias("strong"), slots.alias("slots")]
+            words = F.filter(F.sequence(pos, pos + length - 1), lambda p: ~F.get("tokens", p).contains(MARK))
+            return F.struct(*made, words.alias("words")) if places else F.struct(*made)
+
+        as_words = form("values", True, free)
+        as_template = form("kinds", False, length - F.size(slots) >= F.least(F.lit(min_words), F.col("n")))
+        return F.when(~free & (F.size(slots) < length), F.array(as_words, as_template)).otherwise(F.array(as_words))
 
     spots = F.when(F.get("tokens", F.lit(0)) != "", F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - window)))
-    made = both.select(*ids, "n", F.inline(F.transform(spots, at)))
-    return made.filter("h IS NOT NULL")
+    return both.select(*ids, "n", F.inline(F.flatten(F.transform(F.transform(spots, held), forms))))
 
 
 def _consistent(slots: Column) -> Column:
@@ -102,16 +120,23 @@ def _slots(pairs: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.arrays_zip(p["item_slots"].alias("a"), p["slots"].alias("b")))))
 
 
-def _aligned(hits: DataFrame, window: int, coverage: float) -> DataFrame:
+def _aligned(hits: DataFrame, window: int, coverage: float, min_words: int) -> DataFrame:
     """(doc_id, item_id, item_n, covered, changed): the best occurrence of each pair.
 
     Hits of one offset of the item in the document are a run. A run takes in others
     within an item's length or two that agree with its values, longest first, as text put
-    in or left out shifts the rest; what disagrees belongs to another occurrence.
+    in or left out shifts the rest; what disagrees belongs to another occurrence. Templates count where the
+    run covers min_words plain words.
     """
     ids = ["doc_id", "item_id", "item_n"]
-    runs = hits.groupBy(*ids, (F.col("pos") - F.col("item_pos")).alias("offset")).agg(F.collect_set("item_pos").alias("at"), F.collect_set("pair").alias("pairs"))
-    runs = runs.select(*ids, "offset", F.struct(_covered(F.col("at"), window).alias("c"), _slots(F.col("pairs")).alias("s")).alias("run"))
+    exact = F.when(F.col("plain"), F.col("item_pos"))
+    runs = hits.groupBy(*ids, (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
+        F.collect_set("item_pos").alias("at"), F.collect_set("pair").alias("pairs"), F.collect_set("words").alias("words"),
+        F.collect_set(exact).alias("exact"), F.collect_set(F.when(F.col("plain"), F.col("pair"))).alias("own"),
+    )
+    enough = F.size(F.array_distinct(F.flatten("words"))) >= F.least(F.lit(min_words), F.col("item_n"))
+    at, pairs = F.when(enough, F.col("at")).otherwise(F.col("exact")), F.when(enough, F.col("pairs")).otherwise(F.col("own"))
+    runs = runs.select(*ids, "offset", F.struct(_covered(at, window).alias("c"), _slots(pairs).alias("s")).alias("run"))
     # overlapping blocks of offsets, each two item's lengths: what belongs together meets in one
     block = F.floor(F.col("offset") / F.col("item_n"))
     near = runs.filter(_consistent(F.col("run.s"))).withColumn("block", F.explode(F.array(block, block - 1)))
@@ -142,15 +167,18 @@ def _scattered(hits: DataFrame, window: int, coverage: float) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, min_words: int = 3, max_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, n_tokens, covered, coverage, reparameterised) of each document and benchmark item that match."""
-    items = windows(benchmark.select(benchmark["item_id"], benchmark["text"]), ["item_id"], window, min_words)
+    items = windows(benchmark.select(benchmark["item_id"], benchmark["text"]), ["item_id"], window, min_words, places=True).drop("strong")
     items = items.withColumnsRenamed({"n": "item_n", "pos": "item_pos", "slots": "item_slots"})
-    own = windows(docs.select(docs["doc_id"], docs["text"]), ["doc_id"], window, min_words).withColumnRenamed("n", "doc_n")
-    hits = own.join(bounded_broadcast(items, max_broadcast), "h")
+    own = windows(docs.select(docs["doc_id"], docs["text"]), ["doc_id"], window, min_words)
+    own = own.select("doc_id", F.col("n").alias("doc_n"), "pos", "slots", "strong", "h", F.col("plain").alias("doc_plain"))
+    # words match words, with the item's values on both sides, and templates match templates
+    hits = own.join(bounded_broadcast(items, max_broadcast), "h").filter(F.col("plain") == F.col("doc_plain"))
     # a short item is a window of its own length: it matches whole texts only
     hits = hits.filter((F.col("item_n") >= window) | (F.col("item_n") == F.col("doc_n")))
-    pair = F.when(F.size("slots") > 0, F.struct("item_slots", "slots"))
-    hits = written(hits.select("doc_id", "item_id", "item_n", "pos", "item_pos", pair.alias("pair")))
-    found = _aligned(hits, window, coverage).unionByName(_scattered(hits, window, coverage))
+    theirs = F.when(F.col("plain"), F.col("item_slots")).otherwise(F.col("slots"))
+    pair = F.when(F.size("item_slots") > 0, F.struct("item_slots", theirs.alias("slots")))
+    hits = written(hits.select("doc_id", "item_id", "item_n", "pos", "item_pos", "plain", "strong", "words", pair.alias("pair")))
+    found = _aligned(hits, window, coverage, min_words).unionByName(_scattered(hits.filter("strong"), window, coverage))
     found = found.groupBy("doc_id", "item_id", "item_n").agg(F.min(F.struct("changed", (-F.col("covered")).alias("less"))).alias("k"))
     n, covered = F.col("item_n").cast("long"), (-F.col("k.less")).cast("long")
     return found.select("doc_id", "item_id", n.alias("n_tokens"), covered.alias("covered"), (covered / n).alias("coverage"), F.coalesce("k.changed", F.lit(False)).alias("reparameterised"))
