@@ -450,3 +450,13 @@ def test_decontamination_of_items_dense_in_values(spark):
     other += [dense[4].replace("300", "800").replace("20", "70"), "9 8 7 6 5 4 3", "Compute 21 + 73 x 6 - 8 + 18 - 7"]
     got = matches(spark, [words(rng, 9) + " . " + t + " . " + words(rng, 9) for t in dense + other], dense)
     assert got == {(i, i): False for i in range(6)} | {(6, 0): True, (7, 1): True, (8, 2): True, (9, 4): True}, got
+
+
+def test_decontamination_whatever_the_place_and_case_of_names(spark):
+    names = "Tom has 5 apples. Anna gives 3 apples. Ben eats 2 apples. How many apples do they have left?"
+    kate = names.replace("Tom", "Kate").replace("Anna", "Lena").replace("Ben", "Max")
+    two = "When Peter met Laura in March they had 12 books each. In April Laura gave Peter 4 books and Peter lost 3 in May."
+    other = two.lower().replace("12", "15").replace("4 ", "6 ")
+    texts = [kate, two.lower(), two.upper(), names.replace(" Anna", "\nAnna"), two.replace(" Laura", "\nLaura").replace(" Peter", "\n \nPeter"), kate.replace("Max", "Lena"), kate.replace(". ", ".\n").replace("5", "8"), other]
+    got = matches(spark, texts, [names, two])
+    assert got == {(0, 0): True, (1, 1): False, (2, 1): False, (3, 0): False, (4, 1): False, (6, 0): True, (7, 1): True}, got

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation (DataFrame operations only).
 
-A text becomes a template: numbers, names and units turn into typed placeholders,
-the rest is lower-cased and stripped of punctuation. Windows of ``window`` template
+A text becomes a template: numbers, names (capitalised words, but for usual starts of
+sentences) and units turn into typed placeholders, the rest is lower-cased and stripped of punctuation. Windows of ``window`` template
 tokens are hashed and hash-joined with those of the benchmark, which catches questions
 asked again with other numbers or names. The placeholders' own values travel with a
 window; an occurrence of an item in a document counts where one value of the item always
@@ -34,6 +34,7 @@ from .common import SPACE, bounded_broadcast, documents, written
 
 #: Between a placeholder and the value it stands for; a control character that texts' tokens lose.
 MARK = "\u0001"
+NAME = f"<name>{MARK}"
 PLACEHOLDER = f"<(?:name|num|unit)>{MARK}"
 UNITS = (
     "km|m|cm|mm|mi|miles?|feet|foot|ft|inch(?:es)?|yards?|kilomet(?:er|re)s?|met(?:er|re)s?|centimet(?:er|re)s?|"
@@ -41,6 +42,11 @@ UNITS = (
     "seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|degrees?|mph|km/h|watts?|volts?"
 )
 NUMBER = r"[+\-]?[$€£]?[0-9][0-9.,:/]*%?"
+#: Capitalised at the start of a sentence, and no names.
+STARTS = (
+    "The|An?|This|That|These|Those|There|Then|If|In|On|At|It|Its|Is|Are|Was|Were|He|She|They|We|You|His|Her|Their|How|What|Which|Who|When|Where|Why|"
+    "Find|Compute|Calculate|Convert|Solve|Give|Given|Suppose|Let|Each|Every|After|Before|For|From|And|But|So|By|To|Of|With|As|One|Two|Three|Four|Five"
+)
 BLANK = r"[\x20\x09-\x0D]"
 #: Punctuation and symbols but for < and >, as ranges, which the matcher tests fastest.
 PUNCTUATION = r"[!-/:;=?@\[-`{-~\u0080-©«-±´¶-¸»¿×÷‐-⯿　-〿]"
@@ -49,8 +55,8 @@ PUNCTUATION = r"[!-/:;=?@\[-`{-~\u0080-©«-±´¶-¸»¿×÷‐-⯿　-〿]"
 def template(text: Column) -> Column:
     """Placeholders carry their value behind MARK; white space stays as it is."""
     t = F.replace(text, F.lit(MARK), F.lit(" "))
-    # a name is a capitalised word inside a sentence: after a small letter, digit or comma and one blank
-    t = F.regexp_replace(t, r"(\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})[\p{Ll}'’]+)(?![\p{L}\p{N}])", f"<name>{MARK}$1")
+    # a name is a capitalised word anywhere, but for the words that sentences often begin with
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}'’])(?!(?:{STARTS})(?![\p{{L}}'’]))(\p{{Lu}}[\p{{Ll}}'’]+)(?![\p{{L}}\p{{N}}])", f"<name>{MARK}$1")
     # a unit counts as one right after a number
     n = F.regexp_replace(t, rf"(?i)(?<=[0-9])({BLANK}*)\b({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 <unit>{MARK}$2")
     n = F.regexp_replace(n, rf"(?<![\p{{L}}\p{{N}}{MARK}])({NUMBER})(?![\p{{L}}\p{{N}}])", f"<num>{MARK}$1")
@@ -64,8 +70,8 @@ def windows(rows: DataFrame, ids: list[str], window: int, min_words: int, places
     """(ids, n, pos, h, plain, strong, slots, words): the hashed windows.
 
     Every window comes with its own words (plain), and one with placeholders comes as a
-    template too if it has a plain word; slots are the placeholders' values, null if
-    there are none, words the places of plain words (if asked for), and strong says if a
+    template too if it has a plain word, and as one with its names for words; slots are
+    the placeholders' values, null if there are none, words the places of plain words (if asked for), and strong says if a
     window counts by itself.
 
     Tokens are taken by index, as slicing an array costs its whole length each time.
@@ -76,6 +82,7 @@ def windows(rows: DataFrame, ids: list[str], window: int, min_words: int, places
         *ids, "tokens", marked.alias("marked"), F.size("tokens").alias("n"),
         F.when(marked, F.transform("tokens", lambda t: F.substring_index(t, MARK, 1))).otherwise(F.col("tokens")).alias("kinds"),
         F.when(marked, F.transform("tokens", lambda t: F.regexp_replace(t, PLACEHOLDER, ""))).otherwise(F.col("tokens")).alias("values"),
+        F.when(marked, F.transform("tokens", lambda t: F.substring_index(F.replace(t, F.lit(NAME), F.lit("")), MARK, 1))).otherwise(F.col("tokens")).alias("nameless"),
     )
     length = F.least(F.lit(window), F.col("n"))
 
@@ -86,16 +93,22 @@ def windows(rows: DataFrame, ids: list[str], window: int, min_words: int, places
     def forms(w: Column) -> Column:
         pos, slots = w["pos"], w["slots"]
         free = slots.isNull() | (F.size(slots) == 0)
+        values = F.filter(slots, lambda t: ~t.contains(NAME))
 
-        def form(tokens: str, plain: bool, strong: Column) -> Column:
+        def form(tokens: str, plain: bool, strong: Column, slots: Column = slots, kept: str | None = None) -> Column:
             h = F.xxhash64(*[F.get(tokens, pos + k) for k in range(window)])
             made = [pos.alias("pos"), h.alias("h"), F.lit(plain).alias("plain"), strong.alias("strong"), slots.alias("slots")]
-            words = F.filter(F.sequence(pos, pos + length - 1), lambda p: ~F.get("tokens", p).contains(MARK))
+            words = F.filter(F.sequence(pos, pos + length - 1), lambda p: ~F.get("tokens", p).contains(MARK) | (F.get("tokens", p).contains(kept) if kept else F.lit(False)))
             return F.struct(*made, words.alias("words")) if places else F.struct(*made)
 
         as_words = form("values", True, free)
-        as_template = form("kinds", False, length - F.size(slots) >= F.least(F.lit(min_words), F.col("n")))
-        return F.when(~free & (F.size(slots) < length), F.array(as_words, as_template)).otherwise(F.array(as_words))
+        enough = F.least(F.lit(min_words), F.col("n"))
+        as_template = F.array(form("kinds", False, length - F.size(slots) >= enough))
+        as_template = F.when(F.size(slots) < length, as_template).otherwise(F.slice(as_template, 1, 0))
+        # names as words, so that those of other case match where numbers were changed
+        as_nameless = F.array(form("nameless", False, length - F.size(values) >= enough, values, NAME))
+        mixed = (F.size(values) > 0) & (F.size(values) < F.size(slots))
+        return F.when(free, F.array(as_words)).when(mixed, F.concat(F.array(as_words), as_template, as_nameless)).otherwise(F.concat(F.array(as_words), as_template))
 
     spots = F.when(F.get("tokens", F.lit(0)) != "", F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - window)))
     return both.select(*ids, "n", F.inline(F.flatten(F.transform(F.transform(spots, held), forms))))
