@@ -56,7 +56,7 @@ def template(text: Column) -> Column:
     """Placeholders carry their value behind MARK; white space stays as it is."""
     t = F.replace(text, F.lit(MARK), F.lit(" "))
     # a name is a capitalised word anywhere, but for the words that sentences often begin with
-    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}'’])(?!(?:{STARTS})(?![\p{{L}}'’]))(\p{{Lu}}[\p{{Ll}}'’]+)(?![\p{{L}}\p{{N}}])", f"<name>{MARK}$1")
+    t = F.regexp_replace(t, rf"(\p{{Lu}}(?<![\p{{L}}\p{{N}}'’]\p{{Lu}})(?<!(?=(?:{STARTS})(?![\p{{L}}'’]))\p{{Lu}})[\p{{Ll}}'’]+)(?![\p{{L}}\p{{N}}])", f"{NAME}$1")
     # a unit counts as one right after a number
     n = F.regexp_replace(t, rf"(?i)(?<=[0-9])({BLANK}*)\b({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 <unit>{MARK}$2")
     n = F.regexp_replace(n, rf"(?<![\p{{L}}\p{{N}}{MARK}])({NUMBER})(?![\p{{L}}\p{{N}}])", f"<num>{MARK}$1")
@@ -78,11 +78,15 @@ def windows(rows: DataFrame, ids: list[str], window: int, min_words: int, places
     """
     tokens = rows.select(*ids, F.split(template(F.coalesce("text", F.lit(""))), SPACE).alias("tokens"))
     marked = F.exists("tokens", lambda t: t.contains(MARK))
+
+    def told(f) -> Column:
+        return F.when(marked, F.transform("tokens", lambda t: F.when(t.contains(MARK), f(t)).otherwise(t))).otherwise(F.col("tokens"))
+
     both = tokens.select(
         *ids, "tokens", marked.alias("marked"), F.size("tokens").alias("n"),
-        F.when(marked, F.transform("tokens", lambda t: F.substring_index(t, MARK, 1))).otherwise(F.col("tokens")).alias("kinds"),
-        F.when(marked, F.transform("tokens", lambda t: F.regexp_replace(t, PLACEHOLDER, ""))).otherwise(F.col("tokens")).alias("values"),
-        F.when(marked, F.transform("tokens", lambda t: F.substring_index(F.replace(t, F.lit(NAME), F.lit("")), MARK, 1))).otherwise(F.col("tokens")).alias("nameless"),
+        told(lambda t: F.substring_index(t, MARK, 1)).alias("kinds"),
+        told(lambda t: F.regexp_replace(t, PLACEHOLDER, "")).alias("values"),
+        told(lambda t: F.substring_index(F.replace(t, F.lit(NAME), F.lit("")), MARK, 1)).alias("nameless"),
     )
     length = F.least(F.lit(window), F.col("n"))
 
