@@ -7,10 +7,12 @@ stripes are bounded in bytes, row indexes hold minima and maxima of every
 in parallel and a filter on doc_id prunes by metadata.
 
 Byte-level BPE never merges across the pieces that the tokenizer's pattern makes, and
-a piece never ends inside a word or begins after its blank. So texts whose white space
-is single blanks and newlines are encoded word by word, and the ids of words seen are
-kept, in bounded memory; any other text goes to the tokenizer whole. Special tokens'
-strings are plain text.
+a piece never ends inside a word or begins after its blank. So the words of many texts
+whose white space is single blanks and newlines are numbered together, each distinct word
+is encoded once, and the texts' ids are gathered by number; words seen are kept in bounded
+memory. Any other text goes to the tokenizer. Special tokens' strings are plain text. Very
+long texts are encoded in parts, cut before a blank between letters or digits, where every
+piece ends.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids come first;
 rows of equal doc_id are in order of their text's hash, and identical rows are
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,9 +40,15 @@ from .common import documents, shared_dir, ship, text_of, written
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: Words kept in each of two generations; it changes no result.
-CACHE = 400_000
+CACHE = 300_000
+#: Characters encoded together, and at most about as many of one text at once.
+GROUP = 1 << 21
 #: Texts to encode by words: characters on which the pattern is plain, single white space between.
 BY_WORDS = re.compile(r"[!-~¡-¬®-ɏ]+(?:[\n ][!-~¡-¬®-ɏ]+)*+")
+CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: Marks of a word without a blank before it, of the end of a text, and of a part encoded whole: no word has them.
+BARE, LAST, WHOLE = "\x01", "\x02", "\x03"
+LEAD = f"\n{BARE}"
 
 ORC = {
     "compression": "zstd",
@@ -52,8 +61,36 @@ ORC = {
 }
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: themselves if printable, else from U+0100 on."""
+    out, more = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(more)
+            more += 1
+    return out
+
+
+LETTERS = _byte_letters()
+BLANK = LETTERS[32]
+
+
+def parts(text: str, most: int = GROUP) -> Iterator[str]:
+    """A text in parts of about ``most`` characters, if it has places to cut."""
+    at = 0
+    while len(text) - at > most:
+        m = CUT.search(text, at + most)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 class Encoder:
-    """Text to token ids, as bytes of little-endian unsigned 32-bit integers."""
+    """Texts to token ids."""
 
     _of: dict[str, "Encoder"] = {}
 
@@ -63,7 +100,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.marks = {m: self._ids(m) for m in ".,;:!?"}
+        self.newline = self._ids("\n")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -75,51 +114,72 @@ class Encoder:
         return cls._of[path]
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Takes words over from the old generation or encodes them."""
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        old, young = self.old, self.young
-        unknown = [w for w in new if w not in old]
-        young.update((w, old[w]) for w in new if w in old)
-        # blank and letters: one piece; a mark behind them is another
-        marked = [w for w in unknown if w[-1] in self.marks and w[0] == " " and w[1:-1].isalpha()]
-        plain = {w for w in unknown if w[0] == " " and w[1:].isalpha()}
-        plain.update(w[:-1] for w in marked if w[:-1] not in young and w[:-1] not in old)
-        letters = list(plain)
-        if letters:  # each is one piece of the words run together, told by its number
-            e = self.tokenizer.encode("".join(letters), add_special_tokens=False)
-            ends = np.flatnonzero(np.diff(np.array(e.word_ids), append=-1)) + 1
-            ids, at = array("I", e.ids).tobytes(), 0
-            for w, z in zip(letters, (4 * ends).tolist()):
-                young[w] = ids[at:z]
-                at = z
-        for w in marked:
-            young[w] = (young.get(w[:-1]) or old[w[:-1]]) + self.marks[w[-1]]
-        others = [w for w in unknown if w not in young]
-        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            young[w] = array("I", e.ids).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, keys: list[str]) -> None:
+        """Encodes words. Letters or digits only, with the blank before them, are one piece, which
+        goes to the model itself; a mark behind letters is another."""
+        young, old = self.young, self.old
+        marked = [k for k in keys if k[-1] in self.marks and k[:-1].lstrip(LEAD).isalpha()]
+        stems = {k[:-1] for k in marked}
+        plain = [k for k in {*keys, *stems} if k not in young and k not in old and k.lstrip(LEAD).isalpha()]
+        tokenize = self.model.tokenize
+        for k in plain:
+            word = k if k.isascii() else k.encode().decode("latin-1").translate(LETTERS)
+            if k[0] == BARE:
+                made = tokenize(word[1:])
+            elif k[0] == "\n":
+                made = tokenize(word[2:])
+            else:
+                made = tokenize(BLANK + word)
+            ids = array("I", [t.id for t in made]).tobytes()
+            young[k] = self.newline + ids if k[0] == "\n" else ids
+        for k in marked:
+            stem = k[:-1]
+            young[k] = (young.get(stem) or old[stem]) + self.marks[k[-1]]
+        others = [k for k in keys if k not in young]
+        texts = [("" if k[0] == BARE else "\n" if k[0] == "\n" else " ") + k.lstrip(LEAD) for k in others]
+        for k, e in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            young[k] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by ``end``, and each one's number of ids."""
+        own = {LAST: array("I", [end]).tobytes()}
+        pieces: list[str] = []
+        for text in texts:
+            if text:
+                for i, part in enumerate(parts(text)):
+                    plain = part[1:] if i else part  # a later part begins with its blank
+                    if BY_WORDS.fullmatch(plain):
+                        pieces.append(("" if i else BARE) + plain.replace("\n", f" \n{BARE}"))
+                    else:
+                        pieces.append(f"{WHOLE}{len(own)}")
+                        own[pieces[-1]] = self._ids(part)
+            pieces.append(LAST)
+        words = pc.split_pattern(pa.array([" ".join(pieces)], pa.large_string()), " ").flatten().dictionary_encode()
+        del pieces
+        keys, which = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        young, old = self.young, self.old
+        if len(young) > CACHE:
+            young, old = self.young, self.old = {}, young
+        young.update((k, old[k]) for k in keys if k in old and k not in young)
+        unknown = [k for k in keys if k not in young and k not in own]
+        self._learn(unknown)
+        ids = [own.get(k) or young[k] for k in keys]
+        for k in unknown:
+            if len(k) > 64:
+                young.pop(k, None)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        stop = np.cumsum(n)
+        out = flat[np.repeat(first[which] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = stop[which == keys.index(LAST)]
+        return out, np.diff(ends, prepend=0)
 
     def __call__(self, text: str) -> bytes:
-        if not BY_WORDS.fullmatch(text):
-            return self._ids(text) if text else b""
-        # words keep the blank before them; a newline stands for itself
-        words = text.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n\0").split("\0")
-        words = [w for w in words if w]
-        new = list(set(words).difference(self.young))
-        if new:
-            self._learn(new)
-        try:
-            out = b"".join(map(self.young.__getitem__, words))
-        except KeyError:  # the generations changed meanwhile
-            self._learn(list(set(words).difference(self.young)))
-            out = b"".join(map(self.young.__getitem__, words))
-        for w in new:
-            if len(w) > 64:
-                self.young.pop(w, None)
-        return out
+        """The ids of one text, without an end, as little-endian unsigned 32-bit integers."""
+        return self.encode([text], 0)[0][:-1].tobytes()
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -128,28 +188,32 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: Tokens an output batch holds at most, with the text that exceeds it.
-BATCH_TOKENS = 1 << 21
+def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about GROUP characters."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= GROUP:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row, tail = Encoder.at(path), TaskContext.get().partitionId(), 0, np.array([end], "<u4").tobytes()
+        encoder, part, row = Encoder.at(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            at, ids, n = 0, [], 0
-            for i, text in enumerate(b.column("text").to_pylist()):
-                ids.append(encode(text) + tail)
-                n += len(ids[-1]) // 4
-                if n >= BATCH_TOKENS or i == b.num_rows - 1:
-                    sizes = np.array([len(x) // 4 for x in ids])
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                    values = pa.array(np.frombuffer(b"".join(ids), "<u4").view("<i4"))
-                    k = len(ids)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").slice(at, k), pa.array(np.full(k, part, np.int32)), pa.array(np.arange(row, row + k)), pa.ListArray.from_arrays(offsets, values)],
-                        ["doc_id", "part", "row", "ids"],
-                    )
-                    at, row, ids, n = at + k, row + k, [], 0
+            texts = b.column("text").to_pylist()
+            for at, stop in _groups(texts):
+                ids, sizes = encoder.encode(texts[at:stop], end)
+                k = stop - at
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(at, k), pa.array(np.full(k, part, np.int32)), pa.array(np.arange(row, row + k)), lists], ["doc_id", "part", "row", "ids"]
+                )
+                row += k
 
     return run
 
