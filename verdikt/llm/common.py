@@ -8,6 +8,7 @@ whatever their names, never clash.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,26 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir).
+
+    Only a local master may do without that setting: its tasks all see the driver's disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         key = spark.sparkContext.applicationId
         if key not in _local:
             own = tempfile.TemporaryDirectory(prefix="verdikt-")
