@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, text_of, written
+from .common import WORD, documents, free_name, text_of, written
 
 WEIGHTS = (5, 2, 1)
 
@@ -106,12 +106,12 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **parameters: int) -> DataFr
     plan = mix(docs, seed=seed, **parameters)
     ratio = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
     u = F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id", "th"), F.lit(1 << 30)) / float(1 << 30)
-    copies = plan.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.floor(ratio + u).cast("int").alias("_c")).filter("_c > 0")
+    d, t, c, i = (free_name(docs, n) for n in ("_d", "_t", "_c", "_i"))
+    copies = plan.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.floor(ratio + u).cast("int").alias(c)).filter(F.col(c) > 0)
     # equal rows may fall on either side of a cut; each takes the most that one of them has
-    copies = copies.groupBy("_d", "_t").agg(F.max("_c").alias("_c"))
-    rows = docs.withColumn("_th", F.xxhash64(text_of(docs)))
-    rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*[docs[c] for c in docs.columns])
+    copies = copies.groupBy(d, t).agg(F.max(c).alias(c))
+    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies[d]) & (F.xxhash64(text_of(docs)) == copies[t]))
+    return rows.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*[docs[x] for x in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import documents, ship, text_of, written
+from .common import documents, free_name, ship, text_of, written
 from .components import components
 
 BITS = 64
@@ -99,11 +99,17 @@ def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
     best = near.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("k")
     )
-    keep = best.select(F.col("k.doc_id").alias("_d"), F.col("k.th").alias("_t")).distinct()
-    rows = docs.withColumn("_th", F.xxhash64(text_of(docs)))
-    rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_d"]) & (rows["_th"] == keep["_t"]), "left_semi")
-    first = W.partitionBy("doc_id", "_th").orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    return first_rows(docs, best.select("k.doc_id", "k.th").distinct())
+
+
+def first_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of docs for each (doc_id, th) of keep; th is the hash of the text."""
+    d, t, h, n = (free_name(docs, c) for c in ("_d", "_t", "_h", "_n"))
+    keep = keep.toDF(d, t)
+    rows = docs.withColumn(h, F.xxhash64(text_of(docs)))
+    rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep[d]) & (rows[h] == keep[t]), "left_semi")
+    first = W.partitionBy("doc_id", h).orderBy(F.lit(0))
+    return rows.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
