@@ -14,11 +14,15 @@ matches whatever it holds. Placeholders alone say nothing: as a template a windo
 a plain word, and the run of windows it stands in ``min_words`` of them. A text of fewer tokens than a window is one window; it matches whole
 texts of as many tokens.
 
-Scale: documents stream through one generator and the join; no text is shuffled. The
-windows of the benchmark are broadcast when counted at ``max_broadcast`` rows at
-most, else both sides are shuffled by window hash, where Spark splits skewed
-partitions. Hits are written and grouped by document, item and offset; what is
-grouped is bounded by an item's length.
+Scale: most documents are ruled out by single words, without a template. A match misses at
+most a share of 1 - ``coverage`` of the item's tokens, so of its rarest plain words, ``TELLING``
+more than that, the document holds ``TELLING``: a first pass joins the words of all documents
+with those and counts. Only documents found there get templates and windows. An item with too
+few plain words for one more is looked for in all documents. Texts are read twice and never shuffled. The windows of
+the benchmark are broadcast when counted at ``max_broadcast`` rows at most, else both sides
+are shuffled by window hash, where Spark splits skewed partitions. Hits are written and
+grouped by document, item and offset; what is grouped is bounded by an item's length and the
+number of its occurrences.
 
 Defined cases: null and empty texts and items match nothing; rows of equal doc_id are
 one document; items of equal text are each reported; a null doc_id or item_id is
@@ -28,6 +32,7 @@ kept as a value; an empty table on either side gives an empty result.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE, bounded_broadcast, documents, written
@@ -66,6 +71,43 @@ def template(text: Column) -> Column:
     return F.lower(F.btrim(t, F.lit(" \t\n\x0b\f\r")))
 
 
+def _tokens(rows: DataFrame, ids: list[str]) -> DataFrame:
+    return rows.select(*ids, F.split(template(F.coalesce("text", F.lit(""))), SPACE).alias("tokens"))
+
+
+#: What stands between the letters and digits that make a bare word.
+BETWEEN = r"[^\p{L}\p{N}]+"
+#: Words of an item that a document must hold to be looked at; fewer where the item has no more.
+TELLING = 6
+
+
+def _telling(items: DataFrame, coverage: float) -> DataFrame:
+    """(item_id, text, key, need, words): an item's rarest plain words and how many places, by
+    their weights, a match holds at least; null if the item has too few."""
+    items = items.withColumn("key", F.xxhash64("item_id", "text"))
+    tokens = _tokens(items, ["key"])
+    misses = F.size("tokens") - F.ceil(coverage * F.size("tokens"))
+    spots = tokens.select("key", misses.alias("misses"), F.posexplode("tokens").alias("pos", "token"))
+    # of a token with marks inside, the longest part speaks for it
+    part = F.array_max(F.transform(F.split("token", BETWEEN), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    spots = spots.filter(~F.col("token").contains(MARK)).withColumn("word", part).filter("word <> ''").distinct()
+    of = spots.groupBy("word").agg(F.count_distinct("key").alias("of"))
+    rank = F.row_number().over(W.partitionBy("key").orderBy("of", F.char_length("word").desc(), "pos"))
+    told = spots.join(of, "word").withColumn("r", rank).filter(F.col("r") <= F.col("misses") + TELLING)
+    told = told.groupBy("key", "misses", "word").agg(F.count(F.lit(1)).alias("weight")).groupBy("key", "misses")
+    told = told.agg(F.collect_list(F.struct("word", "weight")).alias("words"), F.sum("weight").alias("n"))
+    told = told.select("key", (F.col("n") - F.col("misses")).alias("need"), "words").filter("need > 0")
+    return items.join(told, "key", "left")
+
+
+def _holding(docs: DataFrame, telling: DataFrame, max_broadcast: int) -> DataFrame:
+    """(d): doc_ids of the documents that hold as many of an item's words as a match does."""
+    words = telling.select("key", "need", F.inline("words")).distinct()
+    own = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN))).alias("word"))
+    held = own.join(bounded_broadcast(words, max_broadcast), "word").groupBy("doc_id", "key").agg(F.sum("weight").alias("n"), F.first("need").alias("need"))
+    return written(held.filter("n >= need").select(F.col("doc_id").alias("d")).distinct())
+
+
 def windows(rows: DataFrame, ids: list[str], window: int, min_words: int, places: bool = False) -> DataFrame:
     """(ids, n, pos, h, plain, strong, slots, words): the hashed windows.
 
@@ -76,7 +118,7 @@ def windows(rows: DataFrame, ids: list[str], window: int, min_words: int, places
 
     Tokens are taken by index, as slicing an array costs its whole length each time.
     """
-    tokens = rows.select(*ids, F.split(template(F.coalesce("text", F.lit(""))), SPACE).alias("tokens"))
+    tokens = _tokens(rows, ids)
     marked = F.exists("tokens", lambda t: t.contains(MARK))
 
     def told(f) -> Column:
@@ -182,11 +224,11 @@ def _scattered(hits: DataFrame, window: int, coverage: float) -> DataFrame:
     return found.select(*ids, "covered", _changed(F.col("slots")).alias("changed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, min_words: int = 3, max_broadcast: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id, n_tokens, covered, coverage, reparameterised) of each document and benchmark item that match."""
-    items = windows(benchmark.select(benchmark["item_id"], benchmark["text"]), ["item_id"], window, min_words, places=True).drop("strong")
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, min_words: int, max_broadcast: int) -> DataFrame:
+    """Windows of documents that match windows of items."""
+    items = windows(benchmark, ["item_id"], window, min_words, places=True).drop("strong")
     items = items.withColumnsRenamed({"n": "item_n", "pos": "item_pos", "slots": "item_slots"})
-    own = windows(docs.select(docs["doc_id"], docs["text"]), ["doc_id"], window, min_words)
+    own = windows(docs, ["doc_id"], window, min_words)
     own = own.select("doc_id", F.col("n").alias("doc_n"), "pos", "slots", "strong", "h", F.col("plain").alias("doc_plain"))
     # words match words, with the item's values on both sides, and templates match templates
     hits = own.join(bounded_broadcast(items, max_broadcast), "h").filter(F.col("plain") == F.col("doc_plain"))
@@ -194,7 +236,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverag
     hits = hits.filter((F.col("item_n") >= window) | (F.col("item_n") == F.col("doc_n")))
     theirs = F.when(F.col("plain"), F.col("item_slots")).otherwise(F.col("slots"))
     pair = F.when(F.size("item_slots") > 0, F.struct("item_slots", theirs.alias("slots")))
-    hits = written(hits.select("doc_id", "item_id", "item_n", "pos", "item_pos", "plain", "strong", "words", pair.alias("pair")))
+    return written(hits.select("doc_id", "item_id", "item_n", "pos", "item_pos", "plain", "strong", "words", pair.alias("pair")))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, min_words: int = 3, max_broadcast: int = 1_000_000) -> DataFrame:
+    """(doc_id, item_id, n_tokens, covered, coverage, reparameterised) of each document and benchmark item that match."""
+    docs = docs.select(docs["doc_id"], docs["text"])
+    benchmark = written(_telling(benchmark.select(benchmark["item_id"], benchmark["text"]), coverage))
+    told, dense = (benchmark.filter(f"words IS {n} NULL").select("item_id", "text") for n in ("NOT", ""))
+    found = bounded_broadcast(_holding(docs, benchmark, max_broadcast), max_broadcast)
+    hits = _hits(docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"), told, window, min_words, max_broadcast)
+    if not dense.isEmpty():
+        hits = hits.unionByName(_hits(docs, dense, window, min_words, max_broadcast))
     found = _aligned(hits, window, coverage, min_words).unionByName(_scattered(hits.filter("strong"), window, coverage))
     found = found.groupBy("doc_id", "item_id", "item_n").agg(F.min(F.struct("changed", (-F.col("covered")).alias("less"))).alias("k"))
     n, covered = F.col("item_n").cast("long"), (-F.col("k.less")).cast("long")
