@@ -1,14 +1,16 @@
-"""Getting this package to executors."""
+"""Getting this package to executors, and the folder that they share with the driver."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +29,37 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir).
+
+    Only a local master may do without that setting: its tasks all see the driver's disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        key = spark.sparkContext.applicationId
+        if key not in _local:
+            own = tempfile.TemporaryDirectory(prefix="verdikt-")
+            atexit.register(own.cleanup)
+            _local[key] = own.name
+        root = _local[key]
+    return f"{root.rstrip('/')}/verdikt-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Cuts the lineage: writes df as a table in the shared folder and reads that.
+
+    Unlike a cache it outlives executors, and what stands above never runs twice.
+    """
+    path = shared_dir(df.sparkSession)
+    out = df.write
+    if partition_by:
+        out = out.partitionBy(partition_by)
+    out.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -104,18 +104,21 @@ class SprtDesign:
 
     def accept_h1(self, p: float) -> float:
         """Wald's probability of accepting H1 at true rate p: by the root h of E[exp(h step)] = 1."""
-        limit = -self.lower / (self.upper - self.lower)
         drift = p * self.win + (1 - p) * self.loss
         if abs(drift) < 1e-12:
-            return limit
+            return -self.lower / (self.upper - self.lower)
 
         def gap(h: float) -> float:
             return p * math.exp(h * self.win) + (1 - p) * math.exp(h * self.loss) - 1
 
-        lo, hi = (1e-4, 200.0) if drift < 0 else (-200.0, -1e-4)
-        if (gap(lo) < 0) == (gap(hi) < 0):
-            return limit
-        h = bisect(gap, lo, hi)
+        # the gap is convex and 0 at 0: against the drift it dips below 0 and rises through the root
+        far = -math.copysign(1.0, drift)
+        while gap(far) <= 0:
+            far *= 2
+        near = far / 2
+        while gap(near) >= 0:
+            near /= 2
+        h = bisect(gap, near, far)
         return (1 - math.exp(h * self.lower)) / (math.exp(h * self.upper) - math.exp(h * self.lower))
 
     def expected_n(self, p: float) -> float:
@@ -139,10 +142,11 @@ class JudgeChannel:
         if not (0.5 < self.accuracy <= 1 and 0 < self.sampling <= 1 and 0 <= self.tie_rate < 1):
             raise ValueError("accuracy in (0.5, 1], sampling in (0, 1], tie_rate in [0, 1)")
 
-    def observed(self, w: float) -> float:
+    # observed and true take numbers and columns alike
+    def observed(self, w):
         return w * self.accuracy + (1 - w) * (1 - self.accuracy)
 
-    def true(self, observed: float) -> float:
+    def true(self, observed):
         return (observed - (1 - self.accuracy)) / self.attenuation
 
     @property
@@ -156,12 +160,15 @@ class JudgeChannel:
 
 def plan(p0: float, p1: float, channel: JudgeChannel, alpha: float = 0.05, beta: float = 0.10) -> dict[str, float]:
     """What a test of true rates p0 against p1 costs through a judge."""
-    d = SprtDesign(channel.observed(p0), channel.observed(p1), alpha, beta)
-    n0, n1 = d.expected_n(d.p0), d.expected_n(d.p1)
-    return {
-        "observed_p0": d.p0, "observed_p1": d.p1, "attenuation": channel.attenuation, "requests_per_verdict": channel.requests_per_verdict,
-        "verdicts_h0": n0, "verdicts_h1": n1, "requests_h0": n0 * channel.requests_per_verdict, "requests_h1": n1 * channel.requests_per_verdict,
-    }
+    design = SprtDesign(channel.observed(p0), channel.observed(p1), alpha, beta)
+    rate = channel.requests_per_verdict
+
+    def cost(h: str, p: float) -> dict[str, float]:
+        n = design.expected_n(p)
+        return {f"expected_verdicts_under_{h}": n, f"expected_requests_under_{h}": n * rate}
+
+    out = {"attenuation": channel.attenuation, "requests_per_verdict": rate, "observed_p0": design.p0, "observed_p1": design.p1}
+    return out | cost("h0", design.p0) | cost("h1", design.p1)
 
 
 def majority_accuracy(accuracy: float, k: int) -> float:

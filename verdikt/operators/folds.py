@@ -1,13 +1,14 @@
 """Per-stream state machines that restart at data-dependent rows, which windows cannot.
 
-One fold serves batch (``applyInPandas`` a stream) and streaming (state a stream). A
-fold's state is a flat dict of numbers and strings, so it can be stored anywhere.
+One fold serves batch and streaming (state a stream). In batch rows are sorted within
+partitions and pass by in Arrow batches with the state carried on, so memory does not grow
+with a stream. A fold's state is a dict of numbers and strings, so it can be stored anywhere.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,38 +111,52 @@ class Rebaseline:
         return None
 
 
+def fold_streams(rows: DataFrame, key: str, order: list[str], start: Callable[[], dict], take: Callable[[dict, tuple], list[tuple]], columns: str) -> DataFrame:
+    """key and ``columns`` of what ``take(state, row)`` gives for each row of each stream, in order.
+
+    rows: key, then what take gets. Streams are dealt over tasks; rows without a key are left out.
+    """
+    ship(rows.sparkSession)
+    names = [key, *(c.strip().split(" ")[0] for c in columns.split(","))]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, st = None, {}
+        for p in parts:
+            out = []
+            for k, *row in p.itertuples(index=False, name=None):
+                if k != last:
+                    last, st = k, start()
+                out.extend((k, *made) for made in take(st, tuple(row)))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.dropna(subset=[key]).repartition(n, key).sortWithinPartitions(key, *order)
+    return dealt.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {columns}")
+
+
+def _wins(stream: DataFrame, key: str) -> DataFrame:
+    return stream.select(key, "request_index", F.col("win").cast("int").alias("win"))
+
+
 def canary_transitions(stream: DataFrame, key: str, canary: Canary) -> DataFrame:
     """Transitions of each stream of (key, request_index, win), in order of request_index."""
-    ship(stream.sparkSession)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("request_index")
-        st, out = canary.start(), []
-        for i, w in zip(p["request_index"].tolist(), p["win"].tolist()):
-            t = canary.step(st, int(w))
-            if t:
-                out.append((p[key].iloc[0], i, *t))
-        return pd.DataFrame(out, columns=[key, "request_index", "kind", "stage", "share", "verdicts_in_stage"])
+    def take(st: dict, row: tuple) -> list[tuple]:
+        t = canary.step(st, int(row[1]))
+        return [(int(row[0]), *t)] if t else []
 
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, "request_index", "win").groupBy(key).applyInPandas(run, f"{key} {kind}, request_index long, kind string, stage string, share double, verdicts_in_stage long")
+    return fold_streams(_wins(stream, key), key, ["request_index"], canary.start, take, "request_index long, kind string, stage string, share double, verdicts_in_stage long")
 
 
 def rebaselined_alarms(stream: DataFrame, key: str, rule: Rebaseline) -> DataFrame:
     """The first alarm of each stream, and the p0 that it was raised against."""
-    ship(stream.sparkSession)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("request_index")
-        st, out = rule.start(), []
-        for i, w in zip(p["request_index"].tolist(), p["win"].tolist()):
-            t = rule.step(st, int(w), i)
-            if t:
-                out.append((p[key].iloc[0], i, *t))
-        return pd.DataFrame(out, columns=[key, "request_index", "kind", "p0"])
+    def take(st: dict, row: tuple) -> list[tuple]:
+        t = rule.step(st, int(row[1]), int(row[0]))
+        return [(int(row[0]), *t)] if t else []
 
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, "request_index", "win").groupBy(key).applyInPandas(run, f"{key} {kind}, request_index long, kind string, p0 double")
+    return fold_streams(_wins(stream, key), key, ["request_index"], rule.start, take, "request_index long, kind string, p0 double")
 
 
 def promoted_arms(stream: DataFrame, p0: float, alpha: float, corrected: bool = True) -> DataFrame:
@@ -225,20 +240,16 @@ def decisions(stream: DataFrame, key: str, rule: Decision, resets: DataFrame | N
 
     resets: (key, request_index) of drift alarms; verdicts from there on start anew.
     """
-    ship(stream.sparkSession)
-    rows = stream.select(key, "request_index", F.col("win").cast("int").alias("win"))
+    rows = _wins(stream, key)
     if resets is not None:
         rows = rows.unionByName(resets.select(key, "request_index", F.lit(-1).alias("win")))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["request_index", "win"])  # a reset comes before the verdict of its index
-        st, out = rule.start(), []
-        for i, w in zip(p["request_index"].tolist(), p["win"].tolist()):
-            if w < 0:
-                rule.reset(st)
-            else:
-                out.extend((p[key].iloc[0], i, kind) for kind in rule.step(st, w, i))
-        return pd.DataFrame(out, columns=[key, "request_index", "kind"])
-
-    kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, request_index long, kind string")
+    def take(st: dict, row: tuple) -> list[tuple]:
+        index, win = int(row[0]), int(row[1])
+        if win < 0:
+            rule.reset(st)
+            return []
+        return [(index, kind) for kind in rule.step(st, win, index)]
+
+    # a reset comes before the verdict of its index
+    return fold_streams(rows, key, ["request_index", "win"], rule.start, take, "request_index long, kind string")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DECISIVE = "winner <> 'tie'"
@@ -33,12 +36,46 @@ def _is_decisive() -> Column:
 
 def position_bias(verdicts: DataFrame) -> DataFrame:
     hit = (F.col("winner") == F.col("first_shown")).cast("double")
-    return decisive(verdicts).agg((F.avg(hit) - 0.5).alias("position_bias"), F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1))
+    return decisive(verdicts).agg(nonempty(F.avg(hit) - 0.5, n, "decisive verdicts").alias("position_bias"), n.alias("n"))
 
 
 def measured_epsilon(responses: DataFrame, lo: int, hi: int) -> DataFrame:
-    bad = (F.col("source_pool") == "bad").cast("double")
-    return responses.filter((F.col("request_index") >= lo) & (F.col("request_index") < hi)).agg(F.avg(bad).alias("epsilon"), F.count(F.lit(1)).alias("n"))
+    bad, n = (F.col("source_pool") == "bad").cast("double"), F.count(F.lit(1))
+    rows = responses.filter((F.col("request_index") >= lo) & (F.col("request_index") < hi))
+    return rows.agg(nonempty(F.avg(bad), n, f"responses in [{lo}, {hi})").alias("epsilon"), n.alias("n"))
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], bins: int = 256) -> DataFrame:
+    """by and exact percentiles (linear between neighbours) by name; nulls are left out.
+
+    A sketch a group cuts values into bins; counting the bins tells which hold the ranks asked
+    for, and only those are ranked, value by value with their numbers. No task sees a group.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    marker = F.lit(1).alias("_all")
+    rows = rows.select(*by, "_v") if by else rows.select("_v", marker)
+    own = by or ["_all"]
+    edges = [i / bins for i in range(1, bins)]
+    cuts = rows.groupBy(*own).agg(F.array_distinct(F.percentile_approx("_v", edges, 10 * bins)).alias("_cuts"))
+    binned = rows.join(cuts, own).select(*own, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bin"))
+    counts = binned.groupBy(*own, "_bin", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    sizes = counts.groupBy(*own, "_bin").agg(F.sum("_k").alias("_k"))
+    total, before = F.sum("_k").over(W.partitionBy(*own)), F.sum("_k").over(W.partitionBy(*own).orderBy("_bin")) - F.col("_k")
+    sizes = sizes.select(*own, "_bin", "_k", total.alias("_n"), before.alias("_before"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in qs.items()]))
+    wanted = sizes.withColumn("_q", asked).withColumn("_at", F.col("_q.q") * (F.col("_n") - 1))
+    ranks = F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))
+    wanted = wanted.withColumn("_rank", ranks).filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_k")))
+    wanted = wanted.select(*own, "_bin", "_before", F.col("_q.name").alias("_name"), "_at", "_rank")
+    places = counts.join(wanted.select(*own, "_bin").distinct(), [*own, "_bin"], "left_semi")
+    upto = F.sum("_k").over(W.partitionBy(*own, "_bin").orderBy("_v"))
+    places = places.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_k"))
+    rank = F.col("_rank") - F.col("_before")
+    hit = places.join(wanted, [*own, "_bin"]).filter((rank >= F.col("_from")) & (rank < F.col("_upto")))
+    share = F.when(F.floor("_at") == F.ceil("_at"), 1.0).when(F.col("_rank") == F.floor("_at"), F.ceil("_at") - F.col("_at")).otherwise(F.col("_at") - F.floor("_at"))
+    named = [F.sum(F.when(F.col("_name") == n, F.col("_v") * share)).alias(n) for n in qs]
+    return hit.groupBy(*own).agg(*named).select(*by, *qs)
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -54,6 +91,10 @@ def accuracy(judged: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("accuracy", F.col("right") / F.col("n")).withColumn("low", low).withColumn("high", high)
 
 
+def clip(rate: Column, low: float = 0.1, high: float = 0.9) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), rate))
+
+
 def by_phase(wins_: DataFrame, changepoint: int) -> DataFrame:
     """topic, before, after: win rates on both sides of a changepoint."""
     before = F.col("request_index") < changepoint
@@ -65,27 +106,54 @@ def detection_summary(alarms: DataFrame, changepoint: int, by: list[str]) -> Dat
     late = F.when(F.col("alarm") > changepoint, F.col("alarm") - changepoint)
     early = F.count_if((F.col("alarm") > 0) & (F.col("alarm") <= changepoint))
     n = F.count(F.lit(1))
-    return alarms.groupBy(*by).agg(
-        (F.count(late) / n).alias("detect_rate"), (early / n).alias("premature_rate"),
-        *[F.percentile(late, F.lit(q)).alias(f"latency_p{round(q * 100)}") for q in (0.25, 0.5, 0.75)],
-    )
+    rates = alarms.groupBy(*by).agg((F.count(late) / n).alias("detect_rate"), (early / n).alias("premature_rate"))
+    quarters = percentiles(alarms.withColumn("_late", late), by, "_late", {f"latency_p{round(q * 100)}": q for q in (0.25, 0.5, 0.75)})
+    return rates.join(quarters, by, "left")
+
+
+def canonical_json(payload: Column) -> Column:
+    """A JSON text with the keys of its objects sorted and without blanks; what is no JSON stays."""
+    return F.coalesce(F.to_json(F.try_parse_json(payload)), payload)  # a variant keeps its keys sorted
+
+
+def canonical(events: DataFrame) -> DataFrame:
+    """h: the sha256 of each event's canonical line."""
+    line = F.concat(F.lit('{"type":"'), "type", F.lit('","payload":'), canonical_json(F.col("payload")), F.lit("}"))
+    return events.select(F.sha2(line, 256).alias("h"))
 
 
-def fingerprint(events: DataFrame, types: list[str]) -> DataFrame:
-    """sha256 of the sorted canonical lines of data events: free of order, run, seq and time.
+def fingerprint(events: DataFrame, types: list[str], level: int = 4) -> DataFrame:
+    """sha256 over data events: free of order, run, seq and time.
 
-    Each line is hashed where it stands; only hashes are gathered, and sorted, by bucket.
+    Lines are hashed where they stand; equal ones are counted. Hashes that begin alike are
+    hashed together in order, by ever shorter beginnings, each ``level`` digits shorter: no
+    task holds more than 16 ** level hashes however many events there are.
     """
-    lines = events.filter(F.col("type").isin(*types)).select(F.sha2(F.concat_ws("|", "type", "payload"), 256).alias("h"))
-    parts = lines.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"))
-    return parts.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"])), 256).alias("fingerprint"))
+    rows = canonical(events.filter(F.col("type").isin(*types))).groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    size = rows.agg(F.count(F.lit(1))).first()[0]
+    digits = max(0, math.ceil(math.log(max(1, size), 16)) - 1)
+    nodes = rows.select(F.col("h").alias("key"), F.sha2(F.concat("h", F.lit(":"), F.col("k").cast("string")), 256).alias("h"))
+    while True:
+        short = F.substring("key", 1, digits) if digits else F.lit("")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "h"))), lambda s: s["h"]), "")
+        nodes = nodes.groupBy(short.alias("key")).agg(F.sha2(joined, 256).alias("h"))
+        if not digits:
+            break
+        digits = max(0, digits - level)
+    return nodes.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("fingerprint"))
 
 
 def same_multiset(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def state(verdicts: DataFrame, last: int = 500) -> DataFrame:
-    """verdicts_seen, recent_win_rate over the last decisive verdicts."""
+def state(verdicts: DataFrame, last: int = 500, transitions: DataFrame | None = None) -> DataFrame:
+    """verdicts_seen, recent_win_rate over the last decisive verdicts and, where transitions are
+    given (request_index, stage, share), the newest one's stage and share and how many there were."""
     recent = wins(verdicts).orderBy(F.desc("request_index")).limit(last).agg(F.avg("win").alias("recent_win_rate"))
-    return verdicts.agg(F.count(F.lit(1)).alias("verdicts_seen")).crossJoin(recent)  # one row each
+    out = verdicts.agg(F.count(F.lit(1)).alias("verdicts_seen")).crossJoin(recent)  # one row each
+    if transitions is not None:
+        newest = F.max_by(F.struct("stage", "share"), "request_index")
+        told = transitions.agg(F.count(F.lit(1)).alias("transitions"), newest.alias("_t")).select("transitions", F.coalesce("_t.stage", F.lit("shadow")).alias("stage"), F.coalesce("_t.share", F.lit(0.0)).alias("share"))
+        out = out.crossJoin(told)  # one row
+    return out

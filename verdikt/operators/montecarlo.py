@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
+from ..functions.draws import below
 from ..functions.mathx import SprtDesign, normal_quantile
 
 CHUNK = 64
@@ -75,17 +76,23 @@ def peeking_trips(wins: np.ndarray, alpha: float = 0.05, every: int = 100) -> np
 
 
 def psi_max(rng: np.random.Generator, trials: int, n: int, probs: np.ndarray, window: int, stride: int, floor: float = 1e-4) -> np.ndarray:
-    """The largest PSI of each null trial of the monitor's own procedure."""
-    out = np.empty(trials)
+    """The largest PSI of each null trial: a reference of one window, then a stream of n looked
+    at from the first full window on, every stride. Windows are sums of counted stretches."""
+    k, unit, out = len(probs), math.gcd(window, stride), np.empty(trials)
+    stretches, wide, step = n // unit, window // unit, stride // unit
+
+    def shares(counts: np.ndarray) -> np.ndarray:
+        raised = np.clip(counts / window, floor, None)
+        return raised / raised.sum(axis=-1, keepdims=True)
+
     for t in range(trials):
-        hot = np.zeros((n + 1, len(probs)))
-        hot[1:] = np.cumsum(np.eye(len(probs))[rng.choice(len(probs), n, p=probs)], axis=0)
-        checks = np.arange(2 * window, n + 1)
-        checks = checks[checks % stride == 0]
-        q = np.maximum((hot[checks] - hot[checks - window]) / window, floor)
-        p = np.maximum(hot[window] / window, floor)
-        q, p = q / q.sum(1, keepdims=True), p / p.sum()
-        out[t] = ((q - p) * np.log(q / p)).sum(1).max() if len(checks) else 0.0
+        p = shares(rng.multinomial(window, probs))
+        drawn = rng.choice(k, size=n, p=probs)[: stretches * unit]
+        place = np.repeat(np.arange(stretches), unit) * k
+        counted = np.bincount(drawn + place, minlength=stretches * k).reshape(stretches, k)
+        moving = np.lib.stride_tricks.sliding_window_view(counted, wide, axis=0)[::step].sum(axis=-1)
+        q = shares(moving)
+        out[t] = np.einsum("ij,ij->i", q - p, np.log(q) - np.log(p)).max(initial=0.0)
     return out
 
 
@@ -94,6 +101,20 @@ def disagreement_max(rng: np.random.Generator, trials: int, n: int, rate: float,
     return ((c[:, window:] - c[:, :-window]) / window).max(axis=1)
 
 
+def keyed_wins(spark: SparkSession, trials: int, n: int, seed: int, p: float, after: float | None = None, changepoint: int = 0) -> DataFrame:
+    """trial, request_index, win by keyed draws: rows, for tests and for SQL; simulate() is for studies.
+
+    The rate is p, and ``after`` from the changepoint on.
+    """
+    if not 0 <= changepoint <= n:
+        raise ValueError("the changepoint must lie within the stream")
+    df = spark.range(trials * n).select(F.floor(F.col("id") / n).alias("trial"), (F.col("id") % n).alias("request_index"), F.col("id"))
+    win = below(seed, "id", "__trial__", p)
+    if after is not None:
+        win = F.when(F.col("request_index") >= changepoint, below(seed, "id", "__trial__", after)).otherwise(win)
+    return df.select("trial", "request_index", win.cast("int").alias("win"))
+
+
 def simulate(spark: SparkSession, trials: int, seed: int, fn: Callable[[np.random.Generator, int], dict[str, np.ndarray]], schema: str, tasks: int = 16) -> DataFrame:
     """trial and fn's columns, a row a trial. A trial's draws depend on (seed, its chunk) alone."""
     ship(spark)
@@ -127,3 +148,19 @@ def calibrate_psi(spark: SparkSession, trials: int, n: int, probs: list[float],
 def calibrate_disagreement(spark: SparkSession, trials: int, n: int, disagreement: float, window: int, rate: float, seed: int) -> float:
     df = simulate(spark, trials, seed, lambda rng, k: {"mx": disagreement_max(rng, k, n, disagreement, window)}, "mx double")
     return quantile(df, "mx", 1 - rate)
+
+
+def recorded_thresholds(spark: SparkSession, seed: int, horizons: list[tuple[int, float]], p0: float = 0.5, p1: float = 0.45, trials: int = 4000) -> list[float]:
+    """CUSUM thresholds for streams of (length, false alarm rate), drawn one after the other from
+    one generator, as recorded runs were: one task, a block of trials at a time."""
+    ship(spark)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in parts:
+            rng = np.random.default_rng(seed)
+            for k, (n, rate) in enumerate(horizons):
+                tops = [cusum_stats(gen_wins(rng, min(CHUNK, trials - at), n, p0), p0, p1).max(axis=1) for at in range(0, trials, CHUNK)]
+                yield pd.DataFrame({"k": [k], "h": [np.quantile(np.concatenate(tops), 1 - rate)]})
+
+    made = spark.range(1, numPartitions=1).mapInPandas(run, "k long, h double").collect()
+    return [r["h"] for r in sorted(made, key=lambda r: r["k"])]

@@ -1,8 +1,12 @@
 """Sequential tests as window expressions.
 
-A stream has a key (never one global window), an order column and a 0/1 column ``win``.
-All tests share one window spec per stream, so they share one exchange and sort. Running
-integer counts come first; statistics are closed forms of them.
+A stream has a key, an order column (an integer, as request_index is) and a 0/1 column
+``win``. Running integer counts come first; statistics are closed forms of them.
+
+No stream is one task: it is cut into blocks of ``SPAN`` order values. Windows run within
+a block, a row a block sums it up, and what the blocks before add is a window over those few
+rows. Both uses of the stream take the same columns, so that Spark runs their exchange once.
+Rows with a null key or order belong to no stream.
 """
 
 from __future__ import annotations
@@ -18,15 +22,53 @@ from ..cluster import ship
 from ..functions.mathx import SprtDesign, log_mixture_ratio, normal_quantile
 
 
+#: Order values of a block.
+SPAN = 1 << 17
+
+
+def _blocks(stream: DataFrame, key: list[str], order: str) -> DataFrame:
+    rows = stream.select(*key, order, F.col("win").cast("long").alias("win"), F.floor(F.col(order) / SPAN).alias("_block"))
+    return rows.dropna(subset=[*key, order])
+
+
+def _within(key: list[str], order: str):
+    return W.partitionBy(*key, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+
+
+def _before(key: list[str]):
+    return W.partitionBy(*key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+
+
+def _carried(local: DataFrame, key: list[str], sums: dict[str, Column]) -> DataFrame:
+    """local plus what the blocks before each block add up to, by the expressions ``sums`` of a block."""
+    made = local.groupBy(*key, "_block").agg(*[c.alias(n) for n, c in sums.items()])
+    zero = {n: F.coalesce(F.sum(n).over(_before(key)), F.lit(0)) for n in sums}
+    return local.join(made.withColumns({f"_{n}": c for n, c in zero.items()}).drop(*sums), [*key, "_block"])
+
+
+def _counted(stream: DataFrame, key: list[str], order: str) -> DataFrame:
+    w = _within(key, order)
+    local = _blocks(stream, key, order).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("s", F.sum("win").over(w))
+    df = _carried(local, key, {"bn": F.max("n"), "bs": F.max("s")})
+    return df.withColumns({"n": F.col("n") + F.col("_bn"), "s": F.col("s") + F.col("_bs")}).drop("_bn", "_bs")
+
+
 def running(stream: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Adds n and s: verdicts and wins so far."""
-    w = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return stream.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("s", F.sum(F.col("win").cast("long")).over(w))
+    """key, order, win, n, s: verdicts and wins so far."""
+    return _counted(stream, key, order).drop("_block")
 
 
-def _log_ratio(p0: float, p1: float) -> Column:
+def _log_ratio(p0: float, p1: float, n: str = "n", s: str = "s") -> Column:
     win, loss = math.log(p1 / p0), math.log((1 - p1) / (1 - p0))
-    return F.col("s") * F.lit(win) + (F.col("n") - F.col("s")) * F.lit(loss)
+    return F.col(s) * F.lit(win) + (F.col(n) - F.col(s)) * F.lit(loss)
+
+
+def _log_factorial(x: Column) -> Column:
+    """ln x!: a table below 16, Stirling's series from there on (to 14 digits)."""
+    small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), F.least(x, F.lit(15)).cast("int") + 1)
+    z = x.cast("double")
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return F.when(x < 16, small).otherwise((z + 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series)
 
 
 def sprt(stream: DataFrame, key: list[str], order: str, design: SprtDesign) -> DataFrame:
@@ -41,12 +83,21 @@ def sprt(stream: DataFrame, key: list[str], order: str, design: SprtDesign) -> D
 
 
 def cusum_path(stream: DataFrame, key: list[str], order: str, p0: float, p1: float) -> DataFrame:
-    """Adds stat: Page's recursion max(0, stat + step) as the walk above its running minimum."""
+    """key, order, win, n, s, stat: Page's recursion max(0, stat + step) as the walk above its running minimum."""
     if not 0 < p1 < p0 < 1:
         raise ValueError("a drop is looked for: 0 < p1 < p0 < 1")
-    w = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    df = running(stream, key, order).withColumn("walk", _log_ratio(p0, p1))
-    return df.withColumn("stat", F.col("walk") - F.least(F.lit(0.0), F.min("walk").over(w)))
+    w = _within(key, order)
+    local = _blocks(stream, key, order).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("s", F.sum("win").over(w))
+    local = local.withColumn("least", F.min(_log_ratio(p0, p1)).over(w))
+    # of a block: its counts, and the lowest point of its own walk
+    made = local.groupBy(*key, "_block").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.min("least").alias("least"))
+    before = _before(key)
+    made = made.withColumns({"_n": F.coalesce(F.sum("n").over(before), F.lit(0)), "_s": F.coalesce(F.sum("s").over(before), F.lit(0))})
+    made = made.withColumn("_walk", _log_ratio(p0, p1, "_n", "_s"))
+    made = made.withColumn("_least", F.min(F.col("_walk") + F.col("least")).over(before)).drop("n", "s", "least")
+    df = local.join(made, [*key, "_block"]).withColumns({"n": F.col("n") + F.col("_n"), "s": F.col("s") + F.col("_s")})
+    low = F.least(F.lit(0.0), F.col("_walk") + F.col("least"), F.col("_least"))  # least skips nulls
+    return df.withColumn("stat", _log_ratio(p0, p1) - low).drop("_block", "_n", "_s", "_walk", "_least", "least")
 
 
 def cusum(stream: DataFrame, key: list[str], order: str, p0: float, p1: float, h: float) -> DataFrame:
@@ -59,22 +110,20 @@ def cusum(stream: DataFrame, key: list[str], order: str, p0: float, p1: float, h
 
 
 def mixture_sprt_path(stream: DataFrame, key: list[str], order: str, p0: float) -> DataFrame:
-    """Adds log_mix: ln of the Beta(1, 1)-mixture ratio over rates above p0.
+    """key, order, win, n, s, log_mix: ln of the Beta(1, 1)-mixture ratio over rates above p0.
 
     The Beta tail follows by adding or taking a binomial term per verdict, so it is a
     running sum. While wins are no more frequent than p0 the ratio is below 1, and the
     sum may have lost all its digits: log_mix is null there.
     """
-    w = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    lf = lambda c: F.sum(F.when(c > 0, F.log(c.cast("double"))).otherwise(0.0)).over(w)
-    df = running(stream, key, order).withColumn("f", F.col("n") - F.col("s"))
-    won = F.col("win") == 1
-    df = df.withColumn("ln_n", lf(F.col("n"))).withColumn("ln_s", lf(F.when(won, F.col("s")).otherwise(0))).withColumn("ln_f", lf(F.when(~won, F.col("f")).otherwise(0)))
-    term = F.exp(F.col("ln_n") - F.col("ln_s") - F.col("ln_f") + F.col("s") * math.log(p0) + F.col("f") * math.log(1 - p0))
-    df = df.withColumn("term", F.when(won, (1 - p0) * term).otherwise(-p0 * term))
-    df = df.withColumn("tail", (1 - p0) + F.sum("term").over(w))
-    mix = F.col("ln_s") + F.col("ln_f") - F.col("ln_n") - F.log(F.col("n") + 1.0) + F.log("tail") - math.log(1 - p0) - F.col("s") * math.log(p0) - F.col("f") * math.log(1 - p0)
-    return df.withColumn("log_mix", F.when((F.col("tail") > 0) & (F.col("s") > p0 * F.col("n")), mix))
+    n, s, f, won = F.col("n"), F.col("s"), F.col("n") - F.col("s"), F.col("win") == 1
+    ln_n, ln_s, ln_f = (_log_factorial(c) for c in (n, s, f))
+    term = F.exp(ln_n - ln_s - ln_f + s * math.log(p0) + f * math.log(1 - p0))
+    df = _counted(stream, key, order).withColumn("term", F.when(won, (1 - p0) * term).otherwise(-p0 * term))
+    df = _carried(df.withColumn("sum", F.sum("term").over(_within(key, order))), key, {"bt": F.sum("term")})
+    tail = (1 - p0) + F.col("_bt") + F.col("sum")
+    mix = ln_s + ln_f - ln_n - F.log(n + 1.0) + F.log(tail) - math.log(1 - p0) - s * math.log(p0) - f * math.log(1 - p0)
+    return df.withColumn("log_mix", F.when((tail > 0) & (s > p0 * n), mix)).drop("_block", "term", "sum", "_bt")
 
 
 def mixture_sprt(stream: DataFrame, key: list[str], order: str, p0: float, alpha: float) -> DataFrame:
@@ -115,27 +164,50 @@ def naive_peeking(stream: DataFrame, key: list[str], order: str, alpha: float =
     return df.groupBy(*key).agg(F.max(z).alias("max_z")).withColumn("tripped", (F.col("max_z") > normal_quantile(1 - alpha / 2)).cast("int"))
 
 
+def numbered(stream: DataFrame, key: list[str], order: str) -> DataFrame:
+    """stream plus n, the place of each row in its stream."""
+    rows = stream.withColumn("_block", F.floor(F.col(order) / SPAN)).dropna(subset=[*key, order])
+    local = rows.withColumn("n", F.row_number().over(W.partitionBy(*key, "_block").orderBy(order)).cast("long"))
+    return _carried(local, key, {"bn": F.max("n")}).withColumn("n", F.col("n") + F.col("_bn")).drop("_bn", "_block")
+
+
+def _halos(rows: DataFrame, back: int, ahead: int) -> DataFrame:
+    """rows dealt into stretches of n (_at), each with the rows just before and after it; own says whose rows they are."""
+    size = max(SPAN, 4 * (back + ahead))
+    at = lambda n: F.floor(n / size)
+    n = F.col("n")
+    stretches = F.array_distinct(F.array(at(n), at(F.greatest(n - ahead, F.lit(0))), at(n + back)))
+    return rows.withColumn("_at", F.explode(stretches)).withColumn("_own", F.col("_at") == at(n))
+
+
 def rolling_mean(stream: DataFrame, key: list[str], order: str, value: str, window: int, centred: bool = False) -> DataFrame:
     """Means over full windows of rows; each stands at its last row, or at its centre."""
     back = window // 2 if centred else window - 1
-    w = W.partitionBy(*key).orderBy(order).rowsBetween(-back, window - 1 - back)
-    df = stream.withColumn("mean", F.avg(value).over(w)).withColumn("_full", F.count(F.lit(1)).over(w))
-    return df.filter(F.col("_full") == window).select(*key, order, "mean")
+    ahead = window - 1 - back
+    rows = _halos(numbered(stream.select(*key, order, value), key, order), back, ahead)
+    w = W.partitionBy(*key, "_at").orderBy("n").rowsBetween(-back, ahead)
+    df = rows.withColumn("mean", F.avg(value).over(w)).withColumn("_full", F.count(F.lit(1)).over(w))
+    return df.filter((F.col("_full") == window) & F.col("_own")).select(*key, order, "mean")
+
+
+def rolling_alarm(stream: DataFrame, key: list[str], order: str, value: str, window: int, threshold: float) -> DataFrame:
+    """key, alarm_n, alarm_at of the first trailing mean at or above the threshold: the rows seen by then."""
+    means = numbered(rolling_mean(stream, key, order, value, window), key, order)
+    hit = F.col("mean") >= threshold
+    return means.groupBy(*key).agg((F.min(F.when(hit, F.col("n"))) + window - 1).alias("alarm_n"), F.min(F.when(hit, F.col(order))).alias("alarm_at"))
 
 
 def psi_path(stream: DataFrame, key: list[str], order: str, category: str, categories: list[str], window: int, stride: int, floor: float = 1e-4) -> DataFrame:
     """key, n, order value, psi at each check: the first ``window`` rows are the reference, then
     the trailing window is compared whenever it is full and n is a multiple of stride."""
-    w = W.partitionBy(*key).orderBy(order)
-    df = stream.withColumn("n", F.row_number().over(w))
-    trail = w.rowsBetween(-(window - 1), 0)
-    whole = W.partitionBy(*key)
-    for i, c in enumerate(categories):
-        one = (F.col(category) == c).cast("long")
-        df = df.withColumn(f"c{i}", F.sum(one).over(trail)).withColumn(f"r{i}", F.sum(F.when(F.col("n") <= window, one).otherwise(0)).over(whole))
-    df = df.filter((F.col("n") >= 2 * window) & (F.col("n") % stride == 0))
-    share = lambda c: F.greatest(F.col(c) / float(window), F.lit(floor))
     ks = range(len(categories))
+    one = [(F.col(category) == c).cast("long") for c in categories]
+    rows = numbered(stream.select(*key, order, category), key, order)
+    reference = rows.filter(F.col("n") <= window).groupBy(*key).agg(*[F.sum(one[i]).alias(f"r{i}") for i in ks])
+    w = W.partitionBy(*key, "_at").orderBy("n").rowsBetween(-(window - 1), 0)
+    df = _halos(rows, window - 1, 0).withColumns({f"c{i}": F.sum(one[i]).over(w) for i in ks})
+    df = df.filter(F.col("_own") & (F.col("n") >= 2 * window) & (F.col("n") % stride == 0)).join(reference, key)
+    share = lambda c: F.greatest(F.col(c) / float(window), F.lit(floor))
     q_all, p_all = sum((share(f"c{i}") for i in ks), F.lit(0.0)), sum((share(f"r{i}") for i in ks), F.lit(0.0))
     total = F.lit(0.0)
     for i in ks:
@@ -144,7 +216,16 @@ def psi_path(stream: DataFrame, key: list[str], order: str, category: str, categ
     return df.select(*key, "n", order, total.alias("psi"))
 
 
+def stratified_cusum(stream: DataFrame, by: str, order: str, p0: float, p1: float, thresholds: dict[str, float]) -> DataFrame:
+    """by, alarm_n, alarm_at, level (the highest statistic as a share of its own threshold, 1 at most), one test a stratum."""
+    h = F.create_map(*[F.lit(x) for k, v in thresholds.items() for x in (k, float(v))])
+    df = cusum_path(stream, [by], order, p0, p1).withColumn("h", h[F.col(by)]).filter("h IS NOT NULL")
+    hit = F.col("stat") >= F.col("h")
+    level = F.least(F.max(F.col("stat") / F.col("h")), F.lit(1.0)).alias("level")
+    return df.groupBy(by).agg(F.min(F.when(hit, F.col("n"))).alias("alarm_n"), F.min(F.when(hit, F.col(order))).alias("alarm_at"), level)
+
+
 def first_crossings(df: DataFrame, key: list[str], order: str, hit: Column) -> DataFrame:
     """The first row of each key at which hit holds."""
-    w = W.partitionBy(*key).orderBy(order)
-    return df.filter(hit).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    rest = [c for c in df.columns if c not in key]
+    return df.filter(hit).groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*key, "_r.*").select(*df.columns)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.draws import normal, uniform
-
-TEMPLATES = ("How do I {} with {}?", "Explain {} for {}.", "Compare {} and {}.", "Summarise {} about {}.")
-
+from ..functions.draws import below, normal, uniform
 
 def requests(events: DataFrame) -> DataFrame:
     """request_index, topic, arm, value of an event table."""
@@ -19,7 +15,7 @@ def requests(events: DataFrame) -> DataFrame:
 
 def sampled(df: DataFrame, seed: int, stream: str, rate: float | Column) -> DataFrame:
     """Rows whose keyed uniform lies below the rate."""
-    return df.filter(uniform(seed, "request_index", stream) < rate)
+    return df.filter(uniform(seed, "request_index", stream) < rate if isinstance(rate, Column) else below(seed, "request_index", stream, rate))
 
 
 def step_schedule(changepoint: int | None, epsilon: float, topic: str | None = None) -> Column:
@@ -59,6 +55,18 @@ def pick_topic(seed: int, before: dict[str, float], after: dict[str, float] | No
     return F.when(F.col("request_index") >= shift_at, draw(after)).otherwise(draw(before))
 
 
+def pick_query(df: DataFrame, seed: int, picked: Column, queries: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+    """Adds topic and query_id: of the topic picked, one query uniformly. queries: id, topic."""
+    rank = F.row_number().over(W.partitionBy("topic").orderBy("id")) - 1
+    ranked = queries.select("topic", F.col("id").alias("query_id"), rank.alias("_at"))
+    sizes = queries.groupBy("topic").agg(F.count(F.lit(1)).alias("_of"))
+    if sizes.limit(max_broadcast + 1).count() <= max_broadcast:
+        sizes = F.broadcast(sizes)
+    df = df.drop("topic").withColumn("topic", picked).join(sizes, "topic")
+    df = df.withColumn("_at", F.floor(uniform(seed, "request_index", "__traffic__:query") * F.col("_of")).cast("int"))
+    return df.join(ranked, ["topic", "_at"]).drop("_at", "_of")
+
+
 def pick_response(responses: Column, seed: int, stream: str) -> Column:
     """One of an array, uniformly."""
     return F.element_at(responses, (F.floor(uniform(seed, "request_index", stream) * F.size(responses)) + 1).cast("int"))
@@ -101,8 +109,6 @@ def as_of(left: DataFrame, right: DataFrame, key: list[str], order: str, value:
     """left plus the last ``value`` of right at or before its order value, per key.
 
     A union and a running last: one shuffle on the key, no range join."""
-    from pyspark.sql import Window as W
-
     cols = left.columns
     both = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1))
     other = right.select(*key, order, F.col(value).alias("_v"), F.lit(0).alias("_side"))
@@ -113,9 +119,4 @@ def as_of(left: DataFrame, right: DataFrame, key: list[str], order: str, value:
 
 
 def expected_pairs(spark: SparkSession, n: int, seed: int, rate: float) -> int:
-    return spark.range(n).withColumnRenamed("id", "request_index").filter(uniform(seed, "request_index", "__router__") < rate).count()
-
-
-def effective_sigma(p50: float, p99: float) -> float:
-    """The sigma of a log-normal with these quantiles."""
-    return math.log(p99 / p50) / 2.3263478740408408
+    return spark.range(n).withColumnRenamed("id", "request_index").filter(below(seed, "request_index", "__router__", rate)).count()

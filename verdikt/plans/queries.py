@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import mathx
 from ..functions.draws import uniform
-from ..functions.mathx import SprtDesign
+from ..functions.mathx import JudgeChannel, SprtDesign
 from ..operators import folds, judging, metrics, seqtest, traffic
 from ..operators.judging import NoisyOracle
 from ..sources import log
@@ -282,7 +283,8 @@ def topic_phase_rates(spark, sf):
 
 @query(oracle("SELECT topic, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM requests GROUP BY topic"))
 def latency_percentiles(spark, sf):
-    return requests(spark, sf).groupBy("topic").agg(*[F.round(F.percentile("value", F.lit(q)), 6).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    found = metrics.percentiles(requests(spark, sf), ["topic"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("topic", r6("p50"), r6("p95"), r6("p99"))
 
 
 @query(
@@ -314,7 +316,7 @@ def live_state(spark, sf):
 
 @query(oracle("SELECT topic, round(v - first_value(v) OVER (ORDER BY topic), 6) AS delta FROM (SELECT topic, quantile_cont(value, 0.99) AS v FROM requests GROUP BY topic)"))
 def paired_delta(spark, sf):
-    p = requests(spark, sf).groupBy("topic").agg(F.percentile("value", F.lit(0.99)).alias("v"))
+    p = metrics.percentiles(requests(spark, sf), ["topic"], "value", {"v": 0.99})
     base = p.agg(F.min_by("v", "topic").alias("b"))  # one row
     return p.crossJoin(F.broadcast(base)).select("topic", F.round(F.col("v") - F.col("b"), 6).alias("delta"))
 
@@ -378,11 +380,6 @@ def rolling_epsilon(spark, sf):
     return seqtest.rolling_mean(df, ["topic"], "request_index", "bad", 100, centred=True).select("topic", "request_index", r6("mean"))
 
 
-@query(oracle("SELECT topic, request_index, round(m, 6) AS mean FROM (SELECT *, avg(win) OVER w AS m, count(*) OVER w AS k FROM wins WINDOW w AS (PARTITION BY topic ORDER BY request_index ROWS BETWEEN 79 PRECEDING AND CURRENT ROW)) WHERE k = 80"))
-def rolling_disagreement(spark, sf):
-    return seqtest.rolling_mean(win_stream(spark, sf), ["topic"], "request_index", "win", 80).select("topic", "request_index", r6("mean"))
-
-
 _PSI = "".join(f", sum(CAST(topic = '{t}' AS INTEGER)) OVER w AS c{i}, sum(CASE WHEN n <= 100 THEN CAST(topic = '{t}' AS INTEGER) ELSE 0 END) OVER (PARTITION BY arm) AS r{i}" for i, t in enumerate(TOPICS))
 _SUMS = ", ".join(f"greatest(c{i} / 100.0, 0.0001) AS q{i}, greatest(r{i} / 100.0, 0.0001) AS p{i}" for i in range(5))
 _Q, _P = " + ".join(f"q{i}" for i in range(5)), " + ".join(f"p{i}" for i in range(5))
@@ -397,10 +394,19 @@ def psi_drift_monitor(spark, sf):
     return df.select(F.col("arm").cast("long"), F.col("n").cast("long"), "request_index", r6("psi"))
 
 
-@query(oracle("").rstrip() + f", {CUSUM_SQL} SELECT count(DISTINCT topic) FILTER (WHERE stat >= 3.0) AS topics_alarmed, CAST(max(stat) >= 3.0 AS INTEGER) AS family_alarm FROM cusum")
+STRATA = {"click": 2.0, "error": 2.5, "purchase": 3.0, "signup": 3.5, "view": 4.0}
+_H = "CASE topic " + " ".join(f"WHEN '{t}' THEN {h}" for t, h in STRATA.items()) + " END"
+
+
+@query(oracle("").rstrip() + f", {CUSUM_SQL} SELECT topic, min(n) FILTER (WHERE stat >= h) AS alarm_n, min(request_index) FILTER (WHERE stat >= h) AS alarm_at, round(least(max(stat / h), 1.0), 6) AS level FROM (SELECT *, {_H} AS h FROM cusum) GROUP BY topic")
 def stratified_cusum(spark, sf):
-    per = seqtest.cusum(win_stream(spark, sf), ["topic"], "request_index", 0.5, 0.45, 3.0)
-    return per.agg(F.count("alarm_n").alias("topics_alarmed"), F.max(F.col("alarm_n").isNotNull().cast("int")).alias("family_alarm"))
+    return seqtest.stratified_cusum(win_stream(spark, sf), "topic", "request_index", 0.5, 0.45, STRATA).select("topic", "alarm_n", "alarm_at", r6("level"))
+
+
+@query(oracle("").rstrip() + f", {CUSUM_SQL} SELECT CAST(max(CAST(stat >= h AS INTEGER)) AS INTEGER) AS family_alarm, count(DISTINCT topic) FILTER (WHERE stat >= h) AS topics_alarmed FROM (SELECT *, {_H} AS h FROM cusum)")
+def family_alarm(spark, sf):
+    per = seqtest.stratified_cusum(win_stream(spark, sf), "topic", "request_index", 0.5, 0.45, STRATA)
+    return per.agg(F.max(F.col("alarm_n").isNotNull().cast("int")).alias("family_alarm"), F.count("alarm_n").alias("topics_alarmed"))
 
 
 @query(oracle("").rstrip() + f", armed AS (SELECT w.request_index, w.win, r.arm FROM wins w JOIN requests r USING (request_index)), counted2 AS (SELECT arm AS topic, request_index, win, count(*) OVER w AS n, CAST(sum(win) OVER w AS BIGINT) AS s FROM armed WINDOW w AS (PARTITION BY arm ORDER BY request_index)), {MIX_SQL.replace('FROM counted ', 'FROM counted2 ')} SELECT topic AS arm, min(n) FILTER (WHERE log_mix >= ln(80.0)) AS reject_n, min(request_index) FILTER (WHERE log_mix >= ln(80.0)) AS reject_at FROM mixed GROUP BY topic")
@@ -454,55 +460,39 @@ def typed_view(spark, sf):
     return log.typed(_events(spark, sf), "verdict_recorded").select("request_index", "topic", "winner", "first_shown")
 
 
-@query()
+@query(oracle("").rstrip() + """, lines AS (
+  SELECT sha256('{"type":"request_received","payload":{"query_id":"q' || lpad(CAST(request_index % 50 AS VARCHAR), 5, '0') || '","request_index":' || CAST(request_index AS VARCHAR) || ',"topic":"' || topic || '"}}') AS h FROM requests
+), kinds AS (SELECT h, count(*) AS k FROM lines GROUP BY h),
+size AS (SELECT greatest(0, CAST(ceil(ln(count(*)) / ln(16)) AS BIGINT) - 1) AS digits FROM kinds),
+level1 AS (SELECT substr(h, 1, (SELECT digits FROM size)) AS key, sha256(string_agg(sha256(h || ':' || CAST(k AS VARCHAR)), '' ORDER BY h)) AS h FROM kinds GROUP BY ALL)
+SELECT CASE WHEN (SELECT digits FROM size) = 0 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY key)) END AS fingerprint FROM level1""")
 def content_fingerprint(spark, sf):
     return metrics.fingerprint(_events(spark, sf), log.DATA_EVENTS)
 
 
-@query(oracle("SELECT CAST(count(*) = 0 AS INTEGER) AS same FROM (SELECT request_index, winner FROM verdicts EXCEPT ALL SELECT request_index, winner FROM verdicts)"))
+@query(oracle("""SELECT 1 AS same, CAST((SELECT count(*) FROM verdicts) = 0 AS INTEGER) AS doubled,
+    CAST((SELECT count(*) FROM (SELECT request_index, winner FROM verdicts EXCEPT ALL SELECT request_index, CASE WHEN topic = 'click' THEN 'b' ELSE winner END FROM verdicts)) = 0 AS INTEGER) AS altered"""))
 def verdict_set_equality(spark, sf):
+    """Verdicts against those delivered twice and read back through the log, against doubled and against altered ones."""
     v = verdicts(spark, sf).select("request_index", "winner")
-    return spark.createDataFrame([(int(metrics.same_multiset(v, v)),)], "same int")
+    e = log.to_events(verdicts(spark, sf), "run-1", "verdict_recorded", ["request_index", "winner", "first_shown", "topic"])
+    back = log.typed(log.fresh(e.unionByName(e), e.limit(0)), "verdict_recorded").select("request_index", "winner", "topic")
+    altered = back.withColumn("winner", F.when(F.col("topic") == "click", "b").otherwise(F.col("winner")))
+    same = [int(metrics.same_multiset(v, other.select("request_index", "winner"))) for other in (back, v.unionByName(v), altered)]
+    return spark.createDataFrame([tuple(same)], "same int, doubled int, altered int")
 
 
 # --- scalar functions ---------------------------------------------------------------------
 
 
-@query("SELECT doc_id, round(w * 0.85 + (1 - w) * 0.15, 6) AS observed, round((w - 0.15) / 0.7, 6) AS true_rate, round(1 / (0.25 * (1 - w / 2)), 6) AS requests_per_verdict FROM (SELECT doc_id, (doc_id % 101) / 101.0 AS w FROM documents)")
+@query("SELECT doc_id, round(w * 0.85 + (1 - w) * 0.15, 6) AS observed, round((w - 0.15) / 0.7, 6) AS true_rate, round(2 * 0.85::DOUBLE - 1, 6) AS attenuation, round(1 / (0.25::DOUBLE * (1 - 0.1::DOUBLE)), 6) AS requests_per_verdict FROM (SELECT doc_id, (doc_id % 101) / 101.0 AS w FROM documents)")
 def channel_functions(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 101 / 101.0).alias("w"))
-    w = F.col("w")
-    return d.select("doc_id", F.round(w * 0.85 + (1 - w) * 0.15, 6).alias("observed"), F.round((w - 0.15) / 0.7, 6).alias("true_rate"), F.round(1 / (0.25 * (1 - w / 2)), 6).alias("requests_per_verdict"))
+    w, judge = F.col("w"), JudgeChannel(0.85, 0.25, 0.1)
+    return d.select("doc_id", F.round(judge.observed(w), 6).alias("observed"), F.round(judge.true(w), 6).alias("true_rate"), F.round(F.lit(judge.attenuation), 6).alias("attenuation"), F.round(F.lit(judge.requests_per_verdict), 6).alias("requests_per_verdict"))
 
 
 @query("SELECT k, round(sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1)) * pow(0.85, i) * pow(0.15, k - i)), 9) AS accuracy FROM (VALUES (1), (3), (5), (7)) t(k), range(8) r(i) WHERE i > k // 2 AND i <= k GROUP BY k")
 def majority_accuracy(spark, sf):
-    df = spark.createDataFrame([(k,) for k in (1, 3, 5, 7)], "k int")
-    term = lambda i: F.factorial("k") / (F.factorial(i) * F.factorial(F.col("k") - i)) * F.pow(F.lit(0.85), i) * F.pow(F.lit(0.15), F.col("k") - i)
-    total = F.aggregate(F.sequence((F.floor(F.col("k") / 2) + 1).cast("int"), F.col("k")), F.lit(0.0), lambda a, i: a + term(i))
-    return df.select("k", F.round(total, 9).alias("accuracy"))
-
-
-# --- state machines and simulations (tested against plain folds and published values) ------
-
-
-@query()
-def canary_lifecycle(spark, sf):
-    return folds.canary_transitions(win_stream(spark, sf), "topic", folds.Canary(h=5.0, margin=0.1, alpha=0.2))
-
-
-@query()
-def drift_rebaseline(spark, sf):
-    return folds.rebaselined_alarms(win_stream(spark, sf), "topic", folds.Rebaseline(h=3.0, learn=100, gate=midpoint(requests(spark, sf))))
-
-
-@query()
-def decision_service(spark, sf):
-    r = requests(spark, sf)
-    resets = r.select("topic").distinct().withColumn("request_index", F.lit(midpoint(r)))
-    return folds.decisions(win_stream(spark, sf), "topic", folds.Decision(h=3.0), resets)
-
-
-@query()
-def mixture_sprt_general_prior(spark, sf):
-    return seqtest.mixture_sprt_prior(win_stream(spark, sf), ["topic"], "request_index", 0.44, 0.0125, 2.0, 3.0)
+    rows = [(k, mathx.majority_accuracy(0.85, k)) for k in (1, 3, 5, 7)]
+    return spark.createDataFrame(rows, "k int, accuracy double").select("k", F.round("accuracy", 9).alias("accuracy"))

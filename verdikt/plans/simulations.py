@@ -1,93 +1,32 @@
-"""The Monte Carlo studies: calibration, method comparison, planning."""
+"""The studies as queries, at their published settings. Their draws have no SQL: tests compare
+recorded runs with published values, and keyed twins of the simulations have SQL in ``lifecycle``."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
-
-from ..cluster import ship
-from ..functions.mathx import JudgeChannel, SprtDesign, plan
-from ..operators import metrics
 from ..operators import montecarlo as mc
-from .queries import query
+from ..operators import studies
+from .queries import QUERIES, query
 
 
 @query()
 def cusum_calibration(spark, sf):
-    h = mc.calibrate_cusum(spark, 512, 2000, 0.5, 0.45, 0.05, 2026)
-    return spark.createDataFrame([(h,)], "threshold double")
+    return spark.createDataFrame([(mc.calibrate_cusum(spark, 4000, 20_000, 0.5, 0.45, 0.05, 2026),)], "threshold double")
 
 
 @query()
 def psi_calibration(spark, sf):
-    return spark.createDataFrame([(mc.calibrate_psi(spark, 128, 2000, [0.25] * 4, 200, 50, 0.05, 7),)], "threshold double")
+    return spark.createDataFrame([(mc.calibrate_psi(spark, 400, 29_000, [0.25] * 4, 1000, 100, 0.05, 113),)], "threshold double")
 
 
 @query()
 def disagreement_calibration(spark, sf):
-    return spark.createDataFrame([(mc.calibrate_disagreement(spark, 256, 2000, 0.25, 300, 0.05, 7),)], "threshold double")
-
-
-@query()
-def detection_latency(spark, sf):
-    h, cp = mc.calibrate_cusum(spark, 512, 4000, 0.5, 0.45, 0.05, 2026), 1000
-    parts = []
-    for shift in (0.02, 0.05, 0.1):
-        df = mc.simulate(spark, 256, 31, lambda rng, k, s=shift: {"alarm": mc.cusum_alarms(mc.gen_wins_changepoint(rng, k, 4000, 0.5, 0.5 - s, cp), 0.5, 0.45, h)}, "alarm long")
-        parts.append(df.withColumn("shift", F.lit(shift)))
-    return metrics.detection_summary(parts[0].union(parts[1]).union(parts[2]), cp, ["shift"])
-
-
-@query()
-def method_comparison(spark, sf):
-    d = SprtDesign(0.5, 0.55)
-
-    def run(rng, k):
-        w = mc.gen_wins(rng, k, 6000, 0.55)
-        return {"sprt": mc.sprt_decisions(w, d)[0], "mixture": mc.mixture_rejections(w, 0.5, 0.05), "stitched": mc.stitched_rejections(w, 0.5, 0.05), "peeking": mc.peeking_trips(w)}
-
-    df = mc.simulate(spark, 256, 2028, run, "sprt int, mixture long, stitched long, peeking boolean")
-    rate = lambda c: F.avg(c.cast("int"))
-    return df.agg(rate(F.col("sprt") == 1).alias("sprt"), rate(F.col("mixture") > 0).alias("mixture"), rate(F.col("stitched") > 0).alias("stitched"), rate(F.col("peeking")).alias("peeking"))
-
-
-@query()
-def family_wise_error(spark, sf):
-    arms = 4
-
-    def run(rng, k):
-        r = [mc.mixture_rejections(mc.gen_wins(rng, k, 3000, 0.5), 0.5, 0.05 / a) for a in (1, arms) for _ in range(arms)]
-        return {"plain": sum(x > 0 for x in r[:arms]) > 0, "corrected": sum(x > 0 for x in r[arms:]) > 0}
-
-    return mc.simulate(spark, 256, 2029, run, "plain boolean, corrected boolean").agg(F.avg(F.col("plain").cast("int")).alias("plain"), F.avg(F.col("corrected").cast("int")).alias("corrected"))
-
-
-@query()
-def sprt_validation(spark, sf):
-    d = SprtDesign(0.5, 0.55)
-
-    def run(rng, k):
-        decision, stop = mc.sprt_decisions(mc.gen_wins(rng, k, 5000, 0.52), d)
-        return {"decision": decision, "stop": stop}
-
-    df = mc.simulate(spark, 512, 2027, run, "decision int, stop long")
-    return df.agg(F.avg((F.col("decision") == 1).cast("int")).alias("promoted"), F.avg("stop").alias("mean_n")).withColumn("theory", F.lit(d.accept_h1(0.52))).withColumn("theory_n", F.lit(d.expected_n(0.52)))
-
-
-@query()
-def planning_calculator(spark, sf):
-    p = plan(0.5, 0.55, JudgeChannel(0.85, 0.25))
-    return spark.createDataFrame([tuple(p.values())], ", ".join(f"{k} double" for k in p))
-
-
-@query()
-def wald_curve(spark, sf):
-    """Promotion probability and mean length over true rates, root found in Arrow batches."""
-    ship(spark)
-    d = SprtDesign(0.5, 0.55)
+    return spark.createDataFrame([(mc.calibrate_disagreement(spark, 2000, 6000, 0.25, 300, 0.05, 7),)], "threshold double")
 
-    @F.pandas_udf("accept double, n double")
-    def curve(p: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"accept": [d.accept_h1(x) for x in p], "n": [d.expected_n(x) for x in p]})
 
-    return spark.range(40, 65).select((F.col("id") / 100.0).alias("p")).withColumn("c", curve("p")).select("p", "c.accept", "c.n")
+STUDIES = {
+    "detection_latency": studies.detection_latency, "false_alarm_rates": studies.false_alarms, "sprt_validation": studies.sprt_validation,
+    "method_comparison": studies.method_comparison, "dilution_study": studies.dilution, "multi_arm_study": studies.multi_arm,
+    "ensemble_detection": studies.ensemble_detection, "judge_rounds": studies.judge_rounds, "judge_ensemble_study": studies.judge_ensemble,
+    "full_loop": studies.full_loop, "stratified_study": studies.stratified, "drift_gate": studies.drift_gate, "drift_topic_rates": studies.topic_rates,
+}
+QUERIES.update({name: lambda spark, sf, f=f: f(spark) for name, f in STUDIES.items()})

@@ -49,20 +49,35 @@ def typed(events: DataFrame, type_: str) -> DataFrame:
     return rows.select("run_id", "seq", F.from_json("payload", PAYLOAD[type_]).alias("p")).select("run_id", "seq", "p.*")
 
 
+def is_missing(e: AnalysisException) -> bool:
+    return (e.getCondition() or "").startswith("PATH_NOT_FOUND")
+
+
 class EventLog:
+    """Events as Parquet, partitioned by run."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def read_all(self) -> DataFrame:
+        """All events; none where nothing was written yet. Any other fault of the log is raised."""
         try:
             return self.spark.read.schema(EVENT).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
             return self.spark.createDataFrame([], EVENT)
 
-    def append(self, events: DataFrame) -> None:
-        """Adds the events whose (run_id, seq) the log has not yet; the first of equal keys wins."""
-        new = fresh(events, self.read_all())
-        new.write.mode("append").partitionBy("run_id").parquet(self.path)
+    def append(self, events: DataFrame, max_runs: int = 1000) -> None:
+        """Adds the events whose (run_id, seq) the log has not yet; of equal keys one is kept.
+
+        Only the partitions of the runs at hand are read, where these are ``max_runs`` at most.
+        """
+        log = self.read_all()
+        runs = [r[0] for r in events.select("run_id").distinct().limit(max_runs + 1).collect()]
+        if len(runs) <= max_runs:
+            log = log.filter(F.col("run_id").isin(*runs)) if runs else log.limit(0)
+        fresh(events, log).write.mode("append").partitionBy("run_id").parquet(self.path)
 
     def read(self, run_id: str) -> DataFrame:
         return self.read_all().filter(F.col("run_id") == run_id).orderBy("seq")
@@ -70,27 +85,89 @@ class EventLog:
     def run_ids(self) -> DataFrame:
         return self.read_all().select("run_id").distinct().orderBy("run_id")
 
+    def max_seqs(self) -> DataFrame:
+        return self.read_all().groupBy("run_id").agg(F.max("seq").alias("max_seq"))
+
     def max_seq(self, run_id: str) -> int:
         return self.read_all().filter(F.col("run_id") == run_id).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
 
-    def tail(self, after: int, limit: int = 500) -> DataFrame:
-        """The next events by (seq, run_id) behind a cursor."""
-        return self.read_all().filter(F.col("seq") > after).orderBy("seq", "run_id").limit(limit)
+    def tail(self, after: int = -1, limit: int = 500, after_run: str | None = None) -> DataFrame:
+        """The next events by (seq, run_id) behind the last one seen, (after, after_run)."""
+        return behind(self.read_all(), after, after_run).orderBy("seq", "run_id").limit(limit)
+
+    def arrivals(self) -> DataFrame:
+        """The log as a stream: every event once, in the order of writing, late ones too."""
+        return self.spark.readStream.schema(EVENT).parquet(self.path)
+
+
+def behind(events: DataFrame, after: int, after_run: str | None = None) -> DataFrame:
+    later = F.col("seq") > after
+    return events.filter(later if after_run is None else later | (F.col("seq") == after) & (F.col("run_id") > after_run))
 
 
 def fresh(events: DataFrame, log: DataFrame) -> DataFrame:
     return events.dropDuplicates(["run_id", "seq"]).join(log.select("run_id", "seq"), ["run_id", "seq"], "left_anti").select(*events.columns)
 
 
+class JdbcLog:
+    """The event log in a database table with the key (run_id, seq)."""
+
+    def __init__(self, spark: SparkSession, url: str, table: str = "events", properties: dict[str, str] | None = None):
+        self.spark, self.url, self.table, self.properties = spark, url, table, properties or {}
+
+    def read_all(self) -> DataFrame:
+        return self.spark.read.jdbc(self.url, self.table, properties=self.properties).toDF("run_id", "seq", "type", "payload", "ts")
+
+    def create(self, types: str = "run_id VARCHAR(200), seq BIGINT, type VARCHAR(100), payload VARCHAR(32000), ts DOUBLE") -> None:
+        """Makes the empty table."""
+        empty = self.spark.createDataFrame([], EVENT)
+        empty.write.option("createTableColumnTypes", types).jdbc(self.url, self.table, mode="ignore", properties=self.properties)
+
+    def append(self, events: DataFrame) -> None:
+        """Adds what the table has not: the keys at hand are compared with the stored ones."""
+        new = fresh(events, self.read_all().select("run_id", "seq"))
+        new.write.jdbc(self.url, self.table, mode="append", properties=self.properties)
+
+    def read(self, run_id: str) -> DataFrame:
+        return self.read_all().filter(F.col("run_id") == run_id).orderBy("seq")
+
+
+def verdicts_of(events: DataFrame, judge_id: str | None = None) -> DataFrame:
+    """The verdicts of a run, of one judge if asked for, in order of request_index."""
+    rows = typed(events, "verdict_recorded")
+    return (rows if judge_id is None else rows.filter(F.col("judge_id") == judge_id)).orderBy("request_index")
+
+
+def data_events(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("type").isin(*DATA_EVENTS))
+
+
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines. Blank lines are skipped; a line that is no such JSON is an error."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+
+
 def load_queries(spark: SparkSession, path: str) -> DataFrame:
-    """id, text, topic from JSON lines; blank lines are skipped, a missing topic is 'none'."""
-    df = spark.read.schema("id string, text string, topic string").json(path)
-    return df.filter("id IS NOT NULL").withColumn("topic", F.coalesce("topic", F.lit("none")))
+    """id, text, topic from JSON lines; a missing topic is 'none'."""
+    rows = _json_lines(spark, path, "id string, text string, topic string").select("r.*")
+    return rows.withColumn("topic", F.coalesce("topic", F.lit("none")))
 
 
 def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+POOL = "query_id string, quality string, responses array<string>"
+
+
+def save_pool(pool: DataFrame, path: str) -> None:
+    """JSON lines in order of (query_id, quality)."""
+    save_json(pool.select("query_id", "quality", "responses").orderBy("query_id", "quality"), path)
+
+
 def load_pool(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("query_id string, quality string, responses array<string>").json(path)
+    """query_id, quality, responses; of a key that comes twice the last line holds."""
+    rows = _json_lines(spark, path, POOL)
+    last = F.max_by("r.responses", F.struct("file", "at", "row")).alias("responses")
+    return rows.groupBy(F.col("r.query_id").alias("query_id"), F.col("r.quality").alias("quality")).agg(last)
