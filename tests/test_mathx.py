@@ -36,7 +36,7 @@ def test_channel_and_plan():
     c = JudgeChannel(0.85, 0.25)
     assert c.observed(0.55) == pytest.approx(0.535) and c.attenuation == pytest.approx(0.7) and c.true(c.observed(0.3)) == pytest.approx(0.3)
     p = mathx.plan(0.5, 0.55, c)
-    assert p["requests_h1"] == pytest.approx(4 * p["verdicts_h1"])
+    assert p["expected_requests_under_h1"] == pytest.approx(4 * p["expected_verdicts_under_h1"])
     with pytest.raises(ValueError):
         JudgeChannel(0.4)
     with pytest.raises(ValueError):
