@@ -12,17 +12,20 @@ and words of reporting turn its weight down, so quoting differs from abuse.
 *Score.* A logistic regression on the matches of a text, weighted back to the classes'
 true shares, gives the probability of label 1.
 
-Bounds: at most about ``rows_per_class`` labelled rows a class are fitted on, the
-lexicon has at most ``terms`` entries. Scoring streams through all texts.
+Bounds: at most about ``rows_per_class`` labelled rows a class are fitted on, so what is
+counted and collected of them is bounded too. The lexicon takes every term that passes, of any
+length, unless ``terms`` is given. Scoring streams through all texts.
 
 Defined cases: null and empty texts have no match and get the base score; labels other
-than 0 and 1 are not learned from; a doc_id labelled twice has its greatest label;
+than 0 and 1 are not learned from; a doc_id labelled twice, or a text labelled under several,
+has its greatest label;
 without labels of both classes all scores are 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -76,7 +79,7 @@ class Trie:
 def automaton_matches(trie: Trie, terms: list[str], tokens: list[str]) -> dict[str, tuple[int, int]]:
     """token -> (nearest term, edits) for tokens within the tolerance of a term."""
     longest = max(map(len, terms), default=0) + 2
-    tokens = [t for t in tokens if 3 <= len(t) <= longest]
+    tokens = [t for t in tokens if 1 <= len(t) <= longest]  # no other is near a term
     if not tokens or not terms:
         return {}
     chars = np.array(tokens, f"U{longest}").view(np.uint32).reshape(len(tokens), longest).T.copy()
@@ -194,7 +197,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
             words = {w.strip(EDGES) for w in text.lower().split()}
-            counts[toxic].update("=" + w for w in words if 3 <= len(w) <= 24)
+            counts[toxic].update("=" + w for w in words if w)
             counts[toxic].update({w[:n] for w in words for n in BEGINNINGS if len(w) > n})
     for toxic, c in enumerate(counts):
         terms = list(c)
@@ -220,20 +223,31 @@ def _variety(terms: list[str]):
     return run
 
 
-def choose_terms(counts: list[tuple[str, int, int]], variety: dict[str, int], share: float, terms: int) -> tuple[list[str], list[str]]:
+def choose_terms(counts: list[tuple[str, int, int]], variety: dict[str, int], share: float, terms: int | None = None) -> tuple[list[str], list[str]]:
     """Whole words and beginnings. share: weight of a counted clean text against a toxic one."""
     good = {t: p for t, p, n in counts if p / (p + share * n) >= 0.8 and variety.get(t, 0) >= max(4, p**0.6)}
+    bare = sorted((t.lstrip("="), t) for t in good)
     chosen: list[str] = []
+    taken: set[str] = set()  # beginnings
     for t in sorted(good, key=lambda t: (-good[t], -len(t), t)):
-        bare = t.lstrip("=")
+        own = t.lstrip("=")
         # a beginning that a longer one or a whole word explains says less than that one does
-        longer = [u for u in good if u != t and (u[1:] if u[0] == "=" else u).startswith(bare) and (len(u.lstrip("=")) > len(bare) or u[0] == "=")]
-        if t[0] != "=" and any(good[u] >= 0.93 * good[t] for u in longer):
-            continue
-        if any(c[0] != "=" and bare.startswith(c) and bare != c for c in chosen):
+        if t[0] != "=":
+            at, explained = bisect_left(bare, (own, "")), False
+            while at < len(bare) and bare[at][0].startswith(own):
+                u = bare[at][1]
+                if u != t and (len(bare[at][0]) > len(own) or u[0] == "=") and good[u] >= 0.93 * good[t]:
+                    explained = True
+                    break
+                at += 1
+            if explained:
+                continue
+        if any(own[:k] in taken for k in range(1, len(own))):
             continue
         chosen.append(t)
-        if len(chosen) >= terms:
+        if t[0] != "=":
+            taken.add(own)
+        if terms is not None and len(chosen) >= terms:
             break
     return [t[1:] for t in chosen if t[0] == "="], [t for t in chosen if t[0] != "="]
 
@@ -252,7 +266,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1.0)
     return b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, terms: int = 400) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000, terms: int | None = None) -> ToxicityModel:
     """Learns from about rows_per_class labelled documents of each class at most, by a hash of the doc_id."""
     spark = docs.sparkSession
     ship(spark)
@@ -265,15 +279,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000,
     picked = known.filter(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).withColumnRenamed("doc_id", "_d")
     # bounded by the sample: about 2 * rows_per_class rows
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_d")).filter("text IS NOT NULL")
-    rows = rows.select("doc_id", "text", "toxic").dropDuplicates(["text"])
-    rows = written(rows)
+    rows = written(rows.groupBy("text").agg(F.max("toxic").alias("toxic")))
     n_toxic, n_clean = (rows.filter(F.col("toxic") == c).count() for c in (1, 0))
     counts = rows.mapInArrow(_count_terms, "term string, n long, toxic int").groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n")
     )
     ratio = (totals[0] / max(1, n_clean)) / (totals[1] / max(1, n_toxic))
     likely = counts.filter((F.col("p") >= max(3, 0.004 * n_toxic)) & (F.col("p") >= 4 * ratio * F.col("n")))
-    top = [(r["term"], r["p"], r["n"]) for r in likely.orderBy(F.desc("p"), "term").limit(20 * terms).collect()]
+    top = [(r["term"], r["p"], r["n"]) for r in likely.orderBy(F.desc("p"), "term").collect()]
     pairs = rows.filter("toxic = 1").mapInArrow(_variety([t for t, *_ in top]), "term string, before string")
     variety = {r["term"]: r["v"] for r in pairs.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("v")).collect()}
     words, beginnings = choose_terms(top, variety, ratio, terms)
