@@ -77,9 +77,9 @@ LETTERS = _byte_letters()
 BLANK = LETTERS[32]
 
 
-def parts(text: str, most: int = GROUP) -> Iterator[str]:
-    """A text in parts of about ``most`` characters, if it has places to cut."""
-    at = 0
+def parts(text: str, most: int | None = None) -> Iterator[str]:
+    """A text in parts of about ``most`` (GROUP) characters, if it has places to cut."""
+    at, most = 0, most or GROUP
     while len(text) - at > most:
         m = CUT.search(text, at + most)
         if m is None:
