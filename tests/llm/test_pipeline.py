@@ -66,3 +66,21 @@ def test_near_dedup_takes_five_words_and_similarity(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == sorted(set(root))
     prints = [brute_print(t or "") for t in texts]
     assert len(set(root)) < len(set(least_of_components(len(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)))
+
+
+def test_empty_unlabelled_and_clashing_tables(spark, tmp_path):
+    """No documents, no labels, no benchmark, and columns named as the stages' own."""
+    rng = random.Random(2)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _th string, lang_pred string, d string, k string"
+    made = [(i if i else None, words(rng, 30), None, None if i % 2 else "s", 0, "x", "y", "z", "w") for i in range(12)] + [(99, "", None, "s", 0, "x", "y", "z", "w")]
+    for name, rows, items in (("empty", [], [(0, "one two three four five six")]), ("bare", made, [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:4]:
+            docs = written(stage(spark, docs, sf))
+            assert docs.columns == [c.split(" ")[0] for c in schema.split(", ")]
+            if stage_name == "decontamination":
+                assert docs.count() == (12 if rows else 0)
+        assert corpus_pipeline.STAGES[4][1](spark, docs, sf).count() == docs.count()
