@@ -4,7 +4,7 @@ A *run* is a table of the line keys one batch brought first, bucketed and sorted
 by key. A new batch is grouped by key, merge-anti-joined with the runs, and what
 is left becomes a run of level 0; once a level holds ``fanout`` runs they are
 compacted into one run of the next. Runs are bucketed alike, so a batch shuffles
-its own keys only, never the runs.
+its own keys only; a run moves when it is compacted, once a level.
 
 Batches arrive in ascending order of documents, so the first document of a key
 within the batch that brings it is the first of all. Both joins of a batch are
@@ -98,8 +98,10 @@ def line_dedup(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: i
     batch = reduce(lambda a, c: a + (F.col("dk") > c).cast("int"), cuts, F.lit(0))
     lines = written(line_keys(docs, min_chars).withColumn("batch", batch), "batch")
     runs = LineRuns(spark, fanout)
-    drops = [runs.add(lines.filter(F.col("batch") == b).drop("batch")) for b in range(len(cuts) + 1)]
-    runs.close()
+    try:
+        drops = [runs.add(lines.filter(F.col("batch") == b).drop("batch")) for b in range(len(cuts) + 1)]
+    finally:
+        runs.close()
     dropped = reduce(DataFrame.unionByName, drops).groupBy("dk", "th").agg(F.collect_set("idx").alias("d"))
     rows = docs.select(
         docs["doc_id"],

@@ -76,7 +76,9 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v): links between the distinct fingerprints of column fp, connecting just those within the radius."""
     if radius % 2:
         raise ValueError("the radius is halved: it must be even")
-    variants = distinct.select("fp", F.explode(ball("fp", radius // 2)).alias("variant"))
+    # dealt out first, as the table of distinct fingerprints may be a few files
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = distinct.select("fp").repartition(n, "fp").select("fp", F.explode(ball("fp", radius // 2)).alias("variant"))
     least = variants.withColumn("least", F.min("fp").over(W.partitionBy("variant"))).filter("fp <> least")
     pairs = least.select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
     return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
