@@ -241,7 +241,7 @@ def clipped_rates(spark, sf):
 
 # --- state machines ---------------------------------------------------------------------------
 
-_NUMBERED = "numbered AS (SELECT topic, request_index, win, row_number() OVER (PARTITION BY topic ORDER BY request_index) AS i FROM wins), starts AS (SELECT DISTINCT topic FROM wins)"
+_NUMBERED = "numbered AS MATERIALIZED (SELECT topic, request_index, win, row_number() OVER (PARTITION BY topic ORDER BY request_index) AS i FROM wins), starts AS MATERIALIZED (SELECT DISTINCT topic FROM wins)"
 _RECURSIVE = lambda more, body: oracle("").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f", {_NUMBERED}, {more} {body}"
 
 _CANARY_SQL = """canary AS (
