@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontamination
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .language_id import op9_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .lm_scoring import op8_lm_scoring
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
