@@ -9,6 +9,7 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .lm_scoring import op8_lm_scoring
 from .mixing import op4_mixing
 from .order_minhash import op7_order_minhash
+from .phrases import OP12_SQL, op12_phrases
 from .secrets import OP11_SQL, op11_secrets
 from .simhash import op5_simhash_near_dedup
 from .suffix_dedup import op1_suffix_dedup
@@ -27,11 +28,13 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
     "op11_secrets": op11_secrets,
+    "op12_phrases": op12_phrases,
     "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op11_secrets": OP11_SQL,
+    "op12_phrases": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
