@@ -7,8 +7,10 @@ different words (copies of one text meet theirs after the same word) make the le
 together: a token's automaton state is its row of edit distances to the node's string,
 and tokens leave a branch once their state exceeds the tolerance. Longer terms tolerate
 more edits. Beginnings match exactly.
-*Context.* Each match looks at a window of words around it: quotation marks about it
-and words of reporting turn its weight down, so quoting differs from abuse.
+*Context.* Each match looks at a window of words around it, and whether quotation marks are
+about it. Signs that stand near the lexicon's words in clean texts surely more often than in
+toxic ones are learned from the sample with their log odds; they turn a match's weight down, so
+quoting differs from abuse. A sample without clean texts that hold the words has no such signs.
 *Score.* A logistic regression on the matches of a text, weighted back to the classes'
 true shares, gives the probability of label 1.
 
@@ -40,8 +42,10 @@ from .language_id import fold
 
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”‘’«»„…–—¿¡"
 QUOTES = "\"“”«»„‘’'`"
-#: Words that report what others say.
-REPORTING = frozenset("said says say saying told asked wrote written writes called calls calling word words term terms quote quotes quoted quoting reported reportedly according claimed slur insult insults insulted phrase".split())
+#: The sign that quotation marks stand about a match.
+MARKS = '"'
+#: Sample texts in which a sign must stand near a match before it counts.
+SIGN_TEXTS = 5
 BEGINNINGS = range(3, 9)
 #: Words on each side of a match that are its context.
 REACH = 6
@@ -76,37 +80,59 @@ class Trie:
         return root
 
 
+#: The greatest tolerance; edits are counted up to one more.
+MOST = 2
+
+
 def automaton_matches(trie: Trie, terms: list[str], tokens: list[str]) -> dict[str, tuple[int, int]]:
-    """token -> (nearest term, edits) for tokens within the tolerance of a term."""
-    longest = max(map(len, terms), default=0) + 2
-    tokens = [t for t in tokens if 1 <= len(t) <= longest]  # no other is near a term
+    """token -> (nearest term, edits) for tokens within the tolerance of a term.
+
+    A token's state is a band: the edits between the node's string, of i characters, and the
+    token's first i - MOST to i + MOST characters. So memory grows with the tokens' number, not
+    with their or the terms' length, and the walk keeps its own stack.
+    """
+    lengths = {n for t in terms for n in range(len(t) - tolerance(t), len(t) + tolerance(t) + 1)}
+    tokens = [t for t in tokens if t and len(t) in lengths]  # no other is near a term
     if not tokens or not terms:
         return {}
-    chars = np.array(tokens, f"U{longest}").view(np.uint32).reshape(len(tokens), longest).T.copy()
+    flat = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = np.array(list(map(len, tokens)))
+    starts = np.cumsum(lens) - lens
     found: dict[str, tuple[int, int]] = {}
-
-    def walk(node: Trie, who: np.ndarray, state: np.ndarray) -> None:
-        # state[j, x]: edits between the node's string and the first j characters of token x
+    band = np.arange(-MOST, MOST + 1)[:, None]
+    begin = np.where((band >= 0) & (band <= lens), band, MOST + 1).astype(np.int8)
+    # what is put down is a child and its parent's state; the child's own is made when it is taken up
+    stack = [(child, c, 1, np.arange(len(tokens)), begin) for c, child in trie.next.items()]
+    while stack:
+        node, c, depth, who, before = stack.pop()
+        now = np.full_like(before, MOST + 1)
+        for b in range(2 * MOST + 1):
+            j = depth + b - MOST  # characters of the token
+            if j < 0:
+                continue
+            own = now[b]
+            if j:
+                at = np.minimum(starts[who] + j - 1, flat.size - 1)
+                np.minimum(own, before[b] + (flat[at] != ord(c)), out=own)
+            if b < 2 * MOST:
+                np.minimum(own, before[b + 1] + 1, out=own)
+            if b and j:
+                np.minimum(own, now[b - 1] + 1, out=own)
+            own[lens[who] < j] = MOST + 1
+        alive = now.min(axis=0) <= node.reach
+        if not alive.any():
+            continue
+        who, now = who[alive], now[:, alive]
         if node.term >= 0:
-            d = state[lens[who], np.arange(len(who))]
-            for x in np.nonzero(d <= tolerance(terms[node.term]))[0].tolist():
-                t, new = tokens[who[x]], (int(d[x]), node.term)
+            at = lens[who] - depth + MOST
+            near = np.flatnonzero((at >= 0) & (at <= 2 * MOST))
+            d = now[at[near], near]
+            hit = d <= tolerance(terms[node.term])
+            for x, edits in zip(near[hit].tolist(), d[hit].tolist()):
+                t, new = tokens[who[x]], (edits, node.term)
                 if t not in found or new < found[t][::-1]:
                     found[t] = new[::-1]
-        for c, child in node.next.items():
-            now = np.empty_like(state)
-            now[0] = state[0] + 1
-            own = chars[:, who] != ord(c)
-            for j in range(1, longest + 1):
-                np.minimum(state[j] + 1, now[j - 1] + 1, out=now[j])
-                np.minimum(now[j], state[j - 1] + own[j - 1], out=now[j])
-            alive = now.min(axis=0) <= child.reach
-            if alive.any():
-                walk(child, who[alive], now[:, alive])
-
-    start = np.repeat(np.arange(longest + 1, dtype=np.int8)[:, None], len(tokens), axis=1)
-    walk(trie, np.arange(len(tokens)), start)
+        stack.extend((child, k, depth + 1, who, now) for k, child in node.next.items())
     return found
 
 
@@ -154,16 +180,15 @@ class Matcher:
                 yield words, [i for i, w in enumerate(words) if w in known]
 
 
-def quotation(words: list[str], at: int) -> float:
-    """0 (no sign of quoting) to 1: quotation marks about the match, words of reporting near it."""
+def signs(words: list[str], at: int) -> set[str]:
+    """What stands around a match: the words of its window, and whether quotation marks are about it."""
     near = words[max(0, at - REACH) : at]
     after = words[at + 1 : at + 1 + REACH]
     own = words[at]
+    out = {w.strip(EDGES) for w in near + after} - {""}
     opens = own[0] in QUOTES or any(w[0] in QUOTES for w in near)
-    closes = own[-1] in QUOTES or any(w.rstrip(".,;:!?")[-1:] in QUOTES for w in after if w.rstrip(".,;:!?"))
-    marks = 0.7 if opens and closes else 0.0
-    reports = 0.3 * min(1, sum(w.strip(EDGES) in REPORTING for w in near + after))
-    return marks + reports
+    closes = own.rstrip(".,;:!?")[-1:] in tuple(QUOTES) or any(w.rstrip(".,;:!?")[-1:] in tuple(QUOTES) for w in after)
+    return out | {MARKS} if opens and closes else out
 
 
 @dataclass
@@ -172,6 +197,13 @@ class ToxicityModel:
     beginnings: list[str]
     weights: np.ndarray  # by term and number of edits
     logit: np.ndarray
+    quoting: dict[str, float] = field(default_factory=dict)  # sign -> log odds that its match is not abuse
+
+    def quotation(self, words: list[str], at: int) -> float:
+        """0 (no sign of quoting) to 1, by the signs around a match."""
+        if not self.quoting:
+            return 0.0
+        return 1 - math.exp(-sum(self.quoting.get(t, 0.0) for t in signs(words, at)))
 
     def matcher(self) -> Matcher:
         return Matcher(self.words, self.beginnings)
@@ -180,7 +212,7 @@ class ToxicityModel:
         """Features of a text's matches, and the share of them that is quoted."""
         if not places:
             return np.zeros(FEATURES), 0.0
-        quoted = [quotation(words, i) for i in places]
+        quoted = [self.quotation(words, i) for i in places]
         w = [self.weights[known[words[i]]] * (1 - q) for i, q in zip(places, quoted)]
         q = sum(quoted) / len(places)
         return np.array([max(w), math.log1p(max(0.0, sum(w))), math.log1p(len({known[words[i]][0] for i in places})), min(1.0, 20 * len(places) / len(words)), q]), q
@@ -303,6 +335,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000,
     n = odds.sum(2)
     model.weights = np.maximum(0.0, (n * seen_odds + 5 * prior) / (n + 5)) / 3
     model.weights[:, 0] = np.maximum(0.0, exact[:, 0]) / 3
+    model.quoting = _quoting(rows, model)
     got = rows.mapInArrow(_described(model), "f binary, toxic int").toPandas().sort_values(["toxic", "f"], ignore_index=True)
     x = np.frombuffer(b"".join(got["f"]), np.float64).reshape(-1, FEATURES)
     y = got["toxic"].to_numpy(float)
@@ -310,6 +343,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000,
     return model
 
 
+def _quoting(rows: DataFrame, model: ToxicityModel) -> dict[str, float]:
+    """Signs of quoting: the least log odds, at 1.64 standard errors, of clean against toxic texts with a match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, counts = model.matcher(), Counter()
+        for b in batches:
+            for (words, places), toxic in zip(m.matches(b.column("text").to_pylist()), b.column("toxic").to_pylist()):
+                counts.update((t, toxic) for t in {"", *(t for i in places for t in signs(words, i))} if places)
+        cols = list(zip(*[(*k, n) for k, n in counts.items()])) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), pa.int64()])], ["sign", "toxic", "n"])
+
+    met = rows.mapInArrow(run, "sign string, toxic int, n long").groupBy("sign").agg(
+        *[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(name) for c, name in ((1, "p"), (0, "q"))]
+    )
+    # the empty sign counts the texts that have a match at all
+    every = met.filter("sign = ''").first()
+    if every is None:
+        return {}
+    odds = F.log((F.col("q") + 0.5) / (every["q"] + 1)) - F.log((F.col("p") + 0.5) / (every["p"] + 1))
+    sure = odds - 1.64 * F.sqrt(1 / (F.col("q") + 0.5) + 1 / (F.col("p") + 0.5))
+    found = met.filter((F.col("sign") != "") & (F.col("p") + F.col("q") >= SIGN_TEXTS)).select("sign", sure.alias("w")).filter("w > 0")
+    return {r["sign"]: r["w"] for r in found.collect()}  # words of the sample
+
+
 def _term_hits(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, counts = model.matcher(), Counter()
