@@ -41,9 +41,9 @@ from .common import ascii_lower, bounded_broadcast, documents, ship, text_of, wr
 
 BREAK, BLANK = "[.,;:!?\\x0A-\\x0D]+", "[\\x20\\x09]+"
 #: Keys that a mapper gathers before it sorts them.
-FLUSH = 1 << 21
-#: Rows of a batch that are worked on together; their arrays are copied several times over.
-SLICE = 256
+FLUSH = 1 << 19
+#: Values of a batch's lists that are worked on together; their arrays are copied several times over.
+SLICE = 1 << 18
 #: Slots whose counts travel as one row.
 CHUNK = 13
 #: Shares in which a language's phrases are ranked first.
@@ -103,16 +103,20 @@ class PerfectHash:
 
 def _rows(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Flat values and offsets of a list column, a slice of a batch at a time."""
-    for b in _slices(batches):
+    for b in _slices(batches, column):
         lists = b.column(column)
         offsets = lists.offsets.to_numpy()
         yield lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Rows of batches in groups of about SLICE values of a list column, a long row by itself."""
     for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+        offsets, at = b.column(column).offsets.to_numpy(), 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 def _pairs(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -263,7 +267,7 @@ def _numbered(rows: DataFrame, slots: Slots, pairs: bool, frequent: DataFrame |
 
         def fill(batches: Iterator[pa.RecordBatch], base=base, held=held, keep=keep) -> Iterator[pa.RecordBatch]:
             kept = None if keep is None else np.unpackbits(keep.value).astype(bool)
-            for b in _slices(batches):
+            for b in _slices(batches, source):
                 values, offsets = next(_rows([b], source))
                 keys = _pairs(values, offsets) if pairs else values
                 got = held.value.slots(keys)
