@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,20 +42,42 @@ def log_read(spark, sf):
 
 @query(with_base(f"{LOGGED} SELECT 'run-1' AS run_id, max(seq) AS max_seq FROM logged UNION ALL SELECT 'run-2', max(seq) FROM logged WHERE type = 'verdict_recorded'"))
 def log_max_seqs(spark, sf):
-    store = _logged(spark, sf)
-    rows = [(r["run_id"], store.max_seq(r["run_id"])) for r in store.run_ids().collect()]
-    return spark.createDataFrame(rows, "run_id string, max_seq long")
+    return _logged(spark, sf).max_seqs()
 
 
-@query(with_base(f"{LOGGED}, both_runs AS (SELECT *, 'run-1' AS run_id FROM logged UNION ALL SELECT *, 'run-2' FROM logged WHERE type = 'verdict_recorded') SELECT seq, run_id FROM both_runs WHERE seq > 1000 ORDER BY seq, run_id LIMIT 300"))
+@query(with_base(f"{LOGGED} SELECT seq, type, seq // 10 % 3 AS arrival FROM logged ORDER BY arrival, seq LIMIT 4 * (SELECT (count(*) + 5) // 6 FROM logged)"))
 def log_pages(spark, sf):
-    """Three pages behind a cursor that stands between equal seqs of two runs."""
-    store, at, rows = _logged(spark, sf), (1000, None), []
-    for _ in range(3):
-        page = store.tail(at[0], 100, at[1]).select("seq", "run_id").collect()
-        rows += page
-        at = tuple(page[-1]) if page else at
-    return spark.createDataFrame(rows, "seq long, run_id string")
+    """Four pages of a log in order of arrival. Each of three batches repeats the ones before and
+    brings seqs that lie before theirs; the second and the third come when the first page is read."""
+    e = written(_events(spark, sf))
+    store, at, size = log.EventLog(spark, shared_dir(spark)), (-1, -1), (e.count() + 5) // 6
+    third = F.floor(F.col("seq") / 10) % 3
+    store.append(e.unionByName(e).filter(third == 0).orderBy("seq"))
+    pages = []
+    for k in range(4):
+        pages.append(store.tail(at, size))
+        at = pages[-1].agg(F.max(F.struct("arrival", "place")).alias("m")).select("m.*").first() or at
+        if k == 0:
+            store.append(e.filter(third <= 1).orderBy("seq"), "late", 0)
+            store.append(e.filter(third <= 1).orderBy("seq"), "late", 0)  # delivered again
+            store.append(e.orderBy("seq"), "late", 1)
+            store.fold()
+    return reduce(DataFrame.unionByName, pages).select("seq", "type", "arrival")
+
+
+@query(with_base(f"{LOGGED} SELECT type, count(*) AS n, max(seq) AS max_seq FROM logged GROUP BY type"))
+def concurrent_append(spark, sf):
+    """Four writers append the same events at once, in two batches each, while one of them folds."""
+    store, e = log.EventLog(spark, shared_dir(spark), fold_after=3), written(_events(spark, sf))
+
+    def write(k: int) -> None:
+        own = log.EventLog(spark, store.path, fold_after=3)
+        for b in range(2):
+            own.append(e.filter(F.col("seq") % 2 == (b + k) % 2), f"writer-{k}", b)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    return store.read_all().groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq"))
 
 
 @query(with_base(f"{LOGGED} SELECT type, count(*) AS n FROM logged GROUP BY type"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_dir, written
 from ..functions import mathx
 from ..functions.draws import uniform
 from ..functions.mathx import JudgeChannel, SprtDesign
@@ -437,22 +438,29 @@ LOGGED = """logged AS (SELECT request_index * 10 AS seq, 'request_received' AS t
 
 @query(oracle("").rstrip() + f", {LOGGED} SELECT type, count(*) AS n, max(seq) AS max_seq FROM logged GROUP BY type")
 def idempotent_append(spark, sf):
-    e = _events(spark, sf)
-    twice = log.fresh(e.unionByName(e), e.limit(0))
-    again = log.fresh(e, twice)  # nothing is new now
-    return twice.unionByName(again).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq"))
+    """Events delivered twice in one batch, and once more in a batch that comes twice."""
+    store, e = log.EventLog(spark, shared_dir(spark)), written(_events(spark, sf))
+    store.append(e.unionByName(e))
+    store.append(e, "again", 0)
+    store.append(e, "again", 0)
+    return store.read_all().groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq"))
 
 
 @query(oracle("").rstrip() + f", {LOGGED} SELECT 'run-1' AS run_id, max(seq) AS max_seq FROM logged UNION ALL SELECT 'run-2', max(seq) FROM logged WHERE type = 'verdict_recorded'")
 def run_index(spark, sf):
-    e = _events(spark, sf)
-    second = e.filter("type = 'verdict_recorded'").withColumn("run_id", F.lit("run-2"))
-    return e.unionByName(second).groupBy("run_id").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("max_seq"))
+    store, e = log.EventLog(spark, shared_dir(spark)), _events(spark, sf)
+    store.append(e)
+    store.append(e.filter("type = 'verdict_recorded'").withColumn("run_id", F.lit("run-2")))
+    return store.run_ids().join(store.max_seqs(), "run_id")
 
 
 @query(oracle("").rstrip() + f", {LOGGED} SELECT seq, type FROM logged WHERE seq > 1000 ORDER BY seq LIMIT 500")
 def log_tail(spark, sf):
-    return _events(spark, sf).filter("seq > 1000").orderBy("seq").limit(500).select("seq", "type")
+    """The page behind the last event up to seq 1000, of a log that was written in order of seq."""
+    store = log.EventLog(spark, shared_dir(spark))
+    store.append(_events(spark, sf).orderBy("seq"))
+    at = store.arrived().filter("seq <= 1000").agg(F.max(F.struct("arrival", "place")).alias("m")).select("m.*").first()
+    return store.tail(tuple(at), 500).select("seq", "type")
 
 
 @query(oracle("SELECT request_index, topic, winner, first_shown FROM verdicts"))

@@ -8,6 +8,7 @@ the fold in order of request_index.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -196,11 +197,14 @@ class Bus:
 
 
 def to_log(stream: DataFrame, log_path: str, checkpoint: str, available_now: bool = True, every: str = "250 milliseconds") -> StreamingQuery:
-    """Writes events to the log; a batch that is delivered again adds nothing. A live query flushes
-    at intervals; what one holds is bounded at the source (maxFilesPerTrigger and the like)."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        EventLog(batch.sparkSession, log_path).append(batch.select("run_id", "seq", "type", "payload", F.col("ts").cast("double").alias("ts")))
+    """Writes events to the log: exactly once, however many queries write to it. A batch that is
+    delivered again finds itself published, or replaces what it had written; nothing is read.
+    A live query flushes at intervals; what one holds is bounded at the source (maxFilesPerTrigger
+    and the like)."""
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:32]  # the query's name from start to start
+
+    def write(batch: DataFrame, k: int) -> None:
+        EventLog(batch.sparkSession, log_path).append(batch.select("run_id", "seq", "type", "payload", F.col("ts").cast("double").alias("ts")), writer, k)
 
     out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
