@@ -147,21 +147,6 @@ def test_general_prior_equals_window_form_and_hand_value(stream):
     assert a == b
 
 
-def test_drift_fold_equals_window_form(spark):
-    rng = random.Random(3)
-    rows = [("x", i, rng.choices("abc", (6, 3, 1) if i < 600 else (1, 3, 6))[0]) for i in range(1200)]
-    df = spark.createDataFrame(rows, "k string, request_index long, topic string")
-    want = {r["n"]: r["psi"] for r in seqtest.psi_path(df, ["k"], "request_index", "topic", list("abc"), 200, 50).collect()}
-    monitor = folds.Drift(tuple("abc"), 200, 50, 0.3)
-    st, got, alarms = monitor.start(), {}, []
-    for _, _, c in rows:
-        seen = monitor.step(st, c)
-        if seen:
-            got[seen[0]] = seen[1]
-            alarms += [seen[0]] if seen[2] else []
-    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n]) for n in got) and len(alarms) == 1 and alarms[0] > 600
-
-
 def test_decisions_reset_on_drift(spark):
     rows = [("x", i, int(i % 5 < 2)) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, request_index long, win int")

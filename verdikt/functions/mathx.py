@@ -177,8 +177,10 @@ def majority_accuracy(accuracy: float, k: int) -> float:
     return sum(math.comb(k, i) * accuracy**i * (1 - accuracy) ** (k - i) for i in range(k // 2 + 1, k + 1))
 
 
-def psi(p: np.ndarray, q: np.ndarray, floor: float = 1e-4) -> float:
-    """Population stability index of q against p, both floored and renormalised."""
-    p, q = np.maximum(p, floor), np.maximum(q, floor)
-    p, q = p / p.sum(), q / q.sum()
-    return float(np.sum((q - p) * np.log(q / p)))
+def psi(reference: np.ndarray, counts: np.ndarray, size: float = 1.0, floor: float = 1e-4) -> np.ndarray:
+    """Population stability of counts against the reference's, along the last axis. Both are of ``size``
+    rows; their shares are floored and made to add up to one again."""
+    shares = np.clip(np.stack(np.broadcast_arrays(reference, counts)) / size, floor, None)
+    before, now = shares / shares.sum(axis=-1, keepdims=True)
+    # what moved, in both directions of the divergence at once
+    return np.einsum("...i,...i->...", now - before, np.log(now) - np.log(before))

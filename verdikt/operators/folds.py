@@ -11,13 +11,11 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from ..functions.mathx import psi
 
 #: Stages of a canary and their traffic shares, first to last, and what follows.
 STAGES = (("shadow", 0.0), ("canary-1", 0.01), ("canary-5", 0.05), ("canary-25", 0.25))
@@ -212,28 +210,6 @@ class Drift:
     stride: int = 100
     threshold: float = 0.1
 
-    @staticmethod
-    def start() -> dict:
-        return {"n": 0, "reference": [], "last": [], "over": 0}
-
-    def step(self, st: dict, category: str) -> tuple[int, float, bool] | None:
-        """(n, psi, whether this raises the alarm) at a check, else None."""
-        k = self.categories.index(category) if category in self.categories else -1
-        st["n"] += 1
-        if st["n"] <= self.window:
-            st["reference"].append(k)
-            return None
-        st["last"].append(k)
-        if len(st["last"]) > self.window:
-            st["last"].pop(0)
-        if len(st["last"]) < self.window or st["n"] % self.stride:
-            return None
-        shares = [np.bincount([c for c in rows if c >= 0], minlength=len(self.categories)) / self.window for rows in (st["reference"], st["last"])]
-        value = psi(*shares)
-        alarm = value >= self.threshold and not st["over"]
-        st["over"] = int(st["over"] or alarm)
-        return st["n"], value, alarm
-
 
 def decisions(stream: DataFrame, key: str, rule: Decision, resets: DataFrame | None = None) -> DataFrame:
     """(key, request_index, kind) of each stream's first alarm and promotion.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from ..functions.draws import below
-from ..functions.mathx import SprtDesign, normal_quantile
+from ..functions.mathx import SprtDesign, normal_quantile, psi
 
 CHUNK = 64
 
@@ -81,18 +81,13 @@ def psi_max(rng: np.random.Generator, trials: int, n: int, probs: np.ndarray, wi
     k, unit, out = len(probs), math.gcd(window, stride), np.empty(trials)
     stretches, wide, step = n // unit, window // unit, stride // unit
 
-    def shares(counts: np.ndarray) -> np.ndarray:
-        raised = np.clip(counts / window, floor, None)
-        return raised / raised.sum(axis=-1, keepdims=True)
-
     for t in range(trials):
-        p = shares(rng.multinomial(window, probs))
+        reference = rng.multinomial(window, probs)
         drawn = rng.choice(k, size=n, p=probs)[: stretches * unit]
         place = np.repeat(np.arange(stretches), unit) * k
         counted = np.bincount(drawn + place, minlength=stretches * k).reshape(stretches, k)
         moving = np.lib.stride_tricks.sliding_window_view(counted, wide, axis=0)[::step].sum(axis=-1)
-        q = shares(moving)
-        out[t] = np.einsum("ij,ij->i", q - p, np.log(q) - np.log(p)).max(initial=0.0)
+        out[t] = psi(reference, moving, window, floor).max(initial=0.0)
     return out
 
 

@@ -18,8 +18,8 @@ from ..operators import folds, judging, metrics, seqtest, traffic
 from ..operators import montecarlo as mc
 from ..operators.judging import NoisyOracle
 from ..sources import log
-from ..streaming import pipeline
-from .queries import CUSUM_SQL, LOGGED, MIX_SQL, SEED, TOPICS, U, _events, champion, midpoint, oracle, query, r6, requests, shadow, table, verdicts, win_stream
+from ..streaming import pipeline, services
+from .queries import CUSUM_SQL, LOGGED, MIX_SQL, SEED, TOPICS, U, _events, champion, midpoint, oracle, psi_sql, query, r6, requests, shadow, table, verdicts, win_stream
 
 with_base = lambda more: oracle("").rstrip() + f", {more}"  # noqa: E731  more common tables behind the base ones
 
@@ -343,9 +343,9 @@ def _streamed(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame
     return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def _run(spark: SparkSession, out: DataFrame) -> DataFrame:
+def _run(spark: SparkSession, out: DataFrame, path: str | None = None) -> DataFrame:
     """A stream run to its end, into files."""
-    path, before = shared_dir(spark), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    path, before = path or shared_dir(spark), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
         q = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
@@ -372,14 +372,78 @@ def decision_stream(spark, sf):
     return _run(spark, pipeline.decision_stream(pipeline.deduplicated(once, "1 hour"), folds.Decision(h=3.0))).select("run_id", "request_index", "kind")
 
 
-@query()
+MONITOR = folds.Drift(tuple(TOPICS), 50, 10, 0.2)
+_DRIFTED = f"drifted AS MATERIALIZED (SELECT arm, min(request_index) AS request_index FROM ({psi_sql(50, 10)}) WHERE psi >= 0.2 GROUP BY arm)"
+
+
+def _armed(spark: SparkSession, sf: str) -> DataFrame:
+    return requests(spark, sf).select(F.col("arm").cast("string").alias("run_id"), "request_index", "topic")
+
+
+@query(with_base(f"{_DRIFTED} SELECT CAST(arm AS VARCHAR) AS run_id, request_index, 'drift_alarm' AS kind FROM drifted"))
 def drift_stream(spark, sf):
-    """Must equal the first crossings of the window form; a test compares them."""
-    rows = requests(spark, sf).select(F.col("arm").cast("string").alias("run_id"), "request_index", "topic")
-    made = pipeline.drift_stream(pipeline.deduplicated(_streamed(spark, rows), "1 hour"), folds.Drift(tuple(TOPICS), 50, 10, 0.2))
+    made = pipeline.drift_stream(pipeline.deduplicated(_streamed(spark, _armed(spark, sf)), "1 hour"), MONITOR)
     return _run(spark, made).select("run_id", "request_index", "kind")
 
 
+# an arm's verdicts, one after the other, under the test that its drift alarm resets
+_GUARDED = f"""{_DRIFTED}, armed AS MATERIALIZED (SELECT r.arm, w.request_index, w.win, row_number() OVER (PARTITION BY r.arm ORDER BY w.request_index) AS i FROM wins w JOIN requests r USING (request_index)),
+guarded AS (
+  SELECT arm, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS request_index, 0 AS state, CAST(0.5 AS DOUBLE) AS p0, CAST(0 AS DOUBLE) AS stat, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS s, 0 AS over_ FROM (SELECT DISTINCT arm FROM armed)
+  UNION ALL
+  SELECT arm, i, request_index, CASE WHEN state = 1 AND n = 100 THEN 2 ELSE state END, CASE WHEN state = 1 AND n = 100 THEN least(0.9, greatest(0.1, s / n)) ELSE p0 END, stat, n, s, CAST(state <> 1 AND stat >= 3.0 AS INTEGER)
+  FROM (SELECT arm, i, request_index, win, state, p0, n0 + CAST(state = 1 AS INTEGER) AS n, s0 + CASE WHEN state = 1 THEN win ELSE 0 END AS s,
+      CASE WHEN state = 1 THEN 0.0 ELSE greatest(0.0, stat + CASE WHEN win = 1 THEN ln((p0 - 0.05) / p0) ELSE ln((1 - (p0 - 0.05)) / (1 - p0)) END) END AS stat
+    FROM (SELECT b.arm, r.i, r.request_index, r.win, CASE WHEN b.state = 0 AND r.request_index >= d.request_index THEN 1 ELSE b.state END AS state, b.p0, CASE WHEN b.state = 0 AND r.request_index >= d.request_index THEN 0.0 ELSE b.stat END AS stat, b.n AS n0, b.s AS s0
+      FROM guarded b JOIN armed r ON b.arm = r.arm AND r.i = b.i + 1 LEFT JOIN drifted d ON b.arm = d.arm WHERE b.over_ = 0))
+)"""
+
+
+@query(oracle("").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", {_GUARDED}
+    SELECT CAST(arm AS VARCHAR) AS run_id, request_index, 'quality_alarm' AS kind, round(p0, 6) AS p0 FROM guarded WHERE over_ = 1
+    UNION ALL SELECT CAST(arm AS VARCHAR), request_index, unnest(['drift_alarm', 'test_reset']), NULL FROM drifted""")
+def guarded_stream(spark, sf):
+    """Drift alarms, the resets they cause and the re-baselined alarms, in one query: two services in a row."""
+    arms = requests(spark, sf).select("request_index", F.col("arm").cast("string").alias("run_id"))
+    wins = win_stream(spark, sf).select("request_index", "win").join(arms, "request_index")
+    streams = [pipeline.deduplicated(_streamed(spark, rows), "1 hour") for rows in (_armed(spark, sf), wins)]
+    alarms = services.drift_alarms(streams[0], MONITOR)
+    made = services.rebaselined(streams[1], alarms, folds.Rebaseline(h=3.0, learn=100))
+    return _run(spark, made).select("run_id", "request_index", "kind", F.round(F.get_json_object("detail", "$.p0").cast("double"), 6).alias("p0"))
+
+
+def _verdict_stream(spark: SparkSession, sf: str) -> DataFrame:
+    rows = win_stream(spark, sf).select(F.col("topic").alias("run_id"), "request_index", "win")
+    return pipeline.deduplicated(_streamed(spark, rows), "1 hour")
+
+
+@query(_RECURSIVE(_CANARY_SQL, f"""SELECT r.request_index, r.topic AS run_id, coalesce(c.share, 0.0) AS share, CASE WHEN {U('__canary__', index='r.request_index')} < coalesce(c.share, 0.0) THEN 'challenger' ELSE 'champion' END AS served_by,
+    CASE WHEN {U('challenger#mixture', index='r.request_index')} < CASE WHEN r.request_index >= cp THEN 0.3 ELSE 0.0 END THEN 'bad' ELSE 'good' END AS b_pool
+  FROM requests r ASOF LEFT JOIN (SELECT topic, request_index, {_STAGE_SQL} FROM canary WHERE kind <> '') c ON r.topic = c.topic AND r.request_index >= c.request_index, mid"""))
+def live_router(spark, sf):
+    """Canaries move on verdicts while requests are routed, in one query: transitions are the router's share updates."""
+    rows = requests(spark, sf).select(F.col("topic").alias("run_id"), "request_index", "value")
+    asked = pipeline.deduplicated(_streamed(spark, rows), "1 hour").drop("seq")
+    moves = services.canary_moves(_verdict_stream(spark, sf), CANARY)
+    made = services.routed_live(asked, services.share_updates(moves), SEED, 0.8, traffic.step_schedule(midpoint(rows), 0.3), shards=4)
+    return _run(spark, made).select("request_index", "run_id", "share", "served_by", "b_pool")
+
+
+@query(_RECURSIVE(_CANARY_SQL, f"""SELECT v.run_id, verdicts_seen, round(recent, 6) AS recent_win_rate, coalesce(transitions, 0) AS transitions, coalesce(stage, 'shadow') AS stage, coalesce(share, 0.0) AS share
+  FROM (SELECT topic AS run_id, count(*) AS verdicts_seen FROM verdicts GROUP BY 1) v
+  LEFT JOIN (SELECT topic, avg(win) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY request_index DESC) AS back FROM wins) WHERE back <= 500 GROUP BY 1) w ON v.run_id = w.topic
+  LEFT JOIN (SELECT topic, count(*) AS transitions, arg_max(stage, request_index) AS stage, arg_max(share, request_index) AS share FROM (SELECT topic, request_index, {_STAGE_SQL} FROM canary WHERE kind <> '') GROUP BY 1) c ON v.run_id = c.topic"""))
+def live_state(spark, sf):
+    """The surface that a running query keeps in its state, canary included, read from its checkpoint."""
+    rows = verdicts(spark, sf).select(F.col("topic").alias("run_id"), "request_index", "winner")
+    seen = pipeline.deduplicated(_streamed(spark, rows), "1 hour").filter("winner IS NOT NULL")
+    moves = services.canary_moves(_verdict_stream(spark, sf), CANARY)
+    told = moves.select("run_id", "request_index", F.get_json_object("detail", "$.stage").alias("stage"), F.get_json_object("detail", "$.share").cast("double").alias("share"))
+    path = shared_dir(spark)
+    _run(spark, services.keep_state(seen, told), path)
+    return services.live_state(spark, f"{path}/checkpoint").withColumn("recent_win_rate", F.round("recent_win_rate", 6))
+
+
 @query(with_base(f"{LOGGED} SELECT type, count(*) AS n, max(seq) AS max_seq FROM logged GROUP BY type"))
 def stream_to_log(spark, sf):
     """Events through a stream that delivers twice into the log, in two runs of the query with a checkpoint each."""

@@ -381,15 +381,20 @@ def rolling_epsilon(spark, sf):
     return seqtest.rolling_mean(df, ["topic"], "request_index", "bad", 100, centred=True).select("topic", "request_index", r6("mean"))
 
 
-_PSI = "".join(f", sum(CAST(topic = '{t}' AS INTEGER)) OVER w AS c{i}, sum(CASE WHEN n <= 100 THEN CAST(topic = '{t}' AS INTEGER) ELSE 0 END) OVER (PARTITION BY arm) AS r{i}" for i, t in enumerate(TOPICS))
-_SUMS = ", ".join(f"greatest(c{i} / 100.0, 0.0001) AS q{i}, greatest(r{i} / 100.0, 0.0001) AS p{i}" for i in range(5))
 _Q, _P = " + ".join(f"q{i}" for i in range(5)), " + ".join(f"p{i}" for i in range(5))
 _TERMS = " + ".join(f"(q{i} / ({_Q}) - p{i} / ({_P})) * ln((q{i} / ({_Q})) / (p{i} / ({_P})))" for i in range(5))
 
 
-@query(oracle(f"""SELECT arm, n, request_index, round({_TERMS}, 6) AS psi FROM (SELECT *, {_SUMS} FROM (SELECT * {_PSI} FROM
-  (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY request_index) AS n FROM requests) WINDOW w AS (PARTITION BY arm ORDER BY request_index ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
-  WHERE n >= 200 AND n % 25 = 0)"""))
+def psi_sql(window: int, stride: int) -> str:
+    """arm, n, request_index, psi at each check of the requests' topics."""
+    counts = "".join(f", sum(CAST(topic = '{t}' AS INTEGER)) OVER w AS c{i}, sum(CASE WHEN n <= {window} THEN CAST(topic = '{t}' AS INTEGER) ELSE 0 END) OVER (PARTITION BY arm) AS r{i}" for i, t in enumerate(TOPICS))
+    shares = ", ".join(f"greatest(c{i} / {window}.0, 0.0001) AS q{i}, greatest(r{i} / {window}.0, 0.0001) AS p{i}" for i in range(5))
+    return f"""SELECT arm, n, request_index, {_TERMS} AS psi FROM (SELECT *, {shares} FROM (SELECT * {counts} FROM
+  (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY request_index) AS n FROM requests) WINDOW w AS (PARTITION BY arm ORDER BY request_index ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW))
+  WHERE n >= {2 * window} AND n % {stride} = 0)"""
+
+
+@query(oracle(f"SELECT arm, n, request_index, round(psi, 6) AS psi FROM ({psi_sql(100, 25)})"))
 def psi_drift_monitor(spark, sf):
     df = seqtest.psi_path(requests(spark, sf), ["arm"], "request_index", "topic", TOPICS, 100, 25)
     return df.select(F.col("arm").cast("long"), F.col("n").cast("long"), "request_index", r6("psi"))

@@ -1,83 +1,25 @@
 """The live pipeline: deliveries are at least once, effects exactly once.
 
-Source -> deduplication by (run_id, seq) within a watermark -> a decision per run with
-state -> an idempotent log. Order within a micro-batch is not given, and sequential
-tests need it: rows wait in state until the watermark has passed them, and go through
-the fold in order of request_index.
+Source -> deduplication by (run_id, seq) within a watermark -> services with state, in order
+of request_index -> the log.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from ..cluster import ship
 from ..functions.draws import below, uniform
 from ..operators.folds import Canary, Decision, Drift
 from ..operators.judging import NoisyOracle, compare_randomised
 from ..sources.log import EventLog, is_missing
-
-OUT = "run_id string, request_index long, kind string, detail string"
-
-
-class OrderedFold(StatefulProcessor):
-    """Buffers a run's rows until the watermark passes, then folds them in order.
-
-    The fold's state is a JSON value; ``take(state, index, value)`` gives (kind, detail) pairs.
-    """
-
-    def __init__(self, start: Callable[[], dict], take: Callable[[dict, int, str], list[tuple[str, str]]]):
-        self.start, self.take = start, take
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.fold = handle.getValueState("fold", "state string")
-        self.buffer = handle.getListState("buffer", "at long, request_index long, value string")
-
-    def _arm(self, now: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(now + 1)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t.timestamp() * 1000), int(i), v) for p in rows for t, i, v in zip(p["ts"], p["request_index"], p["value"])]
-        if new:
-            self.buffer.appendList(new)
-            self._arm(max(0, timerValues.getCurrentWatermarkInMs()))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        # of one index a reset, which is -1, comes before the verdict
-        waiting = sorted(((r[1], r[0], r[2]) for r in self.buffer.get()), key=lambda r: (r[0], r[2]))
-        ready, later = [r for r in waiting if r[1] <= now], [r for r in waiting if r[1] > now]
-        st = json.loads(self.fold.get()[0]) if self.fold.exists() else self.start()
-        out = [(key[0], i, *event) for i, _, value in ready for event in self.take(st, i, value)]
-        self.fold.update((json.dumps(st),))
-        self.buffer.clear()
-        if later:
-            self.buffer.put([(t, i, v) for i, t, v in later])
-            self._arm(now)
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-
-def _folded(rows: DataFrame, value: str, start: Callable[[], dict], take: Callable[[dict, int, str], list[tuple[str, str]]]) -> DataFrame:
-    ship(rows.sparkSession)
-    # a row without an index moves the watermark and nothing else
-    rows = rows.select("run_id", "ts", "request_index", F.col(value).cast("string").alias("value")).filter("request_index IS NOT NULL")
-    return rows.groupBy("run_id").transformWithStateInPandas(OrderedFold(start, take), OUT, "append", "eventTime")
-
+from .services import Folded, canary_moves, drift_alarms, ordered_rows, told_by
 
 def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """(run_id, seq, ts, ...) once each, within the watermark."""
@@ -86,34 +28,26 @@ def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def canary_stream(verdicts: DataFrame, canary: Canary) -> DataFrame:
     """Transitions of a stream of run_id, ts, request_index, win that has a watermark on ts."""
-
-    def take(st: dict, index: int, win: str) -> list[tuple[str, str]]:
-        t = canary.step(st, int(win))
-        return [(t[0], json.dumps({"stage": t[1], "share": t[2], "verdicts_in_stage": t[3]}))] if t else []
-
-    return _folded(verdicts, "win", canary.start, take)
+    return canary_moves(verdicts, canary)
 
 
 def decision_stream(verdicts: DataFrame, rule: Decision) -> DataFrame:
-    """First alarm and first promotion of each run; a row whose win is -1 is a drift alarm's reset."""
+    """First alarm and first promotion of each run; a row whose win is -1 is a drift alarm's reset.
+    Where the alarms come from a stream themselves, ``services.decided`` takes them from it."""
 
-    def take(st: dict, index: int, win: str) -> list[tuple[str, str]]:
+    def step(st: dict, index: int, win: str) -> list[tuple[str, str]]:
         if int(win) < 0:
             rule.reset(st)
             return [("test_reset", "")]
         return [(kind, "") for kind in rule.step(st, int(win), index)]
 
-    return _folded(verdicts, "win", rule.start, take)
+    # of one index a reset, which is -1, comes before the verdict
+    return told_by(ordered_rows(verdicts, F.col("win").cast("int").cast("string")), Folded(rule.start, step))
 
 
 def drift_stream(requests: DataFrame, monitor: Drift) -> DataFrame:
     """The drift alarm of each run of run_id, ts, request_index, topic."""
-
-    def take(st: dict, index: int, topic: str) -> list[tuple[str, str]]:
-        seen = monitor.step(st, topic)
-        return [("drift_alarm", json.dumps({"psi": seen[1], "threshold": monitor.threshold}))] if seen and seen[2] else []
-
-    return _folded(requests, "topic", monitor.start, take)
+    return drift_alarms(requests, monitor)
 
 
 def routed(requests: DataFrame, shares: DataFrame, seed: int, shadow_rate: float, epsilon: Column) -> DataFrame:
