@@ -28,7 +28,8 @@ not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,10 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import ascii_lower, bounded_broadcast, documents, ship, text_of, written
+from .common import bounded_broadcast, documents, ship, text_of, written
 
-BREAK, BLANK = "[.,;:!?\\x0A-\\x0D]+", "[\\x20\\x09]+"
+#: Stands between pieces; it is no word, as it ends one.
+GAP = b"."
+BREAKS = bytes.maketrans(b",;:!?\n\x0b\f\r", GAP * 9)
+#: Bytes of a text that are split at a time.
+PART = 1 << 20
+#: Different words that a task counts or remembers at a time; it changes no result.
+WORDS = 200_000
 #: Keys that a mapper gathers before it sorts them.
 FLUSH = 1 << 19
 #: Values of a batch's lists that are worked on together; their arrays are copied several times over.
@@ -101,9 +109,9 @@ class PerfectHash:
         return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Flat values and offsets of a list column, a slice of a batch at a time."""
-    for b in _slices(batches, column):
+def _rows(batches: Iterable[pa.RecordBatch], column: str, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Flat values and offsets of a list column, a slice of a batch or a whole one at a time."""
+    for b in batches if whole else _slices(batches, column):
         lists = b.column(column)
         offsets = lists.offsets.to_numpy()
         yield lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0]
@@ -248,41 +256,36 @@ class Slots:
             held.unpersist()
 
 
-def _numbered(rows: DataFrame, slots: Slots, pairs: bool, frequent: DataFrame | None = None) -> DataFrame:
-    """(ids): for each place of rows' arrays the number of the key there, or -1.
-
-    Keys are the column ``keys``, or the pairs of the column ``ids``; ``frequent`` (id) are the
-    numbers that stay. Rows without any number go, and so do gaps beyond the first of several.
-    """
-    source = "ids" if pairs else "keys"
-    rows = rows.select(source, F.lit(None).cast("array<int>").alias("out"))
+def _pair_numbers(seqs: DataFrame, slots: Slots, frequent: DataFrame) -> DataFrame:
+    """(ids): for each place of the arrays ``ids`` the number of the pair that begins there, if it is in ``frequent`` (id), else -1."""
+    rows = seqs.select("ids", F.lit(None).cast("array<int>").alias("out"))
     for base, held in slots.each():
-        keep = None
-        if frequent is not None:
-            own = frequent.filter(F.col("id").between(base, base + held.value.keys.size - 1)).select("id")
-            mask = np.zeros(held.value.keys.size, bool)
-            for b in own.toArrow().to_batches():  # the part's slots at most
-                mask[b.column("id").to_numpy() - base] = True
-            keep = rows.sparkSession.sparkContext.broadcast(np.packbits(mask))
+        size = held.value.keys.size
+        mask = np.zeros(size, bool)
+        for b in frequent.filter(F.col("id").between(base, base + size - 1)).select("id").toArrow().to_batches():  # the hash's slots at most
+            mask[b.column("id").to_numpy() - base] = True
+        keep = seqs.sparkSession.sparkContext.broadcast(np.packbits(mask))
 
         def fill(batches: Iterator[pa.RecordBatch], base=base, held=held, keep=keep) -> Iterator[pa.RecordBatch]:
-            kept = None if keep is None else np.unpackbits(keep.value).astype(bool)
-            for b in _slices(batches, source):
-                values, offsets = next(_rows([b], source))
-                keys = _pairs(values, offsets) if pairs else values
-                got = held.value.slots(keys)
-                if pairs:
-                    got[keys < 0] = -1
-                if kept is not None:
-                    got[(got >= 0) & ~kept[got]] = -1
-                ids = np.where(got >= 0, got + base, -1)
-                if b.column("out").null_count == 0 and b.num_rows:
-                    ids = np.maximum(ids, next(_rows([b], "out"))[0])
-                out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(source), out], [source, "out"])
-
-        rows = written(rows.mapInArrow(fill, f"{source} array<{'int' if pairs else 'long'}>, out array<int>").select(*([source] if len(slots.bases) > 1 else []), "out"))
-    return rows.select(F.col("out").alias("ids")).filter(F.exists("ids", lambda i: i >= 0))
+            kept = np.unpackbits(keep.value, count=held.value.keys.size).astype(bool)
+            for b in _slices(batches, "ids"):
+                values, offsets = next(_rows([b], "ids", whole=True))
+                keys = _pairs(values, offsets)
+                out = np.full(keys.size, -1, np.int32)
+                at = np.flatnonzero(keys >= 0)
+                got = held.value.slots(keys[at])
+                own = got >= 0
+                own[own] = kept[got[own]]
+                out[at[own]] = got[own] + base
+                if base:  # not the first hash
+                    out = np.maximum(out, next(_rows([b], "out", whole=True))[0]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept_columns), lists], [*kept_columns, "out"])
+
+        kept_columns = ["ids"] if len(slots.bases) > 1 else []
+        rows = written(rows.mapInArrow(fill, ", ".join([*(f"{c} array<int>" for c in kept_columns), "out array<int>"])))
+        keep.unpersist()
+    return rows.select(F.col("out").alias("ids"))
 
 
 def frequent_pairs(seqs: DataFrame, total: int, least: int, max_slots: int) -> tuple[Slots, DataFrame]:
@@ -314,14 +317,83 @@ def frequent_pairs(seqs: DataFrame, total: int, least: int, max_slots: int) -> t
     return slots, reduce(DataFrame.unionByName, found) if found else empty
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """(lang, tokens): lower-cased words; the token of a line feed stands between pieces."""
-    text = F.regexp_replace(ascii_lower(text_of(docs)), BREAK, " \n ")
-    return docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), F.split(text, BLANK).alias("tokens"))
+def _tokens(text: bytes) -> Iterator[list[bytes]]:
+    """Words of a text, A-Z lower-cased, with a GAP where a piece ends; a long text comes in parts."""
+    text = text.lower().translate(BREAKS).replace(GAP, b" %b " % GAP)  # bytes: A-Z only
+    at = 0
+    while at < len(text):
+        stop = text.find(b" ", at + PART) if len(text) - at > PART else -1
+        stop = len(text) if stop < 0 else stop
+        yield text[at:stop].split()  # blanks and tabs: other white space has become gaps
+        at = stop
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), text_of(docs).cast("binary").alias("text"))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, Counter] = {}
+
+    def emptied() -> Iterator[pa.RecordBatch]:
+        for lang, c in counts.items():
+            c.pop(GAP, None)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["lang", "word", "n"])
+        counts.clear()
+
+    for b in batches:
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+            for tokens in _tokens(text):
+                counts.setdefault(lang, Counter()).update(tokens)
+                if sum(map(len, counts.values())) > WORDS:
+                    yield from emptied()
+    yield from emptied()
 
 
-def _word_key(seed: int, word: Column) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("lang"), word)
+def _word_key(seed: int) -> Column:
+    return F.xxhash64(F.concat(F.lit(f"{seed} ".encode()), F.encode("lang", "utf-8"), F.lit(b"\0"), "word"))
+
+
+def _encoded(texts: DataFrame, slots: Slots, seed: int) -> DataFrame:
+    """(ids): for each text the numbers of its words, -1 for a gap and a word without one.
+
+    A word's number is looked up once and remembered, for as many words as memory is given. Each
+    hash is a pass; what one finds is laid over what those before have found.
+    """
+    rows = texts.withColumn("out", F.lit(None).cast("array<int>"))
+    for base, held in slots.each():
+
+        def fill(batches: Iterator[pa.RecordBatch], base=base, held=held) -> Iterator[pa.RecordBatch]:
+            known: dict[str, dict[bytes, int]] = {}
+
+            def numbers(lang: str, tokens: list[bytes]) -> np.ndarray:
+                own = known.setdefault(lang, {GAP: -1})
+                new = list(set(tokens) - own.keys())
+                if new:
+                    prefix = f"{seed} {lang}\0".encode()
+                    got = held.value.slots(np.array([xxh64_intdigest(prefix + t, 42) for t in new], np.uint64).view(np.int64))
+                    own.update(zip(new, np.where(got >= 0, got + base, -1).tolist()))
+                out = np.fromiter(map(own.__getitem__, tokens), np.int32, len(tokens))
+                if sum(map(len, known.values())) > WORDS:
+                    known.clear()
+                return out
+
+            for b in batches:
+                made, size, at = [], 0, 0
+                for i, (lang, text) in enumerate(zip(b.column("lang").to_pylist(), b.column("text").to_pylist())):
+                    made.append(np.concatenate([np.zeros(0, np.int32), *(numbers(lang, t) for t in _tokens(text))]))
+                    size += made[-1].size
+                    if size >= SLICE or i == b.num_rows - 1:
+                        part, ids = b.slice(at, len(made)), np.concatenate(made)
+                        if base:  # not the first hash
+                            ids = np.maximum(ids, next(_rows([part], "out", whole=True))[0]).astype(np.int32)
+                        ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], [*kept, "out"])
+                        at, made, size = i + 1, [], 0
+
+        kept = ["lang", "text"] if len(slots.bases) > 1 else []
+        rows = written(rows.mapInArrow(fill, ", ".join([*(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept), "out array<int>"])))
+    return rows.select(F.col("out").alias("ids"))
 
 
 def _score(a: str, l: str, r: str) -> Column:  # noqa: E741
@@ -335,19 +407,16 @@ def phrases(docs: DataFrame, least: int = 10, cover: int = 50, max_slots: int =
     language and that no longer candidate with ``cover`` percent of its occurrences holds."""
     spark = docs.sparkSession
     ship(spark)
-    texts = _words(docs)
-    words = texts.select("lang", F.explode("tokens").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f"))
-    # what is no word has a key as well, which must be no word's
-    words = written(words.withColumn("f", F.when(F.col("word").isin("", "\n"), 0).otherwise(F.col("f"))))
+    texts = _texts(docs)
+    words = written(texts.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("f")))
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    seed = 42
-    while words.groupBy(_word_key(seed, F.col("word"))).agg(F.count(F.lit(1)).alias("c"), F.max("f").alias("f")).filter((F.col("c") > 1) & (F.col("f") >= least)).limit(1).count():
+    seed = 0
+    while words.groupBy(_word_key(seed)).agg(F.count(F.lit(1)).alias("c"), F.max("f").alias("f")).filter((F.col("c") > 1) & (F.col("f") >= least)).limit(1).count():
         seed += 1
-    often = words.filter(F.col("f") >= least).withColumn("key", _word_key(seed, F.col("word")))
+    often = words.filter(F.col("f") >= least).withColumn("key", _word_key(seed))
     slots = Slots(often.select("key"), max_slots)
-    rows = texts.select(F.transform("tokens", lambda t: _word_key(seed, t)).alias("keys"))
-    seqs = _numbered(rows, slots, False)
-    numbers = often.join(_slot_ids(often.select("key"), slots), "key").select("id", "lang", "word", "f")
+    seqs = _encoded(texts, slots, seed)
+    numbers = often.join(_slot_ids(often.select("key"), slots), "key").select("id", "lang", F.col("word").cast("string").alias("word"), "f")
     numbers = written(numbers)
     total = numbers.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
 
@@ -357,7 +426,7 @@ def phrases(docs: DataFrame, least: int = 10, cover: int = 50, max_slots: int =
     two = written(pairs.join(first, "x").join(second, "y").select("id", "lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "w2", F.col("f").alias("a"), "l", "r"))
 
     total = two.agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
-    _, triples = frequent_pairs(_numbered(seqs, slots, True, pairs), total, least, max_slots)
+    _, triples = frequent_pairs(_pair_numbers(seqs, slots, pairs), total, least, max_slots)
     small = bounded_broadcast(two, 200_000)
     head = small.select(F.col("id").alias("x"), "lang", F.col("phrase").alias("p"), F.col("l").alias("l1"), F.col("a").alias("l2"))
     tail = small.select(F.col("id").alias("y"), F.col("w2").alias("w3"), F.col("a").alias("r1"), F.col("r").alias("r2"))
