@@ -47,11 +47,11 @@ BREAKS = bytes.maketrans(b",;:!?\n\x0b\f\r", GAP * 9)
 #: Bytes of a text that are split at a time.
 PART = 1 << 20
 #: Different words that a task counts or remembers at a time; it changes no result.
-WORDS = 200_000
+WORDS = 100_000
 #: Keys that a mapper gathers before it sorts them.
 FLUSH = 1 << 19
 #: Values of a batch's lists that are worked on together; their arrays are copied several times over.
-SLICE = 1 << 18
+SLICE = 1 << 17
 #: Slots whose counts travel as one row.
 CHUNK = 13
 #: Shares in which a language's phrases are ranked first.
@@ -342,9 +342,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
 
     for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            for tokens in _tokens(text):
-                counts.setdefault(lang, Counter()).update(tokens)
+        for lang, text in zip(b.column("lang"), b.column("text")):  # a row at a time
+            for tokens in _tokens(text.as_py()):
+                counts.setdefault(lang.as_py(), Counter()).update(tokens)
                 if sum(map(len, counts.values())) > WORDS:
                     yield from emptied()
     yield from emptied()
@@ -366,30 +366,34 @@ def _encoded(texts: DataFrame, slots: Slots, seed: int) -> DataFrame:
         def fill(batches: Iterator[pa.RecordBatch], base=base, held=held) -> Iterator[pa.RecordBatch]:
             known: dict[str, dict[bytes, int]] = {}
 
-            def numbers(lang: str, tokens: list[bytes]) -> np.ndarray:
-                own = known.setdefault(lang, {GAP: -1})
-                new = list(set(tokens) - own.keys())
-                if new:
+            def numbers(texts: list[tuple[str, list[bytes]]]) -> list[np.ndarray]:
+                if sum(map(len, known.values())) > WORDS:
+                    known.clear()
+                for lang in {lang for lang, _ in texts}:
+                    own = known.setdefault(lang, {GAP: -1})
+                    new = list({t for k, tokens in texts if k == lang for t in tokens if t not in own})
                     prefix = f"{seed} {lang}\0".encode()
                     got = held.value.slots(np.array([xxh64_intdigest(prefix + t, 42) for t in new], np.uint64).view(np.int64))
                     own.update(zip(new, np.where(got >= 0, got + base, -1).tolist()))
-                out = np.fromiter(map(own.__getitem__, tokens), np.int32, len(tokens))
-                if sum(map(len, known.values())) > WORDS:
-                    known.clear()
-                return out
+                return [np.fromiter(map(known[lang].__getitem__, tokens), np.int32, len(tokens)) for lang, tokens in texts]
 
             for b in batches:
-                made, size, at = [], 0, 0
-                for i, (lang, text) in enumerate(zip(b.column("lang").to_pylist(), b.column("text").to_pylist())):
-                    made.append(np.concatenate([np.zeros(0, np.int32), *(numbers(lang, t) for t in _tokens(text))]))
-                    size += made[-1].size
+                ids, ends, at, waiting, size = [], [0], 0, [], 0
+                for i in range(b.num_rows):
+                    lang = b.column("lang")[i].as_py()
+                    for tokens in _tokens(b.column("text")[i].as_py()):  # a long text comes in parts
+                        waiting.append((lang, tokens))
+                        size += len(tokens)
+                        if len(tokens) > SLICE // 4:
+                            ids += numbers(waiting)
+                            waiting = []
+                    ends.append(size)
                     if size >= SLICE or i == b.num_rows - 1:
-                        part, ids = b.slice(at, len(made)), np.concatenate(made)
+                        part, out = b.slice(at, i + 1 - at), np.concatenate([np.zeros(0, np.int32), *ids, *numbers(waiting)])
                         if base:  # not the first hash
-                            ids = np.maximum(ids, next(_rows([part], "out", whole=True))[0]).astype(np.int32)
-                        ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], [*kept, "out"])
-                        at, made, size = i + 1, [], 0
+                            out = np.maximum(out, next(_rows([part], "out", whole=True))[0]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))], [*kept, "out"])
+                        ids, ends, at, waiting, size = [], [0], i + 1, [], 0
 
         kept = ["lang", "text"] if len(slots.bases) > 1 else []
         rows = written(rows.mapInArrow(fill, ", ".join([*(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept), "out array<int>"])))
