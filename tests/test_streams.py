@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -142,9 +143,79 @@ def test_rebaseline_learns_a_new_level(spark):
 
 def test_general_prior_equals_window_form_and_hand_value(stream):
     assert mathx.log_mixture_ratio([1], [0], 0.5)[0] == pytest.approx(math.log(1.5))
-    a = {r["k"]: r["reject_n"] for r in seqtest.mixture_sprt(stream, ["k"], "request_index", 0.5, 0.05).collect()}
-    b = {r["k"]: r["reject_n"] for r in seqtest.mixture_sprt_prior(stream, ["k"], "request_index", 0.5, 0.05, 1.0, 1.0).collect()}
-    assert a == b
+    for a, b, p0 in ((1.0, 1.0, 0.5), (2.0, 3.0, 0.44), (0.5, 7.25, 0.3), (30.0, 0.1, 0.6)):
+        got = seqtest.mixture_sprt_path(stream, ["k"], "request_index", p0, a, b).toPandas()
+        ahead = got[got["s"] > p0 * got["n"]]
+        want = mathx.log_mixture_ratio(ahead["s"].to_numpy(), (ahead["n"] - ahead["s"]).to_numpy(), p0, a, b)
+        assert len(ahead) and np.allclose(ahead["log_mix"], want, rtol=1e-9, atol=1e-9)
+        behind = got[got["s"] <= p0 * got["n"]]
+        assert behind["log_mix"].isna().all() and (mathx.log_mixture_ratio(behind["s"].to_numpy(), (behind["n"] - behind["s"]).to_numpy(), p0, a, b) < 1e-9).all()
+
+
+def plain_steps(rule, rows, resets=()):
+    """A fold over (request_index, win) in order, resets before the verdicts of their index."""
+    st, out = rule.start(), []
+    for i, w in sorted([*rows, *((r, -1) for r in resets)]):
+        if w < 0:
+            rule.reset(st)
+        elif isinstance(rule, folds.Canary):
+            t = rule.step(st, w)
+            out += [(i, *t)] if t else []
+        elif isinstance(rule, folds.Rebaseline):
+            t = rule.step(st, w, i)
+            out += [(i, *t)] if t else []
+        else:
+            out += [(i, kind) for kind in rule.step(st, w, i)]
+    return out
+
+
+@pytest.mark.parametrize("span", [1 << 17, 37])
+def test_restarts_by_windows_equal_the_fold(spark, monkeypatch, span):
+    """Streams that are promoted, rolled back at each stage, left in the middle, of one verdict."""
+    monkeypatch.setattr(seqtest, "SPAN", span)
+    rng, data = random.Random(8), {}
+    for k in range(14):
+        change, before, after = rng.choice([0, 150, 400, 900]), rng.choice([0.3, 0.5, 0.7]), rng.choice([0.2, 0.5, 0.75])
+        data[f"k{k}"] = [(3 * i + rng.randint(0, 2), int(rng.random() < (before if i < change else after))) for i in range(rng.choice([1, 60, 1200]))]
+    data["up"], data["down"] = [(i, 1) for i in range(300)], [(i, 0) for i in range(300)]
+    df = spark.createDataFrame([(k, i, w) for k, rows in data.items() for i, w in rows], "k string, request_index long, win int").repartition(4)
+    canary = folds.Canary(h=5.0, margin=0.1, alpha=0.2)
+    got = folds.canary_transitions(df, "k", canary)
+    assert sorted(map(tuple, got.collect())) == sorted((k, *t) for k, rows in data.items() for t in plain_steps(canary, rows))
+    kinds = {r["kind"] for r in got.collect()}
+    assert kinds == {"canary_advanced", "canary_promoted", "canary_rolled_back"}
+    for rule in (folds.Rebaseline(h=3.0), folds.Rebaseline(h=3.0, learn=40, gate=500)):
+        got = sorted(map(tuple, folds.rebaselined_alarms(df, "k", rule).collect()))
+        want = sorted((k, *t) for k, rows in data.items() for t in plain_steps(rule, rows))
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want]) and got
+    resets = {k: rng.sample(range(1500), rng.choice([0, 1, 3])) for k in data}
+    rule = folds.Decision(h=2.0)
+    told = spark.createDataFrame([(k, i) for k, rs in resets.items() for i in rs], "k string, request_index long")
+    got = sorted(map(tuple, folds.decisions(df, "k", rule, told).collect()))
+    assert got == sorted((k, *t) for k, rows in data.items() for t in plain_steps(rule, rows, resets[k])) and got
+
+
+def test_gates_of_each_stream(spark):
+    rows = [(k, i, int(i % 5 < (3 if i < 400 else 1))) for k in "ab" for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, request_index long, win int")
+    gates = spark.createDataFrame([("a", 380)], "k string, gate long")
+    got = {r["k"]: r["request_index"] for r in folds.rebaselined_alarms(df, "k", folds.Rebaseline(h=4.0, learn=300), gates).collect()}
+    plain = {k: plain_steps(folds.Rebaseline(h=4.0, learn=300, gate=g), [r[1:] for r in rows if r[0] == k]) for k, g in (("a", 380), ("b", None))}
+    assert got == {k: v[0][0] for k, v in plain.items() if v}
+
+
+def test_a_hot_stream_is_many_tasks(spark, monkeypatch):
+    """Neither the window passes nor the joins between them bring a stream's rows together."""
+    monkeypatch.setattr(seqtest, "SPAN", 50)
+    df = spark.range(2000).select(F.lit("hot").alias("k"), F.col("id").alias("request_index"), (F.col("id") % 3 == 0).cast("int").alias("win"))
+    path = seqtest.mixture_sprt_path(df, ["k"], "request_index", 0.4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert path.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = folds.canary_transitions(df, "k", folds.Canary(h=50.0))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_decisions_reset_on_drift(spark):

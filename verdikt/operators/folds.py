@@ -1,21 +1,24 @@
-"""Per-stream state machines that restart at data-dependent rows, which windows cannot.
+"""State machines that restart at data-dependent rows, in batch and as steps for streams.
 
-One fold serves batch and streaming (state a stream). In batch rows are sorted within
-partitions and pass by in Arrow batches with the state carried on, so memory does not grow
-with a stream. A fold's state is a dict of numbers and strings, so it can be stored anywhere.
+In batch the restarts are few: a canary has four, a drift alarm makes one. Each stretch between
+them runs through the window forms of the tests, and the next one begins at the first crossing;
+no stream is one task. A stream takes the same rules step by step, with a state of numbers and
+strings that can be stored anywhere.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import written
+from . import seqtest
 
 #: Stages of a canary and their traffic shares, first to last, and what follows.
 STAGES = (("shadow", 0.0), ("canary-1", 0.01), ("canary-5", 0.05), ("canary-25", 0.25))
@@ -109,60 +112,74 @@ class Rebaseline:
         return None
 
 
-def fold_streams(rows: DataFrame, key: str, order: list[str], start: Callable[[], dict], take: Callable[[dict, tuple], list[tuple]], columns: str) -> DataFrame:
-    """key and ``columns`` of what ``take(state, row)`` gives for each row of each stream, in order.
-
-    rows: key, then what take gets. Streams are dealt over tasks; rows without a key are left out.
-    """
-    ship(rows.sparkSession)
-    names = [key, *(c.strip().split(" ")[0] for c in columns.split(","))]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, st = None, {}
-        for p in parts:
-            out = []
-            for k, *row in p.itertuples(index=False, name=None):
-                if k != last:
-                    last, st = k, start()
-                out.extend((k, *made) for made in take(st, tuple(row)))
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.dropna(subset=[key]).repartition(n, key).sortWithinPartitions(key, *order)
-    return dealt.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {columns}")
-
-
 def _wins(stream: DataFrame, key: str) -> DataFrame:
-    return stream.select(key, "request_index", F.col("win").cast("int").alias("win"))
-
-
-def canary_transitions(stream: DataFrame, key: str, canary: Canary) -> DataFrame:
-    """Transitions of each stream of (key, request_index, win), in order of request_index."""
-
-    def take(st: dict, row: tuple) -> list[tuple]:
-        t = canary.step(st, int(row[1]))
-        return [(int(row[0]), *t)] if t else []
+    """Written, as several passes read it."""
+    return written(stream.select(key, F.col("request_index").cast("long").alias("request_index"), F.col("win").cast("int").alias("win")).dropna(subset=[key, "request_index"]))
 
-    return fold_streams(_wins(stream, key), key, ["request_index"], canary.start, take, "request_index long, kind string, stage string, share double, verdicts_in_stage long")
 
+def _beside(rows: DataFrame, one_each: DataFrame, key: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """rows joined with a written table of a row a key, which travels if it has at most ``most`` rows."""
+    return rows.join(F.broadcast(one_each) if one_each.limit(most + 1).count() <= most else one_each, key, how)
 
-def rebaselined_alarms(stream: DataFrame, key: str, rule: Rebaseline) -> DataFrame:
-    """The first alarm of each stream, and the p0 that it was raised against."""
 
-    def take(st: dict, row: tuple) -> list[tuple]:
-        t = rule.step(st, int(row[1]), int(row[0]))
-        return [(int(row[0]), *t)] if t else []
+def canary_transitions(stream: DataFrame, key: str, canary: Canary) -> DataFrame:
+    """Transitions of each stream of (key, request_index, win), in order of request_index.
 
-    return fold_streams(_wins(stream, key), key, ["request_index"], rule.start, take, "request_index long, kind string, p0 double")
+    The drop alarm is one window pass over all stages. A stage's gate is one over what follows
+    the stage before, up to the alarm; there are as many as stages, and no stream is one task.
+    """
+    rows = _wins(stream, key)
+    alarms = written(seqtest.cusum(rows, [key], "request_index", canary.p0, canary.p1, canary.h).filter("alarm_at IS NOT NULL").select(key, "alarm_at"))
+    live = _beside(rows, alarms, key, "left").filter("alarm_at IS NULL OR request_index < alarm_at").drop("alarm_at")
+    moves, after = [], [*STAGES[1:], FULL]
+    for k, (stage, share) in enumerate(after):
+        gate = seqtest.mixture_sprt(live, [key], "request_index", canary.p0 - canary.margin, canary.alpha / len(STAGES))
+        at = written(gate.filter("reject_at IS NOT NULL").select(key, F.col("reject_at").alias("at")))
+        if at.isEmpty():
+            break
+        kind = "canary_promoted" if k == len(after) - 1 else "canary_advanced"
+        moves.append(at.select(key, F.col("at").alias("request_index"), F.lit(kind).alias("kind"), F.lit(stage).alias("stage"), F.lit(share).alias("share"), F.lit(0).cast("long").alias("verdicts_in_stage")))
+        live = _beside(live, at, key).filter("request_index > at").drop("at")
+    if moves:
+        moves = [reduce(DataFrame.unionByName, moves)]
+        last = written(moves[0].groupBy(key).agg(F.max("request_index").alias("last"), F.max(F.col("kind") == "canary_promoted").alias("through")))
+        alarms = _beside(alarms, last, key, "left").filter("NOT coalesce(through, false)")
+    else:
+        alarms = alarms.withColumn("last", F.lit(None).cast("long"))
+    fallen = _beside(rows, written(alarms.select(key, "alarm_at", "last")), key).filter("request_index <= alarm_at AND (last IS NULL OR request_index > last)")
+    back = fallen.groupBy(key).agg(F.max("alarm_at").alias("request_index"), F.count(F.lit(1)).alias("verdicts_in_stage"))
+    back = back.withColumns({"kind": F.lit("canary_rolled_back"), "stage": F.lit(ROLLED_BACK[0]), "share": F.lit(ROLLED_BACK[1])})
+    return reduce(DataFrame.unionByName, moves, back.select(key, "request_index", "kind", "stage", "share", "verdicts_in_stage"))
+
+
+def rebaselined_alarms(stream: DataFrame, key: str, rule: Rebaseline, gates: DataFrame | None = None) -> DataFrame:
+    """The first alarm of each stream, and the p0 that it was raised against.
+
+    gates: (key, gate) of drift alarms, one a stream, where they are not all at ``rule.gate``.
+    Three window passes: what is before the gate, the numbering of what is after it, and what
+    follows the verdicts that the new p0 is learned from.
+    """
+    rows = _wins(stream, key)
+    if gates is None:
+        rows = rows.withColumn("gate", F.lit(rule.gate).cast("long"))
+    else:
+        rows = _beside(rows, written(gates.select(key, F.col("gate").cast("long"))), key, "left")
+    early = rows.filter("gate IS NULL OR request_index < gate")
+    first = seqtest.cusum(early, [key], "request_index", rule.p0, rule.p0 - rule.drop, rule.h).filter("alarm_at IS NOT NULL")
+    first = written(first.select(key, F.col("alarm_at").alias("request_index"), F.lit("quality_alarm").alias("kind"), F.lit(rule.p0).alias("p0")))
+    late = _beside(rows.filter("request_index >= gate"), first.select(key), key, "left_anti")
+    late = written(seqtest.numbered(late.select(key, "request_index", "win"), [key], "request_index"))
+    learned = late.filter(F.col("n") <= rule.learn).groupBy(key).agg(F.avg("win").alias("p0"), F.count(F.lit(1)).alias("_seen")).filter(F.col("_seen") == rule.learn)
+    learned = written(learned.select(key, F.greatest(F.lit(0.1), F.least(F.lit(0.9), "p0")).alias("p0")))
+    after = _beside(late.filter(F.col("n") > rule.learn).drop("n"), learned, key).withColumn("p1", F.col("p0") - rule.drop)
+    again = seqtest.cusum(after, [key], "request_index", "p0", "p1", rule.h).filter("alarm_at IS NOT NULL").select(key, F.col("alarm_at").alias("request_index"), F.lit("quality_alarm").alias("kind"))
+    return first.unionByName(_beside(again, learned, key))
 
 
 def promoted_arms(stream: DataFrame, p0: float, alpha: float, corrected: bool = True) -> DataFrame:
     """One mixture test an arm, at alpha over the number of arms; each arm's first crossing."""
-    from .seqtest import mixture_sprt
-
     arms = stream.select("arm").distinct().count() if corrected else 1
-    return mixture_sprt(stream, ["arm"], "request_index", p0, alpha / max(1, arms))
+    return seqtest.mixture_sprt(stream, ["arm"], "request_index", p0, alpha / max(1, arms))
 
 
 def fold_rows(canary: Canary, rows: Iterator[tuple[int, int]]) -> list[tuple]:
@@ -214,18 +231,23 @@ class Drift:
 def decisions(stream: DataFrame, key: str, rule: Decision, resets: DataFrame | None = None) -> DataFrame:
     """(key, request_index, kind) of each stream's first alarm and promotion.
 
-    resets: (key, request_index) of drift alarms; verdicts from there on start anew.
+    resets: (key, request_index) of drift alarms; verdicts from there on start anew. Each stretch
+    between resets is a stream of its own to the window forms of both tests.
     """
-    rows = _wins(stream, key)
+    rows = _wins(stream, key).withColumn("_epoch", F.lit(0).cast("long"))
     if resets is not None:
-        rows = rows.unionByName(resets.select(key, "request_index", F.lit(-1).alias("win")))
-
-    def take(st: dict, row: tuple) -> list[tuple]:
-        index, win = int(row[0]), int(row[1])
-        if win < 0:
-            rule.reset(st)
-            return []
-        return [(index, kind) for kind in rule.step(st, win, index)]
-
-    # a reset comes before the verdict of its index
-    return fold_streams(rows, key, ["request_index", "win"], rule.start, take, "request_index long, kind string")
+        w = W.partitionBy(key).orderBy("at")  # a row a reset, of which a stream has a handful
+        spans = resets.select(key, F.col("request_index").cast("long").alias("at")).distinct()
+        spans = spans.select(key, "at", F.lead("at").over(w).alias("until"), F.row_number().over(w).cast("long").alias("epoch"))
+        inside = (F.col("request_index") >= F.col("at")) & (F.col("until").isNull() | (F.col("request_index") < F.col("until")))
+        named = written(spans.withColumnRenamed(key, "_k"))
+        small = named.limit(100_001).count() <= 100_000
+        rows = rows.join(F.broadcast(named) if small else named, (F.col(key) == F.col("_k")) & inside, "left")
+        rows = rows.select(key, "request_index", "win", F.coalesce("epoch", F.lit(0)).cast("long").alias("_epoch"))
+    both = [key, "_epoch"]
+    alarms = seqtest.cusum(rows, both, "request_index", rule.p0, rule.p1, rule.h).select(key, F.col("alarm_at").alias("request_index"), F.lit("quality_alarm").alias("kind"))
+    # as the gate of a canary's first stage has it, with the whole alpha and no margin
+    alpha = min(0.999999, rule.alpha * len(STAGES)) / len(STAGES)
+    gates = seqtest.mixture_sprt(rows, both, "request_index", rule.p0, alpha).select(key, F.col("reject_at").alias("request_index"), F.lit("promotion").alias("kind"))
+    found = alarms.unionByName(gates).filter("request_index IS NOT NULL")
+    return found.groupBy(key, "kind").agg(F.min("request_index").alias("request_index")).select(key, "request_index", "kind")

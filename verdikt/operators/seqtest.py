@@ -12,22 +12,21 @@ Rows with a null key or order belong to no stream.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..cluster import ship
-from ..functions.mathx import SprtDesign, log_mixture_ratio, normal_quantile
+from ..functions.mathx import SprtDesign, betaln, log_upper_mass, normal_quantile
 
 
 #: Order values of a block.
 SPAN = 1 << 17
 
 
-def _blocks(stream: DataFrame, key: list[str], order: str) -> DataFrame:
-    rows = stream.select(*key, order, F.col("win").cast("long").alias("win"), F.floor(F.col(order) / SPAN).alias("_block"))
+def _blocks(stream: DataFrame, key: list[str], order: str, more: Sequence[str] = ()) -> DataFrame:
+    rows = stream.select(*key, *more, order, F.col("win").cast("long").alias("win"), F.floor(F.col(order) / SPAN).alias("_block"))
     return rows.dropna(subset=[*key, order])
 
 
@@ -58,17 +57,27 @@ def running(stream: DataFrame, key: list[str], order: str) -> DataFrame:
     return _counted(stream, key, order).drop("_block")
 
 
-def _log_ratio(p0: float, p1: float, n: str = "n", s: str = "s") -> Column:
-    win, loss = math.log(p1 / p0), math.log((1 - p1) / (1 - p0))
-    return F.col(s) * F.lit(win) + (F.col(n) - F.col(s)) * F.lit(loss)
+def _log_ratio(p0: float | str, p1: float | str, n: str = "n", s: str = "s") -> Column:
+    if isinstance(p0, str):
+        a, b = F.col(p0), F.col(p1)
+        win, loss = F.log(b / a), F.log((1 - b) / (1 - a))
+    else:
+        win, loss = F.lit(math.log(p1 / p0)), F.lit(math.log((1 - p1) / (1 - p0)))
+    return F.col(s) * win + (F.col(n) - F.col(s)) * loss
 
 
-def _log_factorial(x: Column) -> Column:
-    """ln x!: a table below 16, Stirling's series from there on (to 14 digits)."""
-    small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), F.least(x, F.lit(15)).cast("int") + 1)
-    z = x.cast("double")
-    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-    return F.when(x < 16, small).otherwise((z + 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series)
+def _log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0: Stirling's series (to 14 digits), below 16 by that of x + 16."""
+
+    def stirling(z: Column) -> Column:
+        y = 1 / (z * z)
+        return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / z
+
+    x = x.cast("double")
+    steps = F.lit(0.0)
+    for i in range(0, 16, 4):  # four factors a logarithm: no product overflows
+        steps = steps + F.log((x + i) * (x + (i + 1)) * (x + (i + 2)) * (x + (i + 3)))
+    return F.when(x < 16, stirling(x + 16) - steps).otherwise(stirling(x))
 
 
 def sprt(stream: DataFrame, key: list[str], order: str, design: SprtDesign) -> DataFrame:
@@ -82,25 +91,29 @@ def sprt(stream: DataFrame, key: list[str], order: str, design: SprtDesign) -> D
     return out.select(*key, decision.alias("decision"), F.least(first_up, first_down, F.col("n")).alias("stop"))
 
 
-def cusum_path(stream: DataFrame, key: list[str], order: str, p0: float, p1: float) -> DataFrame:
-    """key, order, win, n, s, stat: Page's recursion max(0, stat + step) as the walk above its running minimum."""
-    if not 0 < p1 < p0 < 1:
+def cusum_path(stream: DataFrame, key: list[str], order: str, p0: float | str, p1: float | str) -> DataFrame:
+    """key, order, win, n, s, stat: Page's recursion max(0, stat + step) as the walk above its running minimum.
+
+    The rates are numbers, or columns of the stream that are the same for all rows of a key.
+    """
+    rates = [c for c in (p0, p1) if isinstance(c, str)]
+    if not rates and not 0 < p1 < p0 < 1:
         raise ValueError("a drop is looked for: 0 < p1 < p0 < 1")
     w = _within(key, order)
-    local = _blocks(stream, key, order).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("s", F.sum("win").over(w))
+    local = _blocks(stream, key, order, rates).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("s", F.sum("win").over(w))
     local = local.withColumn("least", F.min(_log_ratio(p0, p1)).over(w))
     # of a block: its counts, and the lowest point of its own walk
-    made = local.groupBy(*key, "_block").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.min("least").alias("least"))
+    made = local.groupBy(*key, "_block").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.min("least").alias("least"), *[F.first(c).alias(c) for c in rates])
     before = _before(key)
     made = made.withColumns({"_n": F.coalesce(F.sum("n").over(before), F.lit(0)), "_s": F.coalesce(F.sum("s").over(before), F.lit(0))})
     made = made.withColumn("_walk", _log_ratio(p0, p1, "_n", "_s"))
-    made = made.withColumn("_least", F.min(F.col("_walk") + F.col("least")).over(before)).drop("n", "s", "least")
+    made = made.withColumn("_least", F.min(F.col("_walk") + F.col("least")).over(before)).drop("n", "s", "least", *rates)
     df = local.join(made, [*key, "_block"]).withColumns({"n": F.col("n") + F.col("_n"), "s": F.col("s") + F.col("_s")})
     low = F.least(F.lit(0.0), F.col("_walk") + F.col("least"), F.col("_least"))  # least skips nulls
-    return df.withColumn("stat", _log_ratio(p0, p1) - low).drop("_block", "_n", "_s", "_walk", "_least", "least")
+    return df.withColumn("stat", _log_ratio(p0, p1) - low).drop("_block", "_n", "_s", "_walk", "_least", "least", *rates)
 
 
-def cusum(stream: DataFrame, key: list[str], order: str, p0: float, p1: float, h: float) -> DataFrame:
+def cusum(stream: DataFrame, key: list[str], order: str, p0: float | str, p1: float | str, h: float) -> DataFrame:
     """key, alarm_n, alarm_at (order value) of the first alarm, null without one, and max_stat."""
     if h <= 0:
         raise ValueError("the threshold must be positive")
@@ -109,40 +122,34 @@ def cusum(stream: DataFrame, key: list[str], order: str, p0: float, p1: float, h
     return df.groupBy(*key).agg(F.min(F.when(hit, F.col("n"))).alias("alarm_n"), F.min(F.when(hit, F.col(order))).alias("alarm_at"), F.max("stat").alias("max_stat"))
 
 
-def mixture_sprt_path(stream: DataFrame, key: list[str], order: str, p0: float) -> DataFrame:
-    """key, order, win, n, s, log_mix: ln of the Beta(1, 1)-mixture ratio over rates above p0.
+def mixture_sprt_path(stream: DataFrame, key: list[str], order: str, p0: float, a: float = 1.0, b: float = 1.0) -> DataFrame:
+    """key, order, win, n, s, log_mix: ln of the mixture ratio under a Beta(a, b) prior cut to rates above p0.
 
-    The Beta tail follows by adding or taking a binomial term per verdict, so it is a
-    running sum. While wins are no more frequent than p0 the ratio is below 1, and the
-    sum may have lost all its digits: log_mix is null there.
+    The mass that Beta(a + s, b + f) has above p0 changes by one term a verdict (the contiguous
+    relations of the incomplete beta function), so it is a running sum. While wins are no more
+    frequent than p0 the ratio is below 1, and the sum may have lost all its digits: log_mix is
+    null there.
     """
+    if not (a > 0 and b > 0 and 0 < p0 < 1):
+        raise ValueError("a > 0, b > 0 and 0 < p0 < 1 are needed")
     n, s, f, won = F.col("n"), F.col("s"), F.col("n") - F.col("s"), F.col("win") == 1
-    ln_n, ln_s, ln_f = (_log_factorial(c) for c in (n, s, f))
-    term = F.exp(ln_n - ln_s - ln_f + s * math.log(p0) + f * math.log(1 - p0))
-    df = _counted(stream, key, order).withColumn("term", F.when(won, (1 - p0) * term).otherwise(-p0 * term))
+    # ln of x^a' (1 - x)^b' / B(a' + 1, b' + 1) and its like: the beta functions of all counts share these three
+    gs, gf, gn = _log_gamma(s + a), _log_gamma(f + b), _log_gamma(n + (a + b))
+    # from (a + s - 1, b + f) by a win, from (a + s, b + f - 1) by a loss
+    change = F.exp(gn - gs - gf + (s + a - won.cast("int")) * math.log(p0) + (f + b - (~won).cast("int")) * math.log1p(-p0)) / (n + (a + b - 1))
+    start = math.exp(log_upper_mass(a, b, p0))
+    df = _counted(stream, key, order).withColumn("term", F.when(won, change).otherwise(-change))
     df = _carried(df.withColumn("sum", F.sum("term").over(_within(key, order))), key, {"bt": F.sum("term")})
-    tail = (1 - p0) + F.col("_bt") + F.col("sum")
-    mix = ln_s + ln_f - ln_n - F.log(n + 1.0) + F.log(tail) - math.log(1 - p0) - s * math.log(p0) - f * math.log(1 - p0)
-    return df.withColumn("log_mix", F.when((tail > 0) & (s > p0 * n), mix)).drop("_block", "term", "sum", "_bt")
-
-
-def mixture_sprt(stream: DataFrame, key: list[str], order: str, p0: float, alpha: float) -> DataFrame:
-    """key, reject_n, reject_at of the first crossing of ln(1 / alpha), null without one."""
-    hit = F.col("log_mix") >= math.log(1 / alpha)
-    return mixture_sprt_path(stream, key, order, p0).groupBy(*key).agg(F.min(F.when(hit, F.col("n"))).alias("reject_n"), F.min(F.when(hit, F.col(order))).alias("reject_at"))
-
-
-def mixture_sprt_prior(stream: DataFrame, key: list[str], order: str, p0: float, alpha: float, a: float, b: float) -> DataFrame:
-    """The same test under a Beta(a, b) prior: counts by window, the incomplete beta function in Arrow batches."""
-    ship(stream.sparkSession)
+    mass = start + F.col("_bt") + F.col("sum")
+    mix = gs + gf - gn - betaln(a, b) + F.log(mass) - math.log(start) - s * math.log(p0) - f * math.log1p(-p0)
+    return df.withColumn("log_mix", F.when((mass > 0) & (s > p0 * n), mix)).drop("_block", "term", "sum", "_bt")
 
-    @F.pandas_udf("double")
-    def ratio(s: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(log_mixture_ratio(s.to_numpy(), (n - s).to_numpy(), p0, a, b))
 
-    df = running(stream, key, order).withColumn("log_mix", ratio("s", "n"))
+def mixture_sprt(stream: DataFrame, key: list[str], order: str, p0: float, alpha: float, a: float = 1.0, b: float = 1.0) -> DataFrame:
+    """key, reject_n, reject_at of the first crossing of ln(1 / alpha), null without one, and max_log_mix."""
     hit = F.col("log_mix") >= math.log(1 / alpha)
-    return df.groupBy(*key).agg(F.min(F.when(hit, F.col("n"))).alias("reject_n"), F.max("log_mix").alias("max_log_mix"))
+    path = mixture_sprt_path(stream, key, order, p0, a, b)
+    return path.groupBy(*key).agg(F.min(F.when(hit, F.col("n"))).alias("reject_n"), F.min(F.when(hit, F.col(order))).alias("reject_at"), F.max("log_mix").alias("max_log_mix"))
 
 
 def stitched_radius(n: Column, alpha: float) -> Column:

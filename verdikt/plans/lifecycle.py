@@ -613,12 +613,11 @@ def planning_calculator(spark, sf):
     return df.select(*[F.round(k, 3 if k.startswith("expected") else 6).alias(k) for k in p])
 
 
-@query(with_base("""grid AS (SELECT topic, n, s FROM counted WHERE n <= 400),
-mass AS (SELECT g.topic, g.n, g.s, sum(exp(lgamma(n + 5) - lgamma(j + 1) - lgamma(n + 5 - j) + j * ln(0.44::DOUBLE) + (n + 4 - j) * ln(0.56::DOUBLE))) AS m FROM grid g, range(406) r(j) WHERE j <= s + 1 GROUP BY ALL),
+@query(with_base("""grid AS (SELECT topic, n, s FROM counted WHERE s > 0.44 * n),
+mass AS (SELECT g.topic, g.n, g.s, sum(exp(lgamma(CAST(n + 5 AS DOUBLE)) - lgamma(j + 1) - lgamma(n + 5 - j) + j * ln(0.44::DOUBLE) + (n + 4 - j) * ln(0.56::DOUBLE))) AS m FROM grid g JOIN range((SELECT max(s) + 2 FROM counted)) r(j) ON j <= s + 1 GROUP BY ALL),
 prior AS (SELECT sum(exp(lgamma(5) - lgamma(j + 1) - lgamma(5 - j) + j * ln(0.44::DOUBLE) + (4 - j) * ln(0.56::DOUBLE))) AS m FROM range(2) r(j)),
 ratio AS (SELECT topic, n, lgamma(2 + s) + lgamma(3 + n - s) - lgamma(5 + n) + ln(mass.m) - (lgamma(2) + lgamma(3) - lgamma(5)) - ln(prior.m) - s * ln(0.44::DOUBLE) - (n - s) * ln(0.56::DOUBLE) AS log_mix FROM mass, prior)
-SELECT topic, min(n) FILTER (WHERE log_mix >= ln(80.0)) AS reject_n, round(max(log_mix), 6) AS max_log_mix FROM ratio GROUP BY topic""".replace("lgamma(n + 5) -", "lgamma(CAST(n + 5 AS DOUBLE)) -")))
+SELECT topic, min(n) FILTER (WHERE log_mix >= ln(80.0)) AS reject_n, round(max(log_mix), 6) AS max_log_mix FROM ratio GROUP BY topic"""))
 def mixture_sprt_general_prior(spark, sf):
-    """The first 400 verdicts of each stream under a Beta(2, 3) prior."""
-    first = seqtest.numbered(win_stream(spark, sf).select("topic", "request_index", "win"), ["topic"], "request_index").filter("n <= 400")
-    return seqtest.mixture_sprt_prior(first, ["topic"], "request_index", 0.44, 0.0125, 2.0, 3.0).select("topic", "reject_n", r6("max_log_mix"))
+    """Whole streams under a Beta(2, 3) prior; the ratio counts while wins are more frequent than p0."""
+    return seqtest.mixture_sprt(win_stream(spark, sf), ["topic"], "request_index", 0.44, 0.0125, 2.0, 3.0).select("topic", "reject_n", r6("max_log_mix"))
