@@ -35,8 +35,8 @@ def test_oracle(spark, duck, name):
 
 
 def test_what_has_no_sql():
-    """Simulations of drawn numbers, which test_studies runs, and the drift stream, which test_streaming compares."""
-    assert set(QUERIES) - set(ORACLES) == set(STUDIES) | {"cusum_calibration", "psi_calibration", "disagreement_calibration", "drift_stream"}
+    """Simulations of drawn numbers, which test_studies runs."""
+    assert set(QUERIES) - set(ORACLES) == set(STUDIES) | {"cusum_calibration", "psi_calibration", "disagreement_calibration"}
 
 
 def test_entry_without_the_optional_part(tmp_path):

@@ -188,7 +188,7 @@ class LiveRouter(Ordered):
 
 
 def ordered_rows(df: DataFrame, value: Column, *more: str, at: str | None = None) -> DataFrame:
-    """run_id, ts, at, request_index, value of rows; one without an index moves the watermark and nothing else."""
+    """run_id, ts, at, request_index, value of rows; one without an index is left out."""
     when = F.unix_millis("ts") if at is None else F.col(at)
     return df.select("run_id", *more, "ts", when.alias("at"), "request_index", value.alias("value")).filter("request_index IS NOT NULL")
 
