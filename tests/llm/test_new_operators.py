@@ -9,7 +9,7 @@ from itertools import permutations
 import duckdb
 import pytest
 
-from verdikt.llm import filter_audit, phrases, registry, secrets, toxicity
+from verdikt.llm import decontaminate, filter_audit, phrases, registry, secrets, toxicity
 
 from .test_operators import make
 from .test_queries import documents, table
@@ -241,3 +241,16 @@ def test_audit_steps():
     steps = filter_audit.order_steps()
     assert len(steps) == 600 and len(set(steps)) == 600 and all(bin(a ^ b).count("1") == 1 for *_, a, b in steps)
     assert hashlib.sha256("".join(s[0] for s in steps[::5]).encode()).hexdigest() == hashlib.sha256("".join("".join(p) for p in permutations("ABCDE")).encode()).hexdigest()
+
+
+ITEM = "A wooden plank of {a} is sawn into pieces of {b} each, so how many whole pieces does the carpenter get from it at last?"
+
+
+@pytest.mark.parametrize("a,b,found", [("4 cm", "9 cm", True), ("11cm", "13cm", True), ("11CM", "13 CM", True), ("7,5kg", "2.5 kg", True), ("11cm", "13km", False), ("4cm", "4cm", False), ("x11cm", "y13cm", False)])
+@pytest.mark.parametrize("item", [("4 cm", "9 cm"), ("4cm", "9cm")])
+def test_units_written_to_the_number(spark, a, b, found, item):
+    """Numbers and units are slots however they are written; equal values do not stand for different ones."""
+    items = spark.createDataFrame([(1, ITEM.format(a=item[0], b=item[1]))], "item_id long, text string")
+    docs = make(spark, [(5, "They sat down. " + ITEM.format(a=a, b=b) + " Nobody knew.", "en", "s"), (6, "Nothing of the kind was asked here at 4 cm.", "en", "s")])
+    got = {r["doc_id"] for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == ({5} if found else set())

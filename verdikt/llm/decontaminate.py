@@ -62,8 +62,9 @@ def template(text: Column) -> Column:
     t = F.replace(text, F.lit(MARK), F.lit(" "))
     # a name is a capitalised word anywhere, but for the words that sentences often begin with
     t = F.regexp_replace(t, rf"(\p{{Lu}}(?<![\p{{L}}\p{{N}}'’]\p{{Lu}})(?<!(?=(?:{STARTS})(?![\p{{L}}'’]))\p{{Lu}})[\p{{Ll}}'’]+)(?![\p{{L}}\p{{N}}])", f"{NAME}$1")
-    # a unit counts as one right after a number
-    n = F.regexp_replace(t, rf"(?i)(?<=[0-9])({BLANK}*)\b({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 <unit>{MARK}$2")
+    # a unit counts as one right after a number; one that touches it is parted from it
+    n = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\p{{N}}{MARK}])({NUMBER})({UNITS})(?![\p{{L}}\p{{N}}])", "$1 $2")
+    n = F.regexp_replace(n, rf"(?i)(?<=[0-9])({BLANK}*)\b({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 <unit>{MARK}$2")
     n = F.regexp_replace(n, rf"(?<![\p{{L}}\p{{N}}{MARK}])({NUMBER})(?![\p{{L}}\p{{N}}])", f"<num>{MARK}$1")
     t = F.when(text.rlike("[0-9]"), n).otherwise(t)
     # punctuation at either end of a token; a token of nothing else vanishes
