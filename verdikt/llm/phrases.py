@@ -155,12 +155,22 @@ def _tally(places: np.ndarray, counts: np.ndarray, bits: int, branch: int) -> It
     """Ascending places and their counts, as a row for each chunk of 2^bits places."""
     chunks, starts = np.unique(places >> bits, return_index=True)
     ends = [*starts[1:].tolist(), places.size]
-    at, n = (places & ((1 << bits) - 1)).astype("<u4"), counts.astype("<i8")
-    parts = list(zip(starts.tolist(), ends))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(chunks, pa.int64()), pa.array(np.full(chunks.size, branch), pa.int32()), pa.array([at[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([n[a:b].tobytes() for a, b in parts], pa.binary())],
-        ["chunk", "branch", "at", "n"],
-    )
+    at = places & ((1 << bits) - 1)
+    rows = [_packed(at[a:b], counts[a:b], bits) for a, b in zip(starts.tolist(), ends)]
+    columns = [pa.array(chunks, pa.int64()), pa.array(np.full(chunks.size, branch), pa.int32()), *(pa.array(list(c), pa.binary()) for c in zip(*rows))]
+    yield pa.RecordBatch.from_arrays(columns, ["chunk", "branch", "at", "n"])
+
+
+def _packed(at: np.ndarray, n: np.ndarray, bits: int) -> tuple[bytes, bytes]:
+    """Places of a chunk and their counts, in the fewest bytes that hold them all."""
+    size = next(s for s in (1, 2, 4, 8) if n.size == 0 or int(n.max()) < 1 << 8 * s)
+    return at.astype("<u2" if bits <= 16 else "<u4").tobytes(), n.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(at: bytes, n: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    places = np.frombuffer(at, "<u2" if bits <= 16 else "<u4")
+    size = len(n) // max(1, places.size)
+    return places.astype(np.int64), np.frombuffer(n, f"<u{size or 1}").astype(np.int64)
 
 
 def _tree_sum(tallies: DataFrame, bits: int, least: int) -> DataFrame:
@@ -170,10 +180,11 @@ def _tree_sum(tallies: DataFrame, bits: int, least: int) -> DataFrame:
         def add(group: pa.Table) -> pa.Table:
             total = np.zeros(1 << bits, np.int64)
             for at, n in zip(group.column("at").to_pylist(), group.column("n").to_pylist()):
-                total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i8")  # places of one array are distinct
+                places, counts = _unpacked(at, n, bits)
+                total[places] += counts  # places of one array are distinct
             at = np.flatnonzero(total >= keep)
             first = [[group.column(c)[0].as_py()] for c in ("chunk", "branch")]
-            return pa.table([*first, [at.astype("<u4").tobytes()], [total[at].tobytes()]], schema=pa.schema([("chunk", pa.int64()), ("branch", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
+            return pa.table([*first, *([x] for x in _packed(at, total[at], bits))], schema=pa.schema([("chunk", pa.int64()), ("branch", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
 
         return add
 
@@ -202,7 +213,8 @@ def _safe_pairs(seqs: DataFrame, total: int, least: int, max_slots: int) -> Data
             yield from _tally(*np.unique(_spread(keys, width), return_counts=True), page, _branch())
 
     # pages of the buckets that reach the least count
-    safe = written(_tree_sum(seqs.mapInArrow(bound, TALLY), page, least).select("chunk", "at", (F.octet_length("at") / 4).cast("long").alias("n")))
+    each = 2 if page <= 16 else 4  # bytes of a place
+    safe = written(_tree_sum(seqs.mapInArrow(bound, TALLY), page, least).select("chunk", "at", (F.octet_length("at") / each).cast("long").alias("n")))
     sizes = safe.select("chunk", "n").orderBy("chunk").collect()  # a page stands for 2^16 buckets or more
     ranges, size = [], max_slots + 1
     for chunk, n in sizes:
@@ -214,7 +226,7 @@ def _safe_pairs(seqs: DataFrame, total: int, least: int, max_slots: int) -> Data
     found = []
     for low, high in ranges:
         rows = safe.filter(F.col("chunk").between(low, high)).select("chunk", "at").collect()
-        buckets = np.sort(np.concatenate([(r["chunk"] << page) + np.frombuffer(r["at"], "<u4").astype(np.int64) for r in rows]))
+        buckets = np.sort(np.concatenate([(r["chunk"] << page) + _unpacked(r["at"], b"", page)[0] for r in rows]))
         held = seqs.sparkSession.sparkContext.broadcast(buckets)  # max_slots and a page at most
 
         def candidates(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -307,9 +319,10 @@ def frequent_pairs(seqs: DataFrame, total: int, least: int, max_slots: int) -> t
         def listed(batches: Iterator[pa.RecordBatch], held=held, base=base) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for chunk, at, n in zip(*(b.column(c).to_pylist() for c in ("chunk", "at", "n"))):
-                    slot = (chunk << CHUNK) + np.frombuffer(at, "<u4").astype(np.int64)
+                    places, counts = _unpacked(at, n, CHUNK)
+                    slot = (chunk << CHUNK) + places
                     key = held.value.keys[slot]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slot + base, key >> 32, key & 0xFFFFFFFF, np.frombuffer(n, "<i8"))], ["id", "x", "y", "f"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slot + base, key >> 32, key & 0xFFFFFFFF, counts)], ["id", "x", "y", "f"])
 
         sums = _tree_sum(seqs.mapInArrow(count, TALLY), CHUNK, least)
         found.append(written(sums.mapInArrow(listed, "id long, x long, y long, f long")))
