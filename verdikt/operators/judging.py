@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..cluster import ship
+from ..cluster import ship, written
 from ..functions.draws import below
 from ..sources import log
 
@@ -59,7 +62,8 @@ def compare_with(df: DataFrame, seed: int, judge_id: str, judge: Judge, randomis
     for out, a, b in (("first", "a_text", "b_text"), ("second", "b_text", "a_text"), ("first_pool", "a_pool", "b_pool"), ("second_pool", "b_pool", "a_pool")):
         df = df.withColumn(out, F.when(b_first, F.col(b)).otherwise(F.col(a)))
     df = judge(df.withColumn("query", F.col("query_text")))
-    winner = F.when(F.col("place") == "tie", "tie").when((F.col("place") == "first") == b_first, "b").otherwise("a")
+    # a judge that failed on a row leaves its place and so the winner null
+    winner = F.when(F.col("place") == "tie", "tie").when((F.col("place") == "first") == b_first, "b").when(F.col("place").isNotNull(), "a")
     return df.withColumn("winner", winner).drop("first", "second", "first_pool", "second_pool", "place", "query")
 
 
@@ -76,8 +80,8 @@ def reward_judge(load: Callable[[], Callable[[list[str], list[str]], list[float]
     return judge
 
 
-def text_judge(load: Callable[[], Callable[[str], tuple[str, str]]]) -> Judge:
-    return lambda d: llm_verdicts(d, load)
+def text_judge(load: "Callable[[], Client]", **calls: int) -> Judge:
+    return lambda d: llm_verdicts(d, load, **calls)
 
 
 @dataclass(frozen=True)
@@ -213,28 +217,81 @@ def parse_verdict_column(reply: Column) -> Column:
     return F.when(w == "1", "first").when(w == "2", "second").when(w == "tie", "tie")
 
 
-def llm_verdicts(df: DataFrame, load: Callable[[], Callable[[str], tuple[str, str]]]) -> DataFrame:
-    """Adds place by a text model: ``load`` makes a client, text -> (reply, stop reason), once a task.
+Client = Callable[[str], tuple[str, str]]
+
+
+def llm_verdicts(df: DataFrame, load: Callable[[], Client], at_once: int = 8, tries: int = 3, pause: float = 0.5) -> DataFrame:
+    """Adds place, or the error that kept it from being told, by a text model.
+
+    ``load`` makes a client once a task, text -> (reply, stop reason); the client is called from
+    ``at_once`` threads, at most ``tries`` times a row with growing pauses between. A row that fails
+    costs no other its verdict: its place is null and ``error`` says why.
 
     df has query, first and second; the model sees texts only.
     """
+    if at_once < 1 or tries < 1:
+        raise ValueError("at least one call and one try are needed")
     ship(df.sparkSession)
-    schema = StructType([*df.schema.fields, StructField("place", StringType())])
+    schema = StructType([*df.schema.fields, StructField("place", StringType()), StructField("error", StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = load()
-        for p in parts:
-            out = []
-            for q, a, b in zip(p["query"], p["first"], p["second"]):
-                reply, stop = client(f"{PROMPT}\n\nQuery: {q}\n\nResponse 1: {a}\n\nResponse 2: {b}")
-                if stop != "end_turn":
-                    raise JudgeError(f"stopped by {stop}")
-                out.append(parse_verdict(reply))
-            yield p.assign(place=out)
+
+        def ask(texts: tuple[str, str, str]) -> tuple[str | None, str | None]:
+            q, a, b = texts
+            for k in range(tries):
+                try:
+                    reply, stop = client(f"{PROMPT}\n\nQuery: {q}\n\nResponse 1: {a}\n\nResponse 2: {b}")
+                    if stop != "end_turn":
+                        raise JudgeError(f"stopped by {stop}")
+                    return parse_verdict(reply), None
+                except Exception as e:  # whatever a client raises is that row's fault alone
+                    error = f"{type(e).__name__}: {e}"[:1000]
+                    if k + 1 < tries:
+                        time.sleep(pause * 2**k)
+            return None, error
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for p in parts:
+                told = list(pool.map(ask, zip(p["query"], p["first"], p["second"])))
+                yield p.assign(place=[t[0] for t in told], error=[t[1] for t in told])
 
     return df.mapInPandas(run, schema)
 
 
+def judged_once(pairs: DataFrame, verdicts: DataFrame, judge_id: str) -> DataFrame:
+    """The pairs that no logged verdict of the judge is about: a run that was killed pays for no call twice.
+
+    verdicts: request_index, judge_id of those logged so far, without the rows that failed.
+    """
+    known = verdicts.filter(F.col("judge_id") == judge_id).select("request_index").distinct()
+    return pairs.join(known, "request_index", "left_anti")
+
+
+def judge_into_log(pairs: DataFrame, store: log.EventLog, run_id: str, judge_id: str, seed: int, load: Callable[[], Client], batches: int = 16, **calls: int) -> DataFrame:
+    """Judges pairs (request_index, topic, query_text, a_text, b_text) by a text model into a run's log.
+
+    What the log has is left out before any call. Pairs are dealt by request into ``batches`` that
+    are judged and appended one after the other, so a job that dies has lost one of them at most;
+    the next run goes on with what is not logged. Returns request_index and error of the rows that failed.
+    """
+    known = log.typed(store.read_all().filter(F.col("run_id") == run_id), "verdict_recorded")
+    rest = written(judged_once(pairs, known, judge_id))
+    failed = []
+    for k in range(batches):
+        part = rest.filter(F.pmod(F.xxhash64("request_index"), F.lit(batches)) == k)
+        shown = part.withColumn("first_shown", F.when(swapped(seed, judge_id), "b").otherwise("a"))
+        b_first = F.col("first_shown") == "b"
+        shown = shown.select("request_index", "topic", "first_shown", F.col("query_text").alias("query"), F.when(b_first, F.col("b_text")).otherwise(F.col("a_text")).alias("first"), F.when(b_first, F.col("a_text")).otherwise(F.col("b_text")).alias("second"))
+        told = written(llm_verdicts(shown, load, **calls).drop("query", "first", "second"))  # asked once, read twice
+        b_won = (F.col("place") == "first") == (F.col("first_shown") == "b")
+        winner = F.when(F.col("place") == "tie", "tie").when(b_won, "b").otherwise("a")
+        good = told.filter("place IS NOT NULL").withColumns({"winner": winner, "judge_id": F.lit(judge_id)})
+        store.append(log.to_events(good, run_id, "verdict_recorded", ["request_index", "topic", "winner", "first_shown", "judge_id"]))
+        failed.append(told.filter("place IS NULL").select("request_index", "error"))
+    return reduce(DataFrame.unionByName, failed)
+
+
 def consensus(votes: DataFrame) -> DataFrame:
     """question_id, model_0, model_1, votes_a, votes_b, ties, label of pairs with a strict majority.
 

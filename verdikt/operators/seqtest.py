@@ -146,10 +146,10 @@ def mixture_sprt_path(stream: DataFrame, key: list[str], order: str, p0: float,
 
 
 def mixture_sprt(stream: DataFrame, key: list[str], order: str, p0: float, alpha: float, a: float = 1.0, b: float = 1.0) -> DataFrame:
-    """key, reject_n, reject_at of the first crossing of ln(1 / alpha), null without one, and max_log_mix."""
+    """key, reject_n, reject_at of the first crossing of ln(1 / alpha), null without one."""
     hit = F.col("log_mix") >= math.log(1 / alpha)
     path = mixture_sprt_path(stream, key, order, p0, a, b)
-    return path.groupBy(*key).agg(F.min(F.when(hit, F.col("n"))).alias("reject_n"), F.min(F.when(hit, F.col(order))).alias("reject_at"), F.max("log_mix").alias("max_log_mix"))
+    return path.groupBy(*key).agg(F.min(F.when(hit, F.col("n"))).alias("reject_n"), F.min(F.when(hit, F.col(order))).alias("reject_at"))
 
 
 def stitched_radius(n: Column, alpha: float) -> Column:

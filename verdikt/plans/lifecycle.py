@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
@@ -18,6 +20,7 @@ from ..operators import folds, judging, metrics, seqtest, traffic
 from ..operators import montecarlo as mc
 from ..operators.judging import NoisyOracle
 from ..sources import log
+from ..sources.database import DatabaseLog
 from ..streaming import pipeline, services
 from .queries import CUSUM_SQL, LOGGED, MIX_SQL, SEED, TOPICS, U, _events, champion, midpoint, oracle, psi_sql, query, r6, requests, shadow, table, verdicts, win_stream
 
@@ -80,6 +83,28 @@ def concurrent_append(spark, sf):
     return store.read_all().groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq"))
 
 
+def _sqlite(spark: SparkSession) -> DatabaseLog:
+    """A database in a file, which stands for a server: for a local master only."""
+    path = shared_dir(spark).removeprefix("file://").rsplit("/", 1)
+    os.makedirs(path[0], exist_ok=True)
+    name = f"{path[0]}/{path[1]}.db"
+    store = DatabaseLog(spark, lambda: sqlite3.connect(name, timeout=60))
+    store.create()
+    return store
+
+
+@query(with_base(f"{LOGGED} SELECT type, count(*) AS n, max(seq) AS max_seq FROM logged GROUP BY type"))
+def database_append(spark, sf):
+    """Two jobs append the same events to a table at once, then a stream delivers them all twice."""
+    store, e, source = _sqlite(spark), written(_events(spark, sf)), shared_dir(spark)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: store.append(e.filter(F.col("seq") % 3 != k)), range(2)))
+    timed = e.withColumn("ts", F.timestamp_seconds(F.col("seq")))
+    timed.unionByName(timed).repartition(3).write.parquet(source)
+    store.append_stream(spark.readStream.schema(timed.schema).parquet(source), shared_dir(spark)).awaitTermination()
+    return written(store.read("run-1").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq")))
+
+
 @query(with_base(f"{LOGGED} SELECT type, count(*) AS n FROM logged GROUP BY type"))
 def jdbc_append(spark, sf):
     """The log in a database, which here lives in the driver: of a local master only."""
@@ -226,6 +251,35 @@ def text_model_judge(spark, sf):
     return judging.llm_verdicts(df, load).select("conv_id", "place")
 
 
+_ASKED = f"""asked AS (SELECT q.conv_id AS request_index, q.text AS a_text, a.text AS b_text, CASE WHEN {U('__judge__model:swap', index='q.conv_id')} < 0.5 THEN 'b' ELSE 'a' END AS first_shown {_PAIRED_TURNS} WHERE q.text IS NOT NULL AND a.text IS NOT NULL)"""
+
+
+@query(f"""WITH {_ASKED} SELECT request_index, first_shown, CASE WHEN length(a_text) = length(b_text) THEN 'tie' WHEN length(a_text) > length(b_text) THEN 'a' ELSE 'b' END AS winner, 'verdict' AS kind FROM asked WHERE length(a_text) + length(b_text) > 30
+    UNION ALL SELECT request_index, NULL, NULL, 'failed' FROM asked WHERE length(a_text) + length(b_text) <= 30""")
+def model_judging(spark, sf):
+    """A text model judges into the log in two runs. In the first it has no answer for some pairs and the
+    run ends half-way; the second asks for what is not logged, and the pairs it cannot judge are rows."""
+
+    def load():
+        def client(prompt: str) -> tuple[str, str]:
+            first, second = prompt.split("\n\nResponse 1: ", 1)[1].split("\n\nResponse 2: ")
+            if len(first) + len(second) <= 30:
+                raise ConnectionError("no answer")
+            winner = "tie" if len(first) == len(second) else "1" if len(first) > len(second) else "2"
+            return f'{{"winner": "{winner}"}}', "end_turn"
+
+        return client
+
+    turns = judging.first_turns(table(spark, sf, "conversations")).filter("question IS NOT NULL AND answer IS NOT NULL")
+    asked = turns.select(F.col("conv_id").alias("request_index"), F.lit("none").alias("topic"), F.lit("?").alias("query_text"), F.col("question").alias("a_text"), F.col("answer").alias("b_text"))
+    store = log.EventLog(spark, shared_dir(spark))
+    judging.judge_into_log(asked.filter("request_index % 2 = 0"), store, "run-1", "model", SEED, load, batches=2, tries=1)
+    failed = judging.judge_into_log(asked, store, "run-1", "model", SEED, load, batches=2, tries=1)
+    told = log.typed(store.read("run-1"), "verdict_recorded").select("request_index", "first_shown", "winner", F.lit("verdict").alias("kind"))
+    none = F.lit(None).cast("string")
+    return told.unionByName(failed.select("request_index", none.alias("first_shown"), none.alias("winner"), F.lit("failed").alias("kind")))
+
+
 @query(f"""SELECT q.conv_id AS request_index, CASE WHEN length(q.text) = length(a.text) THEN 'tie' WHEN length(q.text) > length(a.text) THEN 'a' ELSE 'b' END AS winner,
   CASE WHEN {U('__judge__reward:swap', index='q.conv_id')} < 0.5 THEN 'b' ELSE 'a' END AS first_shown {_PAIRED_TURNS} WHERE q.text IS NOT NULL AND a.text IS NOT NULL""")
 def reward_model_judge(spark, sf):
@@ -620,4 +674,6 @@ ratio AS (SELECT topic, n, lgamma(2 + s) + lgamma(3 + n - s) - lgamma(5 + n) + l
 SELECT topic, min(n) FILTER (WHERE log_mix >= ln(80.0)) AS reject_n, round(max(log_mix), 6) AS max_log_mix FROM ratio GROUP BY topic"""))
 def mixture_sprt_general_prior(spark, sf):
     """Whole streams under a Beta(2, 3) prior; the ratio counts while wins are more frequent than p0."""
-    return seqtest.mixture_sprt(win_stream(spark, sf), ["topic"], "request_index", 0.44, 0.0125, 2.0, 3.0).select("topic", "reject_n", r6("max_log_mix"))
+    path = seqtest.mixture_sprt_path(win_stream(spark, sf), ["topic"], "request_index", 0.44, 2.0, 3.0)
+    hit = F.col("log_mix") >= F.log(F.lit(80.0))
+    return path.groupBy("topic").agg(F.min(F.when(hit, F.col("n"))).alias("reject_n"), F.round(F.max("log_mix"), 6).alias("max_log_mix"))
