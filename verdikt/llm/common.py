@@ -7,15 +7,12 @@ whatever their names, never clash.
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_dir as shared_dir
 from ..cluster import ship as ship
+from ..cluster import written as written
 
 #: White space of the contracts: blank, tab, newline, vertical tab, form feed, return.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -47,40 +44,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir).
-
-    Only a local master may do without that setting: its tasks all see the driver's disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        key = spark.sparkContext.applicationId
-        if key not in _local:
-            own = tempfile.TemporaryDirectory(prefix="verdikt-")
-            atexit.register(own.cleanup)
-            _local[key] = own.name
-        root = _local[key]
-    return f"{root.rstrip('/')}/verdikt-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads that.
-
-    Unlike a cache it outlives executors, and what stands above never runs twice.
-    """
-    path = shared_dir(df.sparkSession)
-    out = df.write
-    if partition_by:
-        out = out.partitionBy(partition_by)
-    out.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Marks a table for broadcast if it has at most max_rows rows, counted; else Spark shuffles it."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

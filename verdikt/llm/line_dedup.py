@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST, SPACE_CHARS, ascii_lower, documents, text_of, written
+from .common import LAST, SPACE_CHARS, ascii_lower, documents, shared_dir, text_of, written
 
 KEY = ["h1", "h2"]
 
@@ -55,7 +55,8 @@ class LineRuns:
     def _write(self, run: DataFrame, level: int) -> str:
         table = f"{self.name}_{self.made}"
         self.made += 1
-        run.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+        path = shared_dir(self.spark)  # the table's files outlive the executor that wrote them
+        run.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(table)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(table)
