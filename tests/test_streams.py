@@ -255,18 +255,32 @@ def test_blocks_change_nothing(spark, stream, monkeypatch):
             assert [v if not isinstance(v, float) else pytest.approx(v, abs=1e-9) for v in x] == list(y)
 
 
-def test_percentiles_of_ties_and_hot_groups(spark):
+@pytest.mark.parametrize("accuracy", [10_000, 100])
+def test_percentiles_of_ties_and_hot_groups(spark, accuracy):
+    """With the whole of each group ranked, and with bounds from a sketch."""
     rng = random.Random(8)
-    rows = [("hot", 1.0)] * 700 + [("hot", rng.random()) for _ in range(600)] + [("one", 5.0), ("two", 1.0), ("two", 2.0), ("none", None)]
-    got = {r["k"]: r for r in metrics.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.99, "d": 1.0}, bins=16).collect()}
-    import numpy as np
-
-    assert set(got) == {"hot", "one", "two"}
+    rows = [("hot", 1.0)] * 700 + [("hot", rng.random()) for _ in range(600)] + [("far", rng.gauss(0, 1e6)) for _ in range(900)] + [("one", 5.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    got = {r["k"]: r for r in metrics.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.99, "d": 1.0, "e": 0.0, "f": 0.731}, accuracy).collect()}
+    assert set(got) == {"hot", "far", "one", "two"}
     for k, r in got.items():
-        assert list(r)[1:] == pytest.approx(list(np.quantile([v for g, v in rows if g == k], [0.1, 0.5, 0.99, 1.0])))
+        assert list(r)[1:] == pytest.approx(list(np.quantile([v for g, v in rows if g == k], [0.1, 0.5, 0.99, 1.0, 0.0, 0.731])))
 
 
 def test_later_duplicates_replace_earlier_ones(spark):
     a = spark.createDataFrame([(1, 10, "t", "good"), (1, 12, "t", "bad"), (2, 20, "t", "good")], "request_index long, seq long, topic string, source_pool string")
     b = spark.createDataFrame([(1, 11, "bad"), (1, 13, "good"), (3, 30, "good")], "request_index long, seq long, source_pool string")
     assert [tuple(r) for r in judging.pairs(a, b).collect()] == [(1, "t", "bad", "good")]
+
+
+@pytest.mark.parametrize("span", [1 << 17, 16])
+def test_as_of_over_blocks(spark, monkeypatch, span):
+    """The last value at or before each row, across blocks without one, on a hot key."""
+    monkeypatch.setattr(seqtest, "SPAN", span)
+    rng = random.Random(2)
+    asked = [("hot", i) for i in range(300)] + [("cold", i) for i in (3, 170, 299)] + [("none", 7)]
+    told = [("hot", i, round(rng.random(), 3)) for i in rng.sample(range(300), 9)] + [("cold", 20, 0.5), ("cold", 170, 0.25)]
+    left, right = spark.createDataFrame(asked, "k string, request_index long"), spark.createDataFrame(told, "k string, request_index long, share double")
+    got = {(r["k"], r["request_index"]): r["share"] for r in traffic.as_of(left, right, ["k"], "request_index", "share", 0.0).collect()}
+    want = {(k, i): max(((j, v) for g, j, v in told if g == k and j <= i), default=(0, 0.0))[1] for k, i in asked}
+    assert got == want
+    assert {r["share"] for r in traffic.as_of(left, right.limit(0), ["k"], "request_index", "share").collect()} == {None}

@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -63,3 +64,9 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
         out = out.partitionBy(partition_by)
     out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside(rows: DataFrame, one_each: DataFrame, key: str | list[str], how: str = "inner", most: int = 100_000) -> DataFrame:
+    """rows joined with a written table of a row a key. It travels to the rows if it is counted at ``most``
+    rows or fewer, so a key that many rows have is not one task; else Spark splits what is skewed."""
+    return rows.join(F.broadcast(one_each) if one_each.limit(most + 1).count() <= most else one_each, key, how)

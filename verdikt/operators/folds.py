@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..cluster import written
+from ..cluster import beside, written
 from . import seqtest
 
 #: Stages of a canary and their traffic shares, first to last, and what follows.
@@ -117,11 +117,6 @@ def _wins(stream: DataFrame, key: str) -> DataFrame:
     return written(stream.select(key, F.col("request_index").cast("long").alias("request_index"), F.col("win").cast("int").alias("win")).dropna(subset=[key, "request_index"]))
 
 
-def _beside(rows: DataFrame, one_each: DataFrame, key: str, how: str = "inner", most: int = 100_000) -> DataFrame:
-    """rows joined with a written table of a row a key, which travels if it has at most ``most`` rows."""
-    return rows.join(F.broadcast(one_each) if one_each.limit(most + 1).count() <= most else one_each, key, how)
-
-
 def canary_transitions(stream: DataFrame, key: str, canary: Canary) -> DataFrame:
     """Transitions of each stream of (key, request_index, win), in order of request_index.
 
@@ -130,23 +125,23 @@ def canary_transitions(stream: DataFrame, key: str, canary: Canary) -> DataFrame
     """
     rows = _wins(stream, key)
     alarms = written(seqtest.cusum(rows, [key], "request_index", canary.p0, canary.p1, canary.h).filter("alarm_at IS NOT NULL").select(key, "alarm_at"))
-    live = _beside(rows, alarms, key, "left").filter("alarm_at IS NULL OR request_index < alarm_at").drop("alarm_at")
+    live = beside(rows, alarms, key, "left").filter("alarm_at IS NULL OR request_index < alarm_at").drop("alarm_at")
     moves, after = [], [*STAGES[1:], FULL]
     for k, (stage, share) in enumerate(after):
         gate = seqtest.mixture_sprt(live, [key], "request_index", canary.p0 - canary.margin, canary.alpha / len(STAGES))
         at = written(gate.filter("reject_at IS NOT NULL").select(key, F.col("reject_at").alias("at")))
         if at.isEmpty():
-            break
+            break  # no stream is in a later stage
         kind = "canary_promoted" if k == len(after) - 1 else "canary_advanced"
         moves.append(at.select(key, F.col("at").alias("request_index"), F.lit(kind).alias("kind"), F.lit(stage).alias("stage"), F.lit(share).alias("share"), F.lit(0).cast("long").alias("verdicts_in_stage")))
-        live = _beside(live, at, key).filter("request_index > at").drop("at")
+        live = beside(live, at, key).filter("request_index > at").drop("at")
     if moves:
         moves = [reduce(DataFrame.unionByName, moves)]
         last = written(moves[0].groupBy(key).agg(F.max("request_index").alias("last"), F.max(F.col("kind") == "canary_promoted").alias("through")))
-        alarms = _beside(alarms, last, key, "left").filter("NOT coalesce(through, false)")
+        alarms = beside(alarms, last, key, "left").filter("NOT coalesce(through, false)")
     else:
         alarms = alarms.withColumn("last", F.lit(None).cast("long"))
-    fallen = _beside(rows, written(alarms.select(key, "alarm_at", "last")), key).filter("request_index <= alarm_at AND (last IS NULL OR request_index > last)")
+    fallen = beside(rows, written(alarms.select(key, "alarm_at", "last")), key).filter("request_index <= alarm_at AND (last IS NULL OR request_index > last)")
     back = fallen.groupBy(key).agg(F.max("alarm_at").alias("request_index"), F.count(F.lit(1)).alias("verdicts_in_stage"))
     back = back.withColumns({"kind": F.lit("canary_rolled_back"), "stage": F.lit(ROLLED_BACK[0]), "share": F.lit(ROLLED_BACK[1])})
     return reduce(DataFrame.unionByName, moves, back.select(key, "request_index", "kind", "stage", "share", "verdicts_in_stage"))
@@ -163,17 +158,17 @@ def rebaselined_alarms(stream: DataFrame, key: str, rule: Rebaseline, gates: Dat
     if gates is None:
         rows = rows.withColumn("gate", F.lit(rule.gate).cast("long"))
     else:
-        rows = _beside(rows, written(gates.select(key, F.col("gate").cast("long"))), key, "left")
+        rows = beside(rows, written(gates.select(key, F.col("gate").cast("long"))), key, "left")
     early = rows.filter("gate IS NULL OR request_index < gate")
     first = seqtest.cusum(early, [key], "request_index", rule.p0, rule.p0 - rule.drop, rule.h).filter("alarm_at IS NOT NULL")
     first = written(first.select(key, F.col("alarm_at").alias("request_index"), F.lit("quality_alarm").alias("kind"), F.lit(rule.p0).alias("p0")))
-    late = _beside(rows.filter("request_index >= gate"), first.select(key), key, "left_anti")
+    late = beside(rows.filter("request_index >= gate"), first.select(key), key, "left_anti")
     late = written(seqtest.numbered(late.select(key, "request_index", "win"), [key], "request_index"))
     learned = late.filter(F.col("n") <= rule.learn).groupBy(key).agg(F.avg("win").alias("p0"), F.count(F.lit(1)).alias("_seen")).filter(F.col("_seen") == rule.learn)
     learned = written(learned.select(key, F.greatest(F.lit(0.1), F.least(F.lit(0.9), "p0")).alias("p0")))
-    after = _beside(late.filter(F.col("n") > rule.learn).drop("n"), learned, key).withColumn("p1", F.col("p0") - rule.drop)
+    after = beside(late.filter(F.col("n") > rule.learn).drop("n"), learned, key).withColumn("p1", F.col("p0") - rule.drop)
     again = seqtest.cusum(after, [key], "request_index", "p0", "p1", rule.h).filter("alarm_at IS NOT NULL").select(key, F.col("alarm_at").alias("request_index"), F.lit("quality_alarm").alias("kind"))
-    return first.unionByName(_beside(again, learned, key))
+    return first.unionByName(beside(again, learned, key))
 
 
 def promoted_arms(stream: DataFrame, p0: float, alpha: float, corrected: bool = True) -> DataFrame:

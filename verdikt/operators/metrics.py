@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..cluster import beside, written
+
 DECISIVE = "winner <> 'tie'"
 
 
@@ -46,36 +49,35 @@ def measured_epsilon(responses: DataFrame, lo: int, hi: int) -> DataFrame:
     return rows.agg(nonempty(F.avg(bad), n, f"responses in [{lo}, {hi})").alias("epsilon"), n.alias("n"))
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], bins: int = 256) -> DataFrame:
+def percentiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """by and exact percentiles (linear between neighbours) by name; nulls are left out.
 
-    A sketch a group cuts values into bins; counting the bins tells which hold the ranks asked
-    for, and only those are ranked, value by value with their numbers. No task sees a group.
+    A sketch a group gives bounds about each rank asked for, a few ``accuracy``-ths of the group
+    apart. One pass counts what is below them, and only the different values between them are
+    ranked, with their numbers. A rank that a sketch has missed is an error, not a wrong value.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
-    marker = F.lit(1).alias("_all")
-    rows = rows.select(*by, "_v") if by else rows.select("_v", marker)
-    own = by or ["_all"]
-    edges = [i / bins for i in range(1, bins)]
-    cuts = rows.groupBy(*own).agg(F.array_distinct(F.percentile_approx("_v", edges, 10 * bins)).alias("_cuts"))
-    binned = rows.join(cuts, own).select(*own, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bin"))
-    counts = binned.groupBy(*own, "_bin", "_v").agg(F.count(F.lit(1)).alias("_k"))
-    sizes = counts.groupBy(*own, "_bin").agg(F.sum("_k").alias("_k"))
-    total, before = F.sum("_k").over(W.partitionBy(*own)), F.sum("_k").over(W.partitionBy(*own).orderBy("_bin")) - F.col("_k")
-    sizes = sizes.select(*own, "_bin", "_k", total.alias("_n"), before.alias("_before"))
-    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in qs.items()]))
-    wanted = sizes.withColumn("_q", asked).withColumn("_at", F.col("_q.q") * (F.col("_n") - 1))
-    ranks = F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))
-    wanted = wanted.withColumn("_rank", ranks).filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_k")))
-    wanted = wanted.select(*own, "_bin", "_before", F.col("_q.name").alias("_name"), "_at", "_rank")
-    places = counts.join(wanted.select(*own, "_bin").distinct(), [*own, "_bin"], "left_semi")
-    upto = F.sum("_k").over(W.partitionBy(*own, "_bin").orderBy("_v"))
-    places = places.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_k"))
-    rank = F.col("_rank") - F.col("_before")
-    hit = places.join(wanted, [*own, "_bin"]).filter((rank >= F.col("_from")) & (rank < F.col("_upto")))
-    share = F.when(F.floor("_at") == F.ceil("_at"), 1.0).when(F.col("_rank") == F.floor("_at"), F.ceil("_at") - F.col("_at")).otherwise(F.col("_at") - F.floor("_at"))
-    named = [F.sum(F.when(F.col("_name") == n, F.col("_v") * share)).alias(n) for n in qs]
-    return hit.groupBy(*own).agg(*named).select(*by, *qs)
+    rows = rows if by else rows.withColumn("_all", F.lit(1))
+    own, margin = by or ["_all"], 4 / accuracy
+    ends = [max(0.0, q - margin) for q in qs.values()] + [min(1.0, q + margin) for q in qs.values()]
+    # neighbours of a small group are farther apart than the margin: all of it is ranked
+    sketch = F.when(F.count(F.lit(1)) > accuracy, F.percentile_approx("_v", ends, accuracy))
+    rows = beside(rows, written(rows.groupBy(*own).agg(sketch.alias("_c"))), own)
+    v, cut = F.col("_v"), lambda i: F.get("_c", F.lit(i))
+    asked = [(i, name, q, F.coalesce(v < cut(i), F.lit(False)), F.coalesce(v <= cut(i + len(qs)), F.lit(True))) for i, (name, q) in enumerate(qs.items())]
+    counts = written(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(below.cast("long")).alias(f"_below{i}") for i, _, _, below, _ in asked]))
+    inside = reduce(lambda a, b: a | b, [~below & upto for *_, below, upto in asked])
+    near = beside(rows.filter(inside).groupBy(*own, "_v").agg(F.count(F.lit(1)).alias("_k"), F.first("_c").alias("_c")), counts, own)
+    at = [F.struct(F.lit(i).alias("i"), F.col(f"_below{i}").alias("below"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at"), (~below & upto).alias("own")) for i, _, q, below, upto in asked]
+    near = near.select(*own, "_v", "_k", F.explode(F.array(*at)).alias("_q")).filter("_q.own")
+    upto = F.col("_q.below") + F.sum("_k").over(W.partitionBy(*own, "_q.i").orderBy("_v"))
+    low, high = F.floor("_q.at"), F.ceil("_q.at")
+    near = near.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_k"))
+    holds = lambda rank: (rank >= F.col("_from")) & (rank < F.col("_upto"))
+    share = F.when(holds(low), 1 - (F.col("_q.at") - low)).otherwise(0.0) + F.when(holds(high), F.col("_q.at") - low).otherwise(0.0)
+    found = near.groupBy(*own, F.col("_q.i").alias("_i")).agg(F.sum(F.when(share > 0, F.col("_v") * share)).alias("_p"), (F.max(holds(low)) & F.max(holds(high))).alias("_sure"))
+    told = F.when(F.col("_sure"), F.col("_p")).otherwise(F.raise_error(F.lit("a sketch missed a rank: ask for more accuracy")).cast("double"))
+    return found.groupBy(*own).agg(*[F.max(F.when(F.col("_i") == i, told)).alias(name) for i, name, *_ in asked]).select(*by, *qs)
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

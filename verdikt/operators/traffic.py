@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import below, normal, uniform
+from . import seqtest
+
 
 def requests(events: DataFrame) -> DataFrame:
     """request_index, topic, arm, value of an event table."""
@@ -106,16 +108,22 @@ def pool_join(df: DataFrame, pool: DataFrame, max_broadcast: int = 1_000_000) ->
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], order: str, value: str, default: object = None) -> DataFrame:
-    """left plus the last ``value`` of right at or before its order value, per key.
+    """left plus the last ``value`` of right at or before its order value (an integer), per key.
 
-    A union and a running last: one shuffle on the key, no range join."""
+    A union and a running last within blocks of order values; a row a block carries the last value
+    over to the blocks behind. No range join, and a key is no single task.
+    """
     cols = left.columns
     both = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1))
     other = right.select(*key, order, F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    w = W.partitionBy(*key).orderBy(order, "_side").rowsBetween(W.unboundedPreceding, 0)
-    seen = F.last("_v", ignorenulls=True).over(w)
-    both = both.unionByName(other, allowMissingColumns=True).withColumn(value, F.coalesce(seen, F.lit(default)) if default is not None else seen)
-    return both.filter("_side = 1").select(*cols, value)
+    both = both.unionByName(other, allowMissingColumns=True).withColumn("_block", F.floor(F.col(order) / seqtest.SPAN))
+    ends = both.groupBy(*key, "_block").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_end"))
+    before = W.partitionBy(*key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    within = W.partitionBy(*key, "_block").orderBy(order, "_side").rowsBetween(W.unboundedPreceding, 0)
+    own = both.withColumn("_own", F.last("_v", ignorenulls=True).over(within)).filter("_side = 1")
+    seen = F.coalesce("_own", "_carried", *([F.lit(default)] if default is not None else []))
+    return own.join(ends, [*key, "_block"], "left").withColumn(value, seen).select(*cols, value)
 
 
 def expected_pairs(spark: SparkSession, n: int, seed: int, rate: float) -> int:
