@@ -394,7 +394,8 @@ def test_toxicity(spark, empty):
     model = toxicity.fit_toxicity(df, known.filter("doc_id % 3 <> 1 or doc_id % 2 = 0"))
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, model).collect()}
     assert all((got[i] >= 0.7) == (i % 3 == 0) for i in range(300)) and got[902] >= 0.7 > max(got[900], got[901], got[903])
-    assert toxicity.quotation('he said the word "idiot" was'.split(), 4) > 0.9 > toxicity.quotation("you are an idiot now".split(), 3) == 0
+    assert toxicity.signs('he said the word "idiot" was'.split(), 4) == {"he", "said", "the", "word", "was", toxicity.MARKS}
+    assert toxicity.signs("you are an idiot now".split(), 3) == {"you", "are", "an", "now"}
     blank = toxicity.fit_toxicity(empty, known.limit(0))
     assert toxicity.score_toxicity(df, blank).agg(F.max("score")).first()[0] < 0.01
 
