@@ -144,7 +144,8 @@ def canary_transitions(stream: DataFrame, key: str, canary: Canary) -> DataFrame
     fallen = beside(rows, written(alarms.select(key, "alarm_at", "last")), key).filter("request_index <= alarm_at AND (last IS NULL OR request_index > last)")
     back = fallen.groupBy(key).agg(F.max("alarm_at").alias("request_index"), F.count(F.lit(1)).alias("verdicts_in_stage"))
     back = back.withColumns({"kind": F.lit("canary_rolled_back"), "stage": F.lit(ROLLED_BACK[0]), "share": F.lit(ROLLED_BACK[1])})
-    return reduce(DataFrame.unionByName, moves, back.select(key, "request_index", "kind", "stage", "share", "verdicts_in_stage"))
+    moves.append(back.select(key, "request_index", "kind", "stage", "share", "verdicts_in_stage"))
+    return reduce(DataFrame.unionByName, moves).orderBy(key, "request_index")  # five a stream at most
 
 
 def rebaselined_alarms(stream: DataFrame, key: str, rule: Rebaseline, gates: DataFrame | None = None) -> DataFrame:
