@@ -107,6 +107,29 @@ def test_rows_go_in_order_and_only_what_is_due_is_read():
     assert [(i, t, v) for t, i, v in rows] == order and not service.waiting and len(read) == len(set(read))
 
 
+def test_calls_grow_with_chunks_and_not_with_buckets():
+    """A long micro-batch takes one timer and a value a chunk; chunks that are due in part are split in order."""
+    order, calls = [], []
+
+    class Seen(services.Ordered):
+        def take(self, key, rows, now):
+            order.extend(rows)
+            yield from ()
+
+    service = started(Seen())
+    for name in ("updateValue", "getValue"):
+        setattr(service.waiting, name, lambda *a, plain=getattr(service.waiting, name): calls.append(1) or plain(*a))
+    timer = service.handle.registerTimer
+    service.handle.registerTimer = lambda t: calls.append(1) or timer(t)
+    rows = [(i * 20_000, i, str(i % 3)) for i in range(20_000)]
+    deliver(service, random.Random(4).sample(rows[:15_000], 15_000), 0)
+    deliver(service, rows[15_000:], 7_000 * 20_000)
+    assert len(order) == 7_000 - 7_000 % 3 and len(service.handle.timers) == 1
+    deliver(service, [], 10**12)
+    assert [(t, i, v) for i, t, v in order] == rows and not service.waiting and not service.handle.timers
+    assert len(calls) < 25
+
+
 @pytest.mark.parametrize("window,stride,n", [(200, 50, 1500), (1500, 70, 6000), (100_000, 5000, 260_000), (7, 1, 90)])
 def test_drift_ring_against_whole_windows(window, stride, n):
     rng = np.random.default_rng(window)

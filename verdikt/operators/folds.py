@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -200,14 +200,17 @@ class Decision:
     def reset(self, st: dict) -> None:
         st.update(alarm=Rebaseline.start(), gate=Canary.start())
 
+    @cached_property
+    def _tests(self) -> tuple[Rebaseline, Canary]:
+        """The alarm, and the gate of a canary's first stage, with the whole alpha and no margin."""
+        return Rebaseline(self.p0, self.p0 - self.p1, self.h), Canary(self.p0, self.p1, math.inf, 1e-12, min(0.999999, self.alpha * len(STAGES)))
+
     def step(self, st: dict, win: int, index: int) -> list[str]:
         out = []
-        alarm = Rebaseline(self.p0, self.p0 - self.p1, self.h)
+        alarm, gate = self._tests
         if not st["alarmed"] and alarm.step(st["alarm"], win, index):
             st["alarmed"] = 1
             out.append("quality_alarm")
-        # the gate of a canary's first stage, with the whole alpha and no margin
-        gate = Canary(self.p0, self.p1, math.inf, 1e-12, min(0.999999, self.alpha * len(STAGES)))
         if not st["promoted"] and gate.step(st["gate"], win):
             st["promoted"] = 1
             out.append("promotion")

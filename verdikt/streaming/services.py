@@ -1,7 +1,7 @@
 """Stateful services of a live rollout, chained within one query.
 
 Rows wait in state until the watermark has passed them, then go on in order of request_index.
-They wait in buckets of event time, so a micro-batch writes what came and reads what is due,
+They wait in chunks of event time, so a micro-batch writes what came and reads what is due,
 never all that waits. What a service tells carries an event time just behind the watermark at
 which it was told: a service that reads it has not yet let go of any row at or after the one it
 speaks of, as that service's watermark is the same or an earlier one. So alarms reset tests, and
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from abc import abstractmethod
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,43 +30,66 @@ from ..operators.folds import Canary, Decision, Drift, Rebaseline
 TOLD = "run_id string, request_index long, kind string, detail string, at long, ts timestamp"
 #: Milliseconds of event time that wait and go together.
 BUCKET = 60_000
+#: Rows in a chunk of what waits, and the rest of its last bucket.
+CHUNK = 4096
 #: Categories in a block of a drift monitor's ring.
 BLOCK = 1024
 
 
 class Ordered(StatefulProcessor):
-    """Lets rows (at, request_index, value) of a key go in order of (request_index, value) once the watermark has passed them."""
+    """Lets rows (at, request_index, value) of a key go in order of (request_index, value) once the watermark has passed them.
+
+    What a micro-batch brings waits in chunks of whole buckets, each named by the first bucket in it. A
+    chunk that is due in part is split: what is left is named by its own first bucket. A key has one
+    timer, for the first bucket that waits, so a micro-batch costs no more calls than it has chunks.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "bucket long, part long", "rows string")
         self.parts = handle.getValueState("parts", "n long")
 
+    def _wake(self, bucket: int, now: int, gone: int = -1) -> None:
+        """Has a timer by the time the bucket is due; those up to ``gone`` have rung."""
+        due = max(now + 1, (bucket + 1) * BUCKET)
+        if not any(gone < t <= due for t in self.handle.listTimers()):
+            self.handle.registerTimer(due)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list[tuple[int, int, str]]] = {}
+        new: list[tuple[int, int, str]] = []
         for p in rows:
-            for at, index, value in zip(p["at"].tolist(), p["request_index"].tolist(), p["value"].tolist()):
-                new.setdefault(at // BUCKET, []).append((index, at, value))
+            new += zip(p["request_index"].tolist(), p["at"].tolist(), p["value"].tolist())
         if new:
             part = self.parts.get()[0] + 1 if self.parts.exists() else 0
             self.parts.update((part,))
-            now = max(0, timerValues.getCurrentWatermarkInMs())
-            timers = set(self.handle.listTimers())
-            for bucket, own in new.items():
-                self.waiting.updateValue((bucket, part), (json.dumps(own),))
-                due = max(now + 1, (bucket + 1) * BUCKET)
-                if due not in timers:
-                    timers.add(due)
-                    self.handle.registerTimer(due)
+            new.sort(key=lambda r: r[1])
+            at = 0
+            while at < len(new):
+                end = min(at + CHUNK, len(new))
+                last = new[end - 1][1] // BUCKET
+                while end < len(new) and new[end][1] // BUCKET == last:
+                    end += 1
+                self.waiting.updateValue((new[at][1] // BUCKET, part), (json.dumps(new[at:end]),))
+                at = end
+            self._wake(new[0][1] // BUCKET, max(0, timerValues.getCurrentWatermarkInMs()))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        due = [k for k in self.waiting.keys() if (k[0] + 1) * BUCKET <= now]
-        rows = []
-        for k in due:
-            rows += [tuple(r) for r in json.loads(self.waiting.getValue(k)[0])]
+        rows, left = [], []
+        for k in list(self.waiting.keys()):
+            if (k[0] + 1) * BUCKET > now:
+                left.append(k[0])
+                continue
+            held = [tuple(r) for r in json.loads(self.waiting.getValue(k)[0])]
             self.waiting.removeKey(k)
+            end = bisect_left(held, now // BUCKET, key=lambda r: r[1] // BUCKET)
+            rows += held[:end]
+            if held[end:]:
+                left.append(held[end][1] // BUCKET)
+                self.waiting.updateValue((left[-1], k[1]), (json.dumps(held[end:]),))
+        if left:
+            self._wake(min(left), now, now)
         if rows:
             rows.sort(key=lambda r: (r[0], r[2]))
             yield from self.take(key, rows, now)
