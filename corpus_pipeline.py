@@ -1,7 +1,8 @@
 """From raw documents to token files: five stages, each written before the next reads it.
 
 Language ID drops documents whose language cannot be told, near-dedup keeps one document
-of each group of texts that share 0.8 of their word shingles, decontamination drops documents
+of each group of texts whose SimHash fingerprints differ in two bits or fewer or that share 0.8
+of their word shingles, decontamination drops documents
 that hold a benchmark item, mixing repeats or drops documents towards the sources' target
 weights, and token output encodes what is left and returns its index.
 

@@ -68,6 +68,18 @@ def test_near_dedup_takes_five_words_and_similarity(spark):
     assert len(set(root)) < len(set(least_of_components(len(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)))
 
 
+def test_near_dedup_links_fingerprints_too(spark):
+    """Repeated words make fingerprints alike where the sets of shingles are not."""
+    rng = random.Random(6)
+    often = words(rng, 5)  # an odd number of shingles: no bit is a tie
+    texts = [" ".join([often] * 300 + [words(rng, 20)]) for _ in range(3)] + [words(rng, 50) for _ in range(5)]
+    prints = [brute_print(t) for t in texts]
+    root = least_of_components(len(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(set(root)) == [0, *range(3, 8)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == sorted(set(root))
+
+
 def test_empty_unlabelled_and_clashing_tables(spark, tmp_path):
     """No documents, no labels, no benchmark, and columns named as the stages' own."""
     rng = random.Random(2)

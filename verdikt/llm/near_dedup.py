@@ -1,7 +1,8 @@
-"""Near-dedup by the Jaccard similarity of word shingles, for the pipeline.
+"""Near-dedup by SimHash and by the Jaccard similarity of word shingles, for the pipeline.
 
+Texts whose SimHash fingerprints differ in two bits or fewer are linked, by ball hashing.
 SimHash puts texts of similarity 0.8 up to a dozen bits apart, which ball hashing does
-not reach, so candidates are found by MinHash: ``BANDS`` bands of ``ROWS`` minima. A
+not reach, so more links are found by MinHash: ``BANDS`` bands of ``ROWS`` minima. A
 pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS, which is
 0.9999 at 0.8. Candidates are verified by their exact shingle sets, and connected
 components run over the distinct texts that are linked.
@@ -31,7 +32,8 @@ from xxhash import xxh64_intdigest
 from .common import bounded_broadcast, ship, text_of, written
 from .components import components
 from .order_minhash import mix64
-from .simhash import first_rows
+from .simhash import fingerprint, first_rows
+from .simhash import links as ball_links
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, ORDERS, MORE = 24, 5, 3, 8
@@ -76,7 +78,8 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t) for t in b.column("text").to_pylist()]
         made = np.array([bands(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(made))
-        yield pa.RecordBatch.from_arrays([b.column("th"), pa.array([len(s) for s in sets], pa.int64()), lists], ["th", "n", "bands"])
+        prints = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("th"), pa.array([len(s) for s in sets], pa.int64()), lists, pa.array(prints)], ["th", "n", "bands", "fp"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +130,20 @@ def _shared(rows: DataFrame) -> DataFrame:
     return written(rows.join(several, "key", "left_semi"))
 
 
+def printed(texts: DataFrame) -> DataFrame:
+    """(u, v): every text of (th, fp), with the least text of its component of fingerprints, but for that one."""
+    nodes = written(texts.groupBy("fp").agg(F.min("th").alias("least")))
+    roots = components(ball_links(nodes)).withColumnRenamed("node", "fp")
+    nodes = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    leads = nodes.groupBy("root").agg(F.min("least").alias("v"))
+    return texts.join(nodes.join(leads, "root").select("fp", "v"), "fp").filter("th <> v").select(F.col("th").alias("u"), "v")
+
+
 def links(texts: DataFrame) -> DataFrame:
-    """(u, v): pairs of text hashes of similarity SIMILARITY at least; texts has th and text, once each."""
+    """(u, v): links between text hashes, by fingerprint or of similarity SIMILARITY at least; texts has th and text, once each."""
     ship(texts.sparkSession)
     texts = texts.select("th", F.col("text").cast("binary").alias("text"))
-    made = written(texts.mapInArrow(_banded, "th long, n long, bands array<long>"))
+    made = written(texts.mapInArrow(_banded, "th long, n long, bands array<long>, fp long"))
     rows = made.select("th", "n", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("of")).filter("of > 1")
     rows = written(rows.join(sizes, "key"))
@@ -139,7 +151,7 @@ def links(texts: DataFrame) -> DataFrame:
     rows = written(rows.drop("of").join(fame, "th"))
     texts = written(texts.join(fame.select("th"), "th", "left_semi"))
     # a text without a link is a class of its own
-    found = written(_led(rows.withColumn("class", F.col("th")), texts, F.struct(-F.col("fame"), "th")))
+    found = written(_led(rows.withColumn("class", F.col("th")), texts, F.struct(-F.col("fame"), "th")).unionByName(printed(made.select("th", "fp"))))
     classes = components(found).toDF("th", "class")
     rest = _shared(rows.join(classes, "th", "left").withColumn("class", F.coalesce("class", "th")))
     return found.unionByName(_led(rest, texts, F.struct(F.xxhash64("th", F.col("band") % ORDERS), "th")))
