@@ -130,3 +130,18 @@ def test_stream_of_arrivals(spark, tmp_path):
         once = store.arrivals().dropDuplicates(["run_id", "seq"])
         once.writeStream.format("parquet").option("path", got).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(keys(spark.read.parquet(got).select("run_id", F.col("seq")))) == [("a", 2), ("a", 5)]
+
+
+def test_a_long_page_meets_in_no_task(spark):
+    """Slices are cut where the page ends, at every size and with more slices than rows."""
+    rows = spark.range(997).select(*[F.lit(None).cast(t).alias(c) for c, t in log.EVENT_COLUMNS if c != "seq"], F.col("id").alias("seq"), (F.col("id") * 37 % 5).alias("arrival"), (F.col("id") * 101 % 997).alias("place"))
+    rows = rows.repartition(7).select(*log.STORED_COLUMNS)
+    want = sorted((r["arrival"], r["place"]) for r in rows.collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for limit in (0, 1, 199, 200, 500, 996, 997, 2000):
+            page = log._first_arrived(rows, limit, most=0)
+            assert page.columns == log.STORED_COLUMNS and sorted((r["arrival"], r["place"]) for r in page.collect()) == want[:limit]
+        assert len(log._first_arrived(rows, 900, most=0).inputFiles()) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
