@@ -2,10 +2,11 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 
-from verdikt.llm import suffix_dedup
+from verdikt.llm import lm_scoring, suffix_dedup
 
 
 def peak(f):
@@ -33,3 +34,32 @@ def test_suffix_array_by_small_parts():
             sa, rank = suffix_dedup.suffix_array(text, most)
             assert sa.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
             assert rank.tolist() == np.argsort(sa).tolist()
+
+
+def test_counting_holds_few_bytes_for_each_key_and_passes_them_on():
+    rng = np.random.default_rng(6)
+    blocks = [rng.integers(0, 1 << 40, 100_000).astype(np.uint64) for _ in range(40)]
+
+    def count():
+        t, got = lm_scoring.Tally(1_000_000), []
+        for i, b in enumerate(blocks):
+            t.add(b, i % 5 != 1)
+            if t.full():
+                got += [(len(k), int(n.sum())) for k, n in t.drain()]
+        return got + [(len(k), int(n.sum())) for k, n in t.drain()]
+
+    got, most = peak(count)
+    assert sum(n for _, n in got) == 32 * 100_000 and sum(k for k, _ in got) > 3_900_000
+    assert most < 80_000_000
+
+
+def test_counts_are_of_training_and_keys_of_all(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", 50)
+    rng, t, want = np.random.default_rng(1), lm_scoring.Tally(), Counter()
+    for i in range(60):
+        keys = rng.integers(0, 300, 33).astype(np.uint64)
+        t.add(keys, i % 3 != 1)
+        for k in keys.tolist():
+            want[k] += i % 3 != 1
+    assert dict(x for k, n in t.drain() for x in zip(k.tolist(), n.tolist())) == want
+    assert not list(t.drain())

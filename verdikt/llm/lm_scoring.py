@@ -42,8 +42,8 @@ from .order_minhash import mix64
 #: The README has the code length by depth: what deeper trees gain, and what their grams cost.
 DEPTH = 6
 END = b"\n"
-#: Bytes counted or looked up at once.
-CHUNK = 1 << 22
+#: Keys that wait to be counted, and different ones that a task keeps before it passes them on.
+CHUNK, KEPT = 1 << 20, 4_000_000
 RESIDENT = 2_000_000
 SHARE = 1 << 21
 _U = np.uint64
@@ -66,52 +66,77 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
 
 
 class Tally:
-    """Counts of 64-bit keys, in training and in all texts, in bounded memory while it reads."""
+    """Training counts of 64-bit keys, 0 for those of other texts, in bounded memory: about ``most`` keys are kept."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.waiting: list[np.ndarray] = []
+    def __init__(self, most: int = KEPT) -> None:
+        self.most = most
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # sorted, each more than twice as long as the next
+        self.waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.waiting.append(keys)
+    def add(self, keys: np.ndarray, train: bool = True) -> None:
+        self.waiting[train].append(keys)
         self.size += len(keys)
         if self.size >= CHUNK:
             self.settle()
 
     def settle(self) -> None:
-        if self.waiting:
-            self.parts.append(np.unique(np.concatenate(self.waiting), return_counts=True))
-            self.waiting, self.size = [], 0
-        if len(self.parts) > 3:
-            self.parts = [self.total()]
+        for train, waiting in self.waiting.items():
+            if waiting:
+                keys = np.concatenate(waiting)
+                waiting.clear()
+                keys, n = np.unique(keys, return_counts=True)
+                self.parts.append((keys, n if train else n * 0))
+                del keys, n
+                while len(self.parts) > 1 and len(self.parts[-2][0]) <= 2 * len(self.parts[-1][0]):
+                    self.merge()
+        self.size = 0
+
+    def merge(self) -> None:
+        """The last two parts become one."""
+        (b, n), (a, m) = self.parts.pop(), self.parts.pop()
+        at = np.searchsorted(a, b)
+        new = (at == len(a)) | (a[np.minimum(at, len(a) - 1)] != b)  # no part is empty: a text has an end at least
+        m[at[~new]] += n[~new]
+        a = np.insert(a, at[new], b[new])
+        self.parts.append((a, np.insert(m, at[new], n[new])))
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) == 1:
-            return self.parts[0]
-        keys, n = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
-        self.parts = []
-        order = np.argsort(keys, kind="stable")  # merges runs that are sorted already
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[first], np.add.reduceat(n, first) if len(first) else n
+        while len(self.parts) > 1:
+            self.merge()
+        return self.parts[0]
+
+    def full(self) -> bool:
+        return sum(len(keys) for keys, _ in self.parts) >= self.most
+
+    def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts in pieces; what is told is forgotten, and keys may be told again later."""
+        self.settle()
+        if self.parts:
+            keys, n = self.total()
+            self.parts = []
+            for at in range(0, len(keys), 1 << 16):
+                yield keys[at : at + (1 << 16)], n[at : at + (1 << 16)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tallies = {(kind, train): Tally() for kind in ("gram", "word") for train in (True, False)}
+    tallies = {"gram": Tally(), "word": Tally()}
+
+    def told(kind: str) -> Iterator[pa.RecordBatch]:
+        for k, n in tallies[kind].drain():
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(k)), pa.array(k.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+
     for b in batches:
-        for text, train in zip(b.column("text").to_pylist(), b.column("train").to_pylist()):
-            words = tokens_of(text)
-            tallies["gram", train].add(grams_of(words))
+        for text, train in zip(b.column("text"), b.column("train").to_pylist()):
+            words = tokens_of(text.as_py())
+            tallies["gram"].add(grams_of(words), train)
             if train:
-                tallies["word", True].add(hashes_of(words))
-    for (kind, train), t in tallies.items():
-        t.settle()
-        if t.parts:
-            keys, n = t.total()
-            for at in range(0, len(keys), 1 << 16):
-                k, c = keys[at : at + (1 << 16)].view(np.int64), n[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(k)), pa.array(k), pa.array(c if train else c * 0)], ["kind", "key", "n"])
+                tallies["word"].add(hashes_of(words), True)
+            for kind, t in tallies.items():
+                if t.full():
+                    yield from told(kind)
+    for kind in tallies:
+        yield from told(kind)
 
 
 def log_gamma(z: np.ndarray) -> np.ndarray:
