@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import written
+from ..cluster import spread, written
 from .folder import Folder
 
 EVENT = "run_id string, seq long, type string, payload string, ts double"
@@ -245,7 +245,7 @@ def _first_arrived(rows: DataFrame, limit: int, most: int = 100_000) -> DataFram
 
 
 def fresh(events: DataFrame, log: DataFrame) -> DataFrame:
-    return events.dropDuplicates(["run_id", "seq"]).join(log.select("run_id", "seq"), ["run_id", "seq"], "left_anti").select(*events.columns)
+    return spread(events, "run_id", "seq").dropDuplicates(["run_id", "seq"]).join(log.select("run_id", "seq"), ["run_id", "seq"], "left_anti").select(*events.columns)
 
 
 class JdbcLog:
