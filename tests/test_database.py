@@ -4,6 +4,7 @@ import sqlite3
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from verdikt.sources import log
@@ -79,3 +80,14 @@ def test_stream_delivers_twice(spark, tmp_path):
     for k in range(2):
         store.append_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / f"cp{k}")).awaitTermination()
     assert store.read("a").count() == 50
+
+
+def test_names_are_looked_up_once_a_task(spark, tmp_path, monkeypatch):
+    """Rows in another order of columns, through a writer that may not ask a row by name."""
+    store, seen = store_at(spark, tmp_path), []
+    rows = [Row("ts", "payload", "type", "seq", "run_id")(float(i), "{}", "t", i, "a") for i in range(20)]
+    monkeypatch.setattr(Row, "__getitem__", lambda self, k: seen.append(k))
+    store.send(iter(rows))
+    monkeypatch.undo()
+    assert not seen
+    assert sorted((r["run_id"], r["seq"], r["ts"]) for r in store.read_all().collect()) == [("a", i, float(i)) for i in range(20)]

@@ -88,7 +88,15 @@ def _sqlite(spark: SparkSession) -> DatabaseLog:
     path = shared_dir(spark).removeprefix("file://").rsplit("/", 1)
     os.makedirs(path[0], exist_ok=True)
     name = f"{path[0]}/{path[1]}.db"
-    store = DatabaseLog(spark, lambda: sqlite3.connect(name, timeout=60))
+
+    def connect() -> sqlite3.Connection:
+        connection = sqlite3.connect(name, timeout=60)
+        # writers append to a journal that is copied into the table now and then; a commit waits for no disk
+        connection.execute("PRAGMA journal_mode = WAL")
+        connection.execute("PRAGMA synchronous = NORMAL")
+        return connection
+
+    store = DatabaseLog(spark, connect)
     store.create()
     return store
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,13 +65,17 @@ class DatabaseLog:
             connection = connect()
             try:
                 out = Inserter(connection, insert, rows, seconds)
+                at = None
                 for r in wanted:
-                    out.add(tuple(r[c] for c in COLUMNS))
+                    at = at or itemgetter(*map(r.__fields__.index, COLUMNS))  # names are looked up once, not in every row
+                    out.add(at(tuple(r)))
                 out.flush()
             finally:
                 connection.close()
             return WriterCommitMessage()
 
+        self.send = send
+
         # rows of a task that failed may stay: they are the same when it runs again
         class Writer(DataSourceWriter):
             def write(self, iterator: Iterator) -> WriterCommitMessage:
