@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from verdikt.llm import token_output
+from verdikt.llm import near_dedup, token_output
 from verdikt.llm.common import written
 
 from .test_operators import brute_print, least_of_components, words
@@ -96,3 +96,49 @@ def test_empty_unlabelled_and_clashing_tables(spark, tmp_path):
             if stage_name == "decontamination":
                 assert docs.count() == (12 if rows else 0)
         assert corpus_pipeline.STAGES[4][1](spark, docs, sf).count() == docs.count()
+
+
+def test_near_dedup_texts_that_only_resemble_stay_apart(spark, monkeypatch):
+    """Texts of similarity near 0.6 share bands with each other; their counts rule them out, in whatever blocks."""
+    rng = random.Random(8)
+    head = words(rng, 150)
+    texts = [f"{head} {words(rng, 45)}" for _ in range(40)]
+    linked = texts[3].split(" ")
+    linked[100] = "other"
+    texts.append(" ".join(linked))
+    met = []
+    near = near_dedup._near
+
+    def counted(pairs, *more):
+        pairs = written(pairs)
+        met.append(pairs.count())
+        return near(pairs, *more)
+
+    monkeypatch.setattr(near_dedup, "_near", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (3, 256):
+        monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+        met.clear()
+        assert sorted(r["doc_id"] for r in near_dedup.deduplicated(docs).collect()) == list(range(40))
+        assert len(met) == 2 and met[1] <= 1
+
+
+def test_counts_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 2, 5, 60, 127, 128, 140, 1000, 40_000):
+        own = rng.integers(0, 1 << 63, n, np.uint64)
+        for k in (0, n // 20, n // 9, n // 4, n // 2):
+            sets.append(np.unique(np.append(own[k:], rng.integers(0, 1 << 63, k, np.uint64))))
+            sets.append(np.unique(own[: n - k])) if n > k else None
+    sets += [np.arange(1000, dtype=np.uint64) << np.uint64(40)] * 2  # too many hashes of one value
+    n, made = np.array(list(map(len, sets))), list(map(near_dedup.counts, sets))
+    assert made[-1] == b""
+    size = len(sets)
+    want = {(i, j) for i in range(size) for j in range(i + 1, size) if near_dedup.similarity(sets[i], sets[j]) >= 0.8}
+    got = lambda kinds, side: {(min(p), max(p)) for p in zip(*(x.tolist() for x in near_dedup.alike(n, kinds, side, made)))}
+    found = got(np.arange(size), np.zeros(size, np.int64))
+    assert want <= found and len(found) < 1.5 * len(want)
+    side = np.arange(size) % 3 % 2
+    assert {p for p in want if side[p[0]] != side[p[1]] and p[0] // 2 != p[1] // 2} <= got(np.arange(size) // 2, side)
+    assert all(side[i] != side[j] and i // 2 != j // 2 for i, j in got(np.arange(size) // 2, side))
