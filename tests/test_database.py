@@ -1,14 +1,17 @@
 """The database sink: one row a key through two writers, killed tasks and repeated batches."""
 
+import random
 import sqlite3
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from verdikt.sources import log
-from verdikt.sources.database import DatabaseLog, Inserter
+from verdikt.sources.database import COLUMNS, DatabaseLog, Inserter, _values
 
 
 def store_at(spark, path, **more):
@@ -91,3 +94,54 @@ def test_names_are_looked_up_once_a_task(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert not seen
     assert sorted((r["run_id"], r["seq"], r["ts"]) for r in store.read_all().collect()) == [("a", i, float(i)) for i in range(20)]
+
+
+def test_several_databases(spark, tmp_path):
+    """Two jobs at once and a stream that repeats itself leave each key in one of three databases."""
+    connects = [partial(sqlite3.connect, str(tmp_path / f"{k}.db"), timeout=60) for k in range(3)]
+    store, keys = DatabaseLog(spark, connects), [(r, i) for r in "ab" for i in range(-5, 400)]
+    store.create()
+    rows = events(spark, random.Random(1).sample(keys, len(keys))).repartition(3)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: store.append(rows.filter(F.pmod("seq", F.lit(3)) != k)), range(2)))
+    timed = rows.withColumn("ts", F.timestamp_seconds("seq")).withColumn("seq", F.col("seq").cast("int"))
+    timed.unionByName(timed).write.parquet(str(tmp_path / "in"))
+    store.append_stream(spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
+    held = [[tuple(r) for r in c().execute("SELECT run_id, seq FROM events")] for c in connects]
+    assert all(100 < len(h) < 500 for h in held)
+    assert sorted(sum(held, [])) == keys
+    assert sorted(map(tuple, store.read_all().collect())) == [(r, i, "request_received", f'{{"i": {i}}}', float(i)) for r, i in keys]
+
+
+def test_a_task_sends_in_order_of_keys_and_each_database_from_one_task(spark, tmp_path):
+    names = [str(tmp_path / f"{k}.db") for k in range(3)]
+
+    def opened(k):
+        with open(f"{names[k]}.log", "a") as f:
+            f.write("x")
+        return sqlite3.connect(names[k], timeout=60)
+
+    store = DatabaseLog(spark, [partial(opened, k) for k in range(3)])
+    store.create()
+    keys = [(r, i) for r in "ab" for i in range(300)]
+    store.append(events(spark, random.Random(2).sample(keys, 600)).repartition(7))
+    assert [len(open(f"{n}.log").read()) for n in names] == [2, 2, 2]  # when made, and by one task
+    for n in names:
+        at = sqlite3.connect(n).execute("SELECT run_id, seq FROM events ORDER BY rowid").fetchall()
+        assert at and at == sorted(at)
+
+
+def test_rows_must_name_one_of_several_databases(spark, tmp_path):
+    store = DatabaseLog(spark, [partial(sqlite3.connect, str(tmp_path / f"{k}.db")) for k in range(2)])
+    store.create()
+    row = Row(*COLUMNS, "database")("a", 1, "t", "{}", 0.0, 1)
+    store.send(iter([row]))
+    assert [sqlite3.connect(str(tmp_path / f"{k}.db")).execute("SELECT count(*) FROM events").fetchone()[0] for k in range(2)] == [0, 1]
+    with pytest.raises(ValueError):
+        store.send(iter([Row(*COLUMNS)("a", 2, "t", "{}", 0.0)]))
+
+
+def test_values_keep_nulls_and_types():
+    assert _values(pa.array([2**60 + 1, None])) == [2**60 + 1, None]
+    assert [(v, type(v)) for v in _values(pa.array([2**60 + 1]))] == [(2**60 + 1, int)]
+    assert _values(pa.array(["é", ""])) == ["é", ""] and _values(pa.array([0.5])) == [0.5]

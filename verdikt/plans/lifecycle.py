@@ -6,7 +6,7 @@ import os
 import sqlite3
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,20 +83,21 @@ def concurrent_append(spark, sf):
     return store.read_all().groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq"))
 
 
-def _sqlite(spark: SparkSession) -> DatabaseLog:
-    """A database in a file, which stands for a server: for a local master only."""
-    path = shared_dir(spark).removeprefix("file://").rsplit("/", 1)
-    os.makedirs(path[0], exist_ok=True)
-    name = f"{path[0]}/{path[1]}.db"
+def _sqlite(spark: SparkSession, events: int) -> DatabaseLog:
+    """Databases in files, which stand for a server: for executors on one machine. A file lets one writer in at
+    a time, so there are as many as cores, and more where they would hold over 250,000 events each."""
+    path = shared_dir(spark).removeprefix("file://")
+    os.makedirs(path, exist_ok=True)
 
-    def connect() -> sqlite3.Connection:
-        connection = sqlite3.connect(name, timeout=60)
+    def connect(k: int) -> sqlite3.Connection:
+        connection = sqlite3.connect(f"{path}/{k}.db", timeout=60)
         # writers append to a journal that is copied into the table now and then; a commit waits for no disk
         connection.execute("PRAGMA journal_mode = WAL")
         connection.execute("PRAGMA synchronous = NORMAL")
+        connection.execute("PRAGMA cache_size = -32000")  # most of a file's keys, for rows that come in no order
         return connection
 
-    store = DatabaseLog(spark, connect)
+    store = DatabaseLog(spark, [partial(connect, k) for k in range(max(spark.sparkContext.defaultParallelism, -(-events // 250_000)))])
     store.create()
     return store
 
@@ -104,11 +105,13 @@ def _sqlite(spark: SparkSession) -> DatabaseLog:
 @query(with_base(f"{LOGGED} SELECT type, count(*) AS n, max(seq) AS max_seq FROM logged GROUP BY type"))
 def database_append(spark, sf):
     """Two jobs append the same events to a table at once, then a stream delivers them all twice."""
-    store, e, source = _sqlite(spark), written(_events(spark, sf)), shared_dir(spark)
+    e, source = written(_events(spark, sf)), shared_dir(spark)
+    events = e.count()
+    store = _sqlite(spark, events)
     with ThreadPoolExecutor(2) as pool:
         list(pool.map(lambda k: store.append(e.filter(F.col("seq") % 3 != k)), range(2)))
     timed = e.withColumn("ts", F.timestamp_seconds(F.col("seq")))
-    timed.unionByName(timed).repartition(3).write.parquet(source)
+    timed.unionByName(timed).repartition(max(3, events // 250_000)).write.parquet(source)  # so a file holds no more where there are more events
     store.append_stream(spark.readStream.schema(timed.schema).parquet(source), shared_dir(spark)).awaitTermination()
     return written(store.read("run-1").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq")))
 
